@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import chat_format as chat
+from . import license_scan as licenses
 from . import line_dedup as lines
 from . import quality_rules as quality
 from .mixing import mix_sources
@@ -52,3 +54,19 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op9_line_dedup"] = lines.SQL
+
+
+@_query
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(_table(spark, sf_dir, "documents"))
+
+
+SQL["op3_license_scan"] = licenses.SQL
+
+
+@_query
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_digests(chat.format_chats(chat.with_probe(_table(spark, sf_dir, "conversations"))))
+
+
+SQL["op7_chat_format"] = chat.SQL
