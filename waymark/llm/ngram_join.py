@@ -221,18 +221,23 @@ def _group_rows(gids: list[int], members: list[np.ndarray]) -> pa.RecordBatch:
     flat = np.concatenate(members)
     size = [len(m) for m in members]
     pos = np.concatenate([np.arange(n) for n in size])
+    least = np.repeat(np.array([m[0] for m in members]), size)
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.repeat(np.array(gids), size)), pa.array(np.repeat(np.array(size), size), pa.int64()), pa.array(pos, pa.int64()), pa.array(flat)],
-        names=["gid", "size", "pos", "sid"],
+        [pa.array(np.repeat(np.array(gids), size)), pa.array(least), pa.array(np.repeat(np.array(size), size), pa.int64()), pa.array(pos, pa.int64()), pa.array(flat)],
+        names=["gid", "least", "size", "pos", "sid"],
     )
 
 
-def block_pairs(df: DataFrame, group: str) -> DataFrame:
-    """Rows (group, size, rep, ...) go once to each pair of blocks (i <= j) that their block is part of."""
-    blocks = F.ceil(F.col("size") / BLOCK)
+def block_pairs(df: DataFrame) -> DataFrame:
+    """Rows (size, rep, ...) go once to each pair of blocks (i <= j) that their block is part of.
+
+    The number of blocks is a power of two, so groups of about the same members
+    deal them alike.
+    """
+    blocks = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("size") / BLOCK)))).cast("long")
     own = F.pmod(F.xxhash64("rep"), blocks)
     at = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j")))
-    return df.withColumn("own", own).withColumn("at", F.explode(at)).select(group, F.col("at.i").alias("i"), F.col("at.j").alias("j"), *[c for c in df.columns if c != group], "own")
+    return df.withColumns({"own": own, "blocks": blocks}).withColumn("at", F.explode(at)).select("*", "at.i", "at.j").drop("at")
 
 
 def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -243,40 +248,48 @@ def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Sets:
-    """Disjoint sets of small integers."""
+    """Disjoint sets of ids that a task has linked; what it sends on is a star for each set."""
 
-    def __init__(self, n: int):
-        self.up = list(range(n))
+    def __init__(self):
+        self.up: dict[int, int] = {}
 
     def find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def join(self, a: int, b: int) -> bool:
+        up = self.up
+        root = x
+        while (above := up.get(root, root)) != root:
+            root = above
+        while x != root:
+            up[x], x = root, up.get(x, x)
+        return root
+
+    def join(self, a: int, b: int) -> None:
         a, b = self.find(a), self.find(b)
-        if a == b:
-            return False
-        self.up[max(a, b)] = min(a, b)
-        return True
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+
+    def stars(self) -> Iterator[pa.RecordBatch]:
+        ends = list(self.up)
+        for at in range(0, len(ends), 50_000):
+            some = ends[at : at + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array([self.find(x) for x in some], pa.int64()), pa.array(some, pa.int64())], names=["a", "b"])
 
 
 def _near(t: Fraction):
-    """Pairs of a block pair that histograms don't rule out, as the edges of a spanning forest."""
+    """Links that histograms don't rule out, within each pair of blocks of a group."""
     num, den = t.numerator, t.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: tuple[list, list] = ([], [])
-        for table in groups(batches, "gid", "i", "j"):
+        sets = _Sets()
+        for table in groups(batches, "least", "blocks", "i", "j", "gid"):
             rep, n = table.column("rep").to_pylist(), table.column("n").to_numpy()
+            if len({sets.find(x) for x in rep}) == 1:
+                continue
             hist = [np.frombuffer(h, dtype=np.uint8) for h in table.column("hist").to_pylist()]
             left, right = _sides(table)
             levels: dict[int, list[int]] = {}
             for x in right.tolist():
                 levels.setdefault(len(hist[x]), []).append(x)
             at = {c: (np.array(x), np.stack([hist[y] for y in x]).astype(np.int32)) for c, x in levels.items()}
-            sets = _Sets(table.num_rows)
             for x in left.tolist():
                 own = hist[x].astype(np.int32)
                 for cells, other in ((len(own) // 2, 2), (len(own), 1), (len(own) * 2, 0)):
@@ -291,14 +304,8 @@ def _near(t: Fraction):
                     ok = gap * (den + num) <= (den - num) * total
                     ok &= np.maximum(gap, np.abs(n[who] - n[x])) * (den + num) <= (den - num) * total
                     for y in who[ok].tolist():
-                        if y != x and rep[x] != rep[y] and sets.join(x, y):
-                            found[0].append(rep[x])
-                            found[1].append(rep[y])
-            if len(found[0]) >= 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()) for f in found], names=["a", "b"])
-                found = ([], [])
-        if found[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()) for f in found], names=["a", "b"])
+                        sets.join(rep[x], rep[y])
+        yield from sets.stars()
 
     return run
 
@@ -316,12 +323,12 @@ def _fetch(size: int):
 
 
 def _verify(t: Fraction):
-    """Exact links within each pair of blocks, as the edges of a spanning forest."""
+    """Exact links within each pair of blocks of a family."""
     num, den = t.numerator, t.denominator
     width = 4096
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: tuple[list, list] = ([], [])
+        sets = _Sets()
         for table in groups(batches, "c", "i", "j"):
             rep = table.column("rep").to_pylist()
             feats = [np.frombuffer(f, dtype=np.uint64) for f in table.column("features").to_pylist()]
@@ -345,17 +352,9 @@ def _verify(t: Fraction):
                 inter += m[left] @ m[right].T
             both = inter.astype(np.int64)
             ok = both * den >= num * (n[left][:, None] + n[right][None, :] - both)
-            sets = _Sets(len(feats))
             for x, y in zip(*np.nonzero(ok), strict=True):
-                x, y = int(left[x]), int(right[y])
-                if x != y and rep[x] != rep[y] and sets.join(x, y):
-                    found[0].append(rep[x])
-                    found[1].append(rep[y])
-            if len(found[0]) >= 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()) for f in found], names=["a", "b"])
-                found = ([], [])
-        if found[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()) for f in found], names=["a", "b"])
+                sets.join(rep[left[x]], rep[right[y]])
+        yield from sets.stars()
 
     return run
 
@@ -385,13 +384,13 @@ def ngram_jaccard_join(docs: DataFrame, threshold: float = 0.8, size: int = 5, i
 
     buckets = 4 * shuffle_partitions(spark)
     signed = texts.select("text").mapInArrow(_sign(size, t, common, buckets), "bucket long, sigs binary, sids binary, counts binary")
-    shared = signed.repartition(shuffle_partitions(spark), "bucket").mapInArrow(_shared_groups, "gid long, size long, pos long, sid long")
+    shared = signed.repartition(shuffle_partitions(spark), "bucket").mapInArrow(_shared_groups, "gid long, least long, size long, pos long, sid long")
     shared = materialize(shared.dropDuplicates(["gid", "pos"]))
 
     wanted = shared.select("sid").distinct()
     known = materialize(hists.join(wanted, "sid", "left_semi").dropDuplicates(["sid"]).join(reps, "sid"))
-    members = block_pairs(shared.join(known, "sid"), "gid").select("gid", "i", "j", "own", "rep", "n", "hist")
-    dealt = members.repartition(shuffle_partitions(spark), "gid", "i", "j").sortWithinPartitions("gid", "i", "j")
+    members = block_pairs(shared.join(known, "sid")).select("least", "blocks", "i", "j", "gid", "own", "rep", "n", "hist")
+    dealt = members.repartition(shuffle_partitions(spark), "least", "blocks", "i", "j").sortWithinPartitions("least", "blocks", "i", "j", "gid")
     maybe = components(dealt.mapInArrow(_near(t), "a long, b long"))
 
     families = materialize(maybe.groupBy("c").agg(F.count("*").alias("size")))
@@ -399,7 +398,7 @@ def ngram_jaccard_join(docs: DataFrame, threshold: float = 0.8, size: int = 5, i
     few = placed.count() <= BROADCAST_ROWS
     chosen = texts.join(F.broadcast(placed) if few else placed, texts.doc_id == placed.rep)
     sets = chosen.select("c", "size", "rep", "sid", "text").mapInArrow(_fetch(size), "c long, size long, rep long, features binary")
-    sets = block_pairs(sets, "c").select("c", "i", "j", "own", "rep", "features")
+    sets = block_pairs(sets).select("c", "i", "j", "own", "rep", "features")
     dealt = sets.repartition(shuffle_partitions(spark), "c", "i", "j").sortWithinPartitions("c", "i", "j")
     linked = components(dealt.mapInArrow(_verify(t), "a long, b long"))
     discard(shared, known, placed, maybe, families)
