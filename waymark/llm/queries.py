@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,12 @@ from . import chat_format as chat
 from . import license_scan as licenses
 from . import line_dedup as lines
 from . import quality_rules as quality
+from .huffman_ids import id_checksums, read_id_files, write_id_files
 from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_join
+from .piece_bpe import encode_decode, id_digests
+from .shared import shared_dir
+from .tokenizer_files import tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -70,3 +75,16 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op7_chat_format"] = chat.SQL
+
+
+@_query
+def op4_piece_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return id_digests(encode_decode(docs, tokenizer_path("piece_bpe_32k.model")))
+
+
+@_query
+def op6_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/waymark-ids-{uuid.uuid4().hex}"
+    write_id_files(_table(spark, sf_dir, "documents"), path, tokenizer_path("byte_bpe_50k.json"), end_id=2)
+    return id_checksums(read_id_files(spark, path))
