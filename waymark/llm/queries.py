@@ -13,7 +13,9 @@ from . import license_scan as licenses
 from . import line_dedup as lines
 from . import quality_rules as quality
 from .huffman_ids import id_checksums, read_id_files, write_id_files
+from .language_id import identify_language
 from .mixing import mix_sources
+from .neighbours import nearest
 from .ngram_join import ngram_jaccard_join
 from .piece_bpe import encode_decode, id_digests
 from .shared import shared_dir
@@ -88,3 +90,13 @@ def op6_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/waymark-ids-{uuid.uuid4().hex}"
     write_id_files(_table(spark, sf_dir, "documents"), path, tokenizer_path("byte_bpe_50k.json"), end_id=2)
     return id_checksums(read_id_files(spark, path))
+
+
+@_query
+def op5_nearest_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@_query
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(_table(spark, sf_dir, "documents"))
