@@ -72,13 +72,15 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
     Keys of at least ``min_chars`` characters that at least ``min_docs``
     documents hold lose all their lines but in the largest doc_id that holds
     them; there repeated lines stay.  Rows with one doc_id are one document and
-    get one bitmap; rows with a null id are one document, below all others.  Null text is one empty line.  An empty table gives no rows; other columns
+    get one bitmap; rows with a null id are one document, below all others.
+    Null text is one empty line.  An empty table gives no rows; other columns
     stay, but for those with the names of the results.
     """
     docs = docs.drop("n_lines", "n_dropped", "keep_flips", "kept_text", "did", "flips")
     maps = line_bitmaps(docs, min_chars, min_docs)
     own = docs.withColumn("own_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)))
-    met = own.join(maps, F.col("own_id") == F.col("did"), "left").drop("own_id", "did").withColumnRenamed("flips", "keep_flips")
+    # texts are dealt by id at every size; bitmaps grow with the documents, so they are never sent to all executors
+    met = own.join(maps.hint("merge"), F.col("own_id") == F.col("did"), "left").drop("own_id", "did").withColumnRenamed("flips", "keep_flips")
     met = met.withColumn("_lines", split_lines(F.col("text")))
     gone = F.aggregate(F.transform("keep_flips", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0), lambda a, b: a + b)
     return met.withColumns(

@@ -157,8 +157,10 @@ def take_mix(docs: DataFrame, mix: DataFrame) -> DataFrame:
     Rows that share doc_id, size and source are interchangeable, so they are
     matched by their number among each other.
     """
-    number = F.row_number().over(Window.partitionBy("doc_id", "size").orderBy("source"))
-    left = docs.withColumn("size", word_count(F.col("text").cast("string"))).withColumn("nth", number)
-    right = mix.withColumn("nth", number).select(F.col("doc_id").alias("mix_id"), F.col("size").alias("mix_size"), F.col("nth").alias("mix_nth"), "copies")
-    met = left.join(right, F.col("doc_id").eqNullSafe(F.col("mix_id")) & (F.col("size") == F.col("mix_size")) & (F.col("nth") == F.col("mix_nth")))
+    nth = lambda did: F.row_number().over(Window.partitionBy(did, "size").orderBy("source"))
+    own_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    left = docs.withColumns({"size": word_count(F.col("text").cast("string")), "own_id": own_id}).withColumn("nth", nth("own_id"))
+    right = mix.select(own_id.alias("own_id"), "size", "source", "copies").withColumn("nth", nth("own_id")).drop("source")
+    # texts are dealt by id at every size: the mix has a row per document
+    met = left.join(right.hint("merge"), ["own_id", "size", "nth"])
     return met.where("copies > 0").withColumn("again", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(docs.columns)

@@ -30,7 +30,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .hashing import mix, set_id, shingle_sets
@@ -409,3 +409,18 @@ def ngram_jaccard_join(docs: DataFrame, threshold: float = 0.8, size: int = 5, i
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("class_component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
+
+
+def keep_one_per_component(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` whose id names their component: one document of each group of near duplicates.
+
+    Repeated rows count as copies and leave one.  Rows with a null id stay if
+    no row with an id is linked to them.
+    """
+    own_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    found = ngram_jaccard_join(docs, **options)
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(own_id.alias("own_id")).distinct()
+    first = F.row_number().over(Window.partitionBy("own_id", "copy").orderBy(F.lit(0)))
+    # texts are dealt by id at every size: there is a row to keep for most documents
+    met = docs.withColumns({"own_id": own_id, "copy": F.xxhash64("text")}).join(keep.hint("merge"), "own_id", "left_semi")
+    return met.withColumn("nth", first).where("nth = 1").select(docs.columns)
