@@ -33,7 +33,7 @@ def line_key(line: Column) -> Column:
 
 
 def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of column ``text`` (null: empty).
+    """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and _row of column ``text`` (null: empty).
 
     n_repeat_words counts the words inside three-word windows that occur twice
     or more.  A window's key is its hash above its position in one integer:
@@ -58,6 +58,8 @@ def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
             "n_symbols": F.regexp_count("_t", F.lit(SYMBOLS)).cast("long"),
             "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
             "n_repeat_words": cover,
+            # a filter on the statistics must not be rewritten to compute them anew, once per use
+            "_row": F.monotonically_increasing_id(),
         }
     ).drop("_t", "_w", "_l", "_b", "_k", "_p")
 
@@ -107,8 +109,8 @@ def quality_rules(docs: DataFrame, host: str = "source", min_words: int = 50, ma
     out = text_statistics(keyed)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > F.lit(100 * max_repeat_share) * F.col("n_words"))
     out = out.withColumn("base_failed", failed).join(gone, F.col("row_key") == F.col("gone_key"), "left")
-    out = out.withColumn("depleted", F.col("gone_key").isNotNull()).withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
-    return out.drop("row_key", "gone_key")
+    out = out.withColumn("depleted", F.col("gone_key").isNotNull()).withColumn("kept", ~F.col("base_failed") & ~F.col("depleted") & (F.col("_row") >= 0))
+    return out.drop("row_key", "gone_key", "_row")
 
 
 def _sql() -> str:
