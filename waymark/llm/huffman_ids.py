@@ -19,6 +19,7 @@ Segments have (part, seq) as their order, which is ascending doc_id.
 
 from __future__ import annotations
 
+import itertools
 import os
 from collections.abc import Iterator
 
@@ -30,12 +31,14 @@ from pyspark.sql import functions as F
 
 from .shared import discard, materialize, shuffle_partitions
 
-MAX_BITS, BLOCK_IDS = 20, 512
+MAX_BITS, BLOCK_IDS = 20, 256
 #: A segment closes at so many ids; a longer document is a segment of its own.
-SEGMENT_IDS = 1 << 17
+SEGMENT_IDS = 1 << 19
 MAGIC = b"WHF1"
 #: Encoded chunks that a worker keeps (about 250 bytes each).
-CACHE = 200_000
+CACHE = 300_000
+#: Punctuation that is cut from the end of a part.
+CLOSING = ".,;:!?)]}\"'|"
 _tokenizers: dict[str, ChunkTokenizer] = {}
 
 
@@ -43,10 +46,13 @@ class ChunkTokenizer:
     """Byte-level BPE through the tokenizers library, each chunk of a batch once.
 
     A chunk is what lies between single spaces, with the space before it.  The
-    pre-tokenizer never joins pieces over a space that has other characters on
-    both sides, so the ids of a text are those of its chunks; a text where a
-    chunk is empty or has white space at an end, or with a special token's
-    string, is encoded whole.
+    pre-tokenizer never joins pieces over a space, or over a line feed, that
+    has other characters on both sides, nor over the step from a letter or
+    number to punctuation, so the ids of a text are those of such parts.  New
+    parts are encoded many at a time in texts of their own: each starts with
+    its space, which no other id of it holds, so the ids fall apart again.  A
+    text where a part is empty or has white space at an end, or with a special
+    token's string, is encoded whole.
     """
 
     def __init__(self, path: str):
@@ -56,47 +62,95 @@ class ChunkTokenizer:
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.kind = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
-        self.known: dict[str, bytes] = {}
+        self.opens = np.zeros(self.library.get_vocab_size(), dtype=bool)
+        self.opens[[i for t, i in self.library.get_vocab().items() if t.startswith("\u0120")]] = True
+        self.spaced: dict[str, bytes | None] = {}  # of a part with a space before it; None is one that can't stand alone
+        self.bare: dict[str, bytes] = {}  # of a part without one
+
+    def _flat(self, texts: list[str]) -> tuple[np.ndarray, list[int]]:
+        got = [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(itertools.chain.from_iterable(got), dtype=self.kind), [len(x) for x in got]
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, dtype=self.kind).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        flat, sizes = self._flat(texts)
+        ends, width = np.cumsum([0, *sizes]).tolist(), flat.itemsize
+        raw = flat.tobytes()
+        return [raw[width * a : width * b] for a, b in itertools.pairwise(ends)]
+
+    def _spaced(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts without spaces, each with one before it."""
+        flat, _ = self._flat([" " + " ".join(parts[k : k + 200]) for k in range(0, len(parts), 200)])
+        first = np.flatnonzero(self.opens[flat])
+        if len(first) != len(parts):
+            return self._bytes([" " + p for p in parts])
+        raw, width = flat.tobytes(), flat.itemsize
+        return [raw[width * a : width * b] for a, b in itertools.pairwise([*first.tolist(), len(flat)])]
+
+    def _learn(self, parts: list[str]) -> None:
+        """Add new spaced parts, cut at line feeds and before closing punctuation."""
+        spaced, bare = self.spaced, self.bare
+        words = [p for p in parts if p.isalpha()]
+        plan: list[tuple[str, str, list[str]]] = []
+        heads, loose = set(), set()
+        for p in parts:
+            if p.isalpha():
+                continue
+            if not p or p[0].isspace() or p[-1].isspace():
+                spaced[p] = None
+                continue
+            head, rest = p, []
+            if "\n" in p:
+                head, *lines = p.split("\n")
+                if any(not x or x[0].isspace() or x[-1].isspace() for x in (head, *lines)):
+                    head = p
+                else:
+                    rest = [y for x in lines for y in ("\n", x)]
+            stem = head.rstrip(CLOSING)
+            if stem != head and stem and stem[-1].isalnum():
+                rest = [head[len(stem) :], *rest]
+                head = stem
+            plan.append((p, head, rest))
+            heads.add(head)
+            loose.update(rest)
+        words += [h for h in heads.difference(words) if h not in spaced]
+        if words:
+            spaced.update(zip(words, self._spaced(words), strict=True))
+        loose = [x for x in loose if x not in bare]
+        if loose:
+            bare.update(zip(loose, self._bytes(loose), strict=True))
+        for p, head, rest in plan:
+            if rest:
+                spaced[p] = spaced[head] + b"".join([bare[x] for x in rest])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        cut: list[list[str] | None] = []
-        for text in texts:
-            if "\0" in text or any(s in text for s in self.special):
-                cut.append(None)
-                continue
-            parts = (" " + text).split(" ")[1:]
-            first = parts[0]
-            # the first chunk has no space before it; a control character sets it apart from the others
-            parts[0] = "\0" + first
-            whole = not first or first[0].isspace() or first[-1].isspace() if len(parts) > 1 else False
-            cut.append(None if whole else parts)
-        new = list({p for parts in cut if parts for p in parts if p not in known})
-        ids: dict[str, bytes | None] = {}
-        plain = []
-        for p in new:
-            body = p[1:] if p[:1] == "\0" else p
-            if p[:1] != "\0" and (not p or p[0].isspace() or p[-1].isspace()):
-                ids[p] = None
-            else:
-                plain.append((p, body if p[:1] == "\0" else " " + p))
-        ids.update(zip((p for p, _ in plain), self._bytes([t for _, t in plain]), strict=True))
-        out: list[bytes | None] = []
+        cut = [None if any(s in t for s in self.special) else t.split(" ") for t in texts]
+        firsts = [x.pop(0) if x else "" for x in cut]
+        first_ids = self._bytes(firsts)
+        seen: set[str] = set()
         for parts in cut:
-            if parts is None:
-                out.append(None)
-                continue
-            got = [known[p] if p in known else ids[p] for p in parts]
-            out.append(None if None in got else b"".join(got))
-        left = [k for k, x in enumerate(out) if x is None]
-        for k, x in zip(left, self._bytes([texts[k] for k in left]), strict=True):
-            out[k] = x
-        room = CACHE - len(known)
-        if room > 0:
-            known.update((p, x) for p, x in list(ids.items())[:room] if len(p) < 64)
+            if parts:
+                seen.update(parts)
+        kept = len(self.spaced)
+        new = [p for p in seen if p not in self.spaced]
+        if new:
+            self._learn(new)
+        find, out, whole = self.spaced.__getitem__, [], []
+        for k, parts in enumerate(cut):
+            try:
+                if parts is None or parts and (not firsts[k] or firsts[k][0].isspace() or firsts[k][-1].isspace()):
+                    raise TypeError
+                out.append(first_ids[k] + b"".join(map(find, parts)))
+            except TypeError:  # a part that can't stand alone has no bytes
+                out.append(b"")
+                whole.append(k)
+        if whole:
+            for k, x in zip(whole, self._bytes([texts[k] for k in whole]), strict=True):
+                out[k] = x
+        if len(self.spaced) > CACHE:
+            for p in list(itertools.islice(reversed(self.spaced), len(self.spaced) - max(kept, CACHE))):
+                del self.spaced[p]
+        if len(self.bare) > CACHE // 4:
+            self.bare.clear()
         return out
 
 
