@@ -35,7 +35,7 @@ def valid_starts(frames: DataFrame, seq_len: int, stride: int = 1) -> DataFrame:
     if far == 0:
         return frames.where(finite_rows("state") & finite_rows("action")).select(F.col("frame_id").alias("start"), "ep")
     ahead = F.lead("frame_id", far).over(w)
-    ok = (ahead == F.col("frame_id") + far) & finite_rows("state") & finite_rows("action")
+    ok = (F.col("ahead") == F.col("frame_id") + far) & finite_rows("state") & finite_rows("action")
     return frames.withColumn("ahead", ahead).where(ok).select(F.col("frame_id").alias("start"), "ep")
 
 
