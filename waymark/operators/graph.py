@@ -110,7 +110,7 @@ def _multiply(edges: DataFrame, ids: np.ndarray) -> Callable[[np.ndarray], np.nd
     """x -> D^-1/2 W D^-1/2 x, a distributed sum over edges against a broadcast block of landmark size."""
     d = edges.groupBy("i").agg(F.sum("w").alias("d"))
     scaled_edges = edges.join(d, "i").join(d.select(F.col("i").alias("j"), F.col("d").alias("e")), "j").select("i", "j", (F.col("w") / F.sqrt(F.col("d") * F.col("e"))).alias("w"))
-    scaled_edges = materialize(scaled_edges)
+    scaled_edges = materialize(scaled_edges.coalesce(16)).coalesce(16)  # each task sends a block of landmark size
     sc = edges.sparkSession.sparkContext
 
     def apply(x: np.ndarray) -> np.ndarray:
@@ -126,8 +126,10 @@ def _multiply(edges: DataFrame, ids: np.ndarray) -> Callable[[np.ndarray], np.nd
             yield pd.DataFrame({"r": touched, "x": list(total[touched])})
 
         out = np.zeros_like(x)
-        for r in scaled_edges.mapInPandas(part, "r long, x array<double>").toLocalIterator():
-            out[r["r"]] += r["x"]
+        got = scaled_edges.mapInPandas(part, "r long, x array<double>").toArrow()
+        if got.num_rows:
+            flat = got.column("x").combine_chunks().flatten().to_numpy().reshape(got.num_rows, -1)
+            np.add.at(out, got.column("r").to_numpy(), flat)
         sent.unpersist()
         return out
 
@@ -174,7 +176,7 @@ def spectral_labels(edges: DataFrame, k: int, seed: int = 0, restarts: int = 20)
     spark = edges.sparkSession
     ids, _, x = lanczos_block(edges, k, seed)
     x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    rows = spark.createDataFrame(pd.DataFrame({"id": ids, "x": list(x)}), "id long, x array<double>").withColumn("features", array_to_vector("x")).cache()
+    rows = spark.createDataFrame(pd.DataFrame({"id": ids, "x": x.tolist()}), "id long, x array<double>").withColumn("features", array_to_vector("x")).cache()
     best = min((KMeans(k=k, seed=seed + r, initMode="k-means||").fit(rows) for r in range(restarts)), key=lambda m: m.summary.trainingCost)
     return best.transform(rows).select("id", F.col("prediction").alias("region"))
 

@@ -103,12 +103,12 @@ def _(spark, d):
     return s.select(F.posexplode(F.arrays_zip("mean", "scale")).alias("d", "x")).select("d", r6(F.col("x.mean")).alias("mean"), r6(F.col("x.scale")).alias("scale"))
 
 
-@query("t9_normalize_actions", f"{_B}, st AS (SELECT j, avg(a0) AS m, stddev_pop(a0) + 1e-8 AS s FROM b GROUP BY j) SELECT start, 4 AS n_blocks, round(sum(round((a0 - m) / s, 4)), 2) AS total FROM b JOIN st ON b.j = st.j GROUP BY start")
+@query("t9_normalize_actions", f"{_B}, st AS (SELECT j, avg(a0) AS m, stddev_pop(a0) + 1e-8 AS s FROM b GROUP BY j) SELECT start, 4 AS n_blocks, round(sum(((a0 - m) / s) ** 2), 4) AS total FROM b JOIN st ON b.j = st.j GROUP BY start")
 def _(spark, d):
     f = frames(spark, d)
     b = windows.gather_action_blocks(windows.valid_starts(f, 4, 5), f, 3, 5)
     a = windows.normalize_actions(b, windows.action_stats(b))
-    return a.select("start", F.size("act").alias("n_blocks"), F.round(F.aggregate(F.flatten("act"), F.lit(0.0), lambda s, x: s + F.round(x, 4)), 2).alias("total"))
+    return a.select("start", F.size("act").alias("n_blocks"), F.round(F.aggregate(F.flatten("act"), F.lit(0.0), lambda s, x: s + x * x), 4).alias("total"))
 
 
 @query("t10_unique_frames", f"{_W} SELECT dense_rank() OVER (ORDER BY f) - 1 AS key, f AS frame_id FROM (SELECT DISTINCT start + 5 * k AS f FROM (SELECT start, unnest(range(0, 4)) AS k FROM s))")
