@@ -116,7 +116,7 @@ def _profile(size: int, t: Fraction):
                 all_s.append(s)
             rows = batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [pa.array(["doc"] * rows), batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(hist, pa.binary())],
+                [pa.array(["doc"] * rows, pa.string()), batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(hist, pa.binary())],
                 names=["kind", "doc_id", "n", "sid", "hist"],
             )
             flat = np.sort(np.concatenate(all_s)) if all_s else np.zeros(0, dtype=np.uint64)
@@ -126,7 +126,7 @@ def _profile(size: int, t: Fraction):
                 often = count >= COMMON_IN_BATCH
                 m = int(often.sum())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(["common"] * m), pa.nulls(m, pa.int64()), pa.array(count[often], pa.int64()), pa.array(flat[first[often]].view(np.int64)), pa.nulls(m, pa.binary())],
+                    [pa.array(["common"] * m, pa.string()), pa.nulls(m, pa.int64()), pa.array(count[often], pa.int64()), pa.array(flat[first[often]].view(np.int64), pa.int64()), pa.nulls(m, pa.binary())],
                     names=["kind", "doc_id", "n", "sid", "hist"],
                 )
 
