@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from waymark.plans import queries_metrics, queries_vectors, queries_windows  # noqa: F401
+from waymark.plans import queries_jobs, queries_metrics, queries_vectors, queries_windows  # noqa: F401
