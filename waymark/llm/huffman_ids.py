@@ -89,11 +89,12 @@ class ChunkTokenizer:
     def _learn(self, parts: list[str]) -> None:
         """Add new spaced parts, cut at line feeds and before closing punctuation."""
         spaced, bare = self.spaced, self.bare
-        words = [p for p in parts if p.isalpha()]
+        words: list[str] = []
         plan: list[tuple[str, str, list[str]]] = []
         heads, loose = set(), set()
         for p in parts:
             if p.isalpha():
+                words.append(p)
                 continue
             if not p or p[0].isspace() or p[-1].isspace():
                 spaced[p] = None
@@ -260,7 +261,7 @@ def pack(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[np.nd
     at = np.cumsum(n) - n
     total = int(n.sum())
     word, off = at >> 6, (at & 63).astype(np.uint64)
-    code = codes[ids] << (64 - n).astype(np.uint64)
+    code = (codes << ((64 - lengths) & 63).astype(np.uint64))[ids]  # aligned to the left, once for each id there is
     first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
     words = np.zeros((total >> 6) + 2, dtype=np.uint64)
     words[word[first]] = np.bitwise_or.reduceat(code >> off, first)
