@@ -121,3 +121,28 @@ def test_regions(spark):
     rows = spark.createDataFrame([(106.9, 50.0), (107.0, 50.0), (117.0, 50.0), (117.1, 100.0), (float("nan"), 1.0)], "x double, y double")
     assert [r.k for r in rows.select(regions.rooms3(F.col("x")).alias("k")).collect()] == [0, 1, 1, 2, None]
     assert [r.k for r in rows.select(regions.priority5(F.col("x"), F.col("y")).alias("k")).collect()] == ["left_room", "doorway", "doorway", "common", None]
+
+
+def test_moments_of_several_weights_in_one_pass(spark):
+    from waymark.operators.vectors import moments, moments_by
+
+    x = np.random.default_rng(3).normal(size=(60, 4))
+    w = np.arange(60) % 3 == 0
+    rows = [(r.tolist(), float(a), float(not a), 0.0) for r, a in zip(x, w, strict=True)]
+    df = spark.createDataFrame(rows, "x array<double>, a double, b double, none double").repartition(3)
+    got = moments_by(df, ["x"], ["a", "b", "none"])
+    for name, keep in (("a", w), ("b", ~w)):
+        n, s, c = got[name]
+        assert n == keep.sum()
+        np.testing.assert_allclose(s, x[keep].sum(axis=0))
+        np.testing.assert_allclose(c, x[keep].T @ x[keep])
+    assert got["none"][0] == 0
+    np.testing.assert_allclose(moments(df, ["x"])[2], x.T @ x)
+
+
+def test_spectral_labels_find_two_cliques(spark):
+    from waymark.operators.graph import spectral_labels
+
+    pairs = [(i + o, j + o, 1.0) for o in (0, 10) for i in range(6) for j in range(6) if i != j] + [(0, 10, 0.05), (10, 0, 0.05)]
+    got = {r["id"]: r["region"] for r in spectral_labels(spark.createDataFrame(pairs, "i long, j long, w double"), 2).collect()}
+    assert len({got[i] for i in range(6)}) == 1 and len({got[i] for i in range(10, 16)}) == 1 and got[0] != got[10]

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions.common import dot
-from waymark.operators.vectors import moments
+from waymark.operators.vectors import moments_by
 
 #: Labels up to which alignment tries all one-to-one maps.
 MOST_ALIGNED = 8
@@ -130,9 +130,11 @@ def drift_metrics(rows: DataFrame, splits: list[str], reference: str, latent: st
     All sums are cross products; only (D + d) square matrices meet the driver.
     """
     spark, out, q_ref, basis = rows.sparkSession, [], None, None
-    for name in [reference, *[s for s in splits if s != reference]]:
-        n, s, c = moments(rows.withColumn("_w", F.col(name).cast("double")), [latent, state], "_w")
-        d = rows.select(F.max(F.size(state))).first()[0]
+    names = [reference, *[s for s in splits if s != reference]]
+    sums = moments_by(rows.select(latent, state, *[F.coalesce(F.col(x).cast("double"), F.lit(0.0)).alias(x) for x in names]), [latent, state], names)
+    d = rows.select(F.max(F.size(state))).first()[0]
+    for name in names:
+        n, s, c = sums[name]
         if n < 4:
             continue
         mean = s / n

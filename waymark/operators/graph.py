@@ -19,6 +19,8 @@ from waymark.operators.vectors import l2_normalize
 
 #: Vectors of one side of a block product (8 * D bytes each).
 KNN_BLOCK = 2048
+#: Edges that a task of a matrix product sums.
+EDGES_PER_TASK = 100_000
 
 
 def knn(df: DataFrame, k: int, col: str = "latent", id_col: str = "id") -> DataFrame:
@@ -106,11 +108,17 @@ def degree_stats(edges: DataFrame) -> DataFrame:
     return d.agg(F.min("d").alias("d_min"), F.avg("d").alias("d_mean"), F.max("d").alias("d_max"), F.count_if(F.col("d") <= 0).alias("n_zero"))
 
 
-def _multiply(edges: DataFrame, ids: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
-    """x -> D^-1/2 W D^-1/2 x, a distributed sum over edges against a broadcast block of landmark size."""
+def _scaled(edges: DataFrame) -> DataFrame:
+    """The edges of D^-1/2 W D^-1/2, kept while many products read them; lost blocks come back from the table."""
     d = edges.groupBy("i").agg(F.sum("w").alias("d"))
-    scaled_edges = edges.join(d, "i").join(d.select(F.col("i").alias("j"), F.col("d").alias("e")), "j").select("i", "j", (F.col("w") / F.sqrt(F.col("d") * F.col("e"))).alias("w"))
-    scaled_edges = materialize(scaled_edges.coalesce(16)).coalesce(16)  # each task sends a block of landmark size
+    scaled = edges.join(d, "i").join(d.select(F.col("i").alias("j"), F.col("d").alias("e")), "j").select("i", "j", (F.col("w") / F.sqrt(F.col("d") * F.col("e"))).alias("w"))
+    scaled = materialize(scaled)
+    tasks = min(16, 1 + scaled.count() // EDGES_PER_TASK)  # each task sends a block of landmark size
+    return scaled.coalesce(tasks).persist()
+
+
+def _multiply(edges: DataFrame, ids: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """x -> A x for the matrix of ``edges``, a distributed sum against a broadcast block of landmark size."""
     sc = edges.sparkSession.sparkContext
 
     def apply(x: np.ndarray) -> np.ndarray:
@@ -126,7 +134,7 @@ def _multiply(edges: DataFrame, ids: np.ndarray) -> Callable[[np.ndarray], np.nd
             yield pd.DataFrame({"r": touched, "x": list(total[touched])})
 
         out = np.zeros_like(x)
-        got = scaled_edges.mapInPandas(part, "r long, x array<double>").toArrow()
+        got = edges.mapInPandas(part, "r long, x array<double>").toArrow()
         if got.num_rows:
             flat = got.column("x").combine_chunks().flatten().to_numpy().reshape(got.num_rows, -1)
             np.add.at(out, got.column("r").to_numpy(), flat)
@@ -139,8 +147,14 @@ def _multiply(edges: DataFrame, ids: np.ndarray) -> Callable[[np.ndarray], np.nd
 def lanczos_block(edges: DataFrame, count: int, seed: int = 0, width: int = 20, most: int = 30, tol: float = 1e-8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, eigenvalues, eigenvectors): the largest of D^-1/2 W D^-1/2 by block Krylov with full reorthogonalisation."""
     ids = np.array(sorted(r[0] for r in edges.select("i").distinct().collect()))  # landmarks
-    n = len(ids)
-    apply = _multiply(edges, ids)
+    scaled = _scaled(edges)
+    try:
+        return ids, *_krylov(_multiply(scaled, ids), len(ids), count, seed, width, most, tol)
+    finally:
+        scaled.unpersist()
+
+
+def _krylov(apply: Callable[[np.ndarray], np.ndarray], n: int, count: int, seed: int, width: int, most: int, tol: float) -> tuple[np.ndarray, np.ndarray]:
     width = min(width, n)
     block, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(n, width)))
     basis, image = block, apply(block)
@@ -150,14 +164,14 @@ def lanczos_block(edges: DataFrame, count: int, seed: int = 0, width: int = 20,
         vectors = basis @ small[:, order]
         residual = np.linalg.norm(image @ small[:, order] - vectors * values[order], axis=0).max()
         if residual < tol or basis.shape[1] >= min(n, width * most):
-            return ids, values[order], vectors
+            return values[order], vectors
         new = image[:, -width:]
         for _ in range(2):
             new = new - basis @ (basis.T @ new)
         q, r = np.linalg.qr(new)
         q = q[:, np.abs(np.diag(r)) > 1e-10][:, : n - basis.shape[1]]
         if not q.shape[1]:
-            return ids, values[order], vectors
+            return values[order], vectors
         for _ in range(2):
             q = np.linalg.qr(q - basis @ (basis.T @ q))[0]
         basis, image = np.concatenate((basis, q), axis=1), np.concatenate((image, apply(q)), axis=1)
@@ -168,17 +182,44 @@ def laplacian_spectrum(edges: DataFrame, count: int, seed: int = 0) -> np.ndarra
     return np.sort(1 - lanczos_block(edges, count, seed)[1])
 
 
+def _lloyd(x: np.ndarray, k: int, rng: np.random.Generator, most: int = 100) -> tuple[float, np.ndarray]:
+    """(cost, centres) of one k-means++ start."""
+    centres = x[[rng.integers(len(x))]]
+    for _ in range(1, k):
+        gap = ((x[:, None] - centres[None]) ** 2).sum(axis=2).min(axis=1)
+        pick = rng.choice(len(x), p=gap / gap.sum()) if gap.sum() > 0 else rng.integers(len(x))
+        centres = np.vstack([centres, x[pick]])
+    cost = np.inf
+    for _ in range(most):
+        gap = ((x[:, None] - centres[None]) ** 2).sum(axis=2)
+        at, now = gap.argmin(axis=1), gap.min(axis=1).sum()
+        if now >= cost * (1 - 1e-9):
+            break
+        cost, centres = now, np.stack([x[at == c].mean(axis=0) if (at == c).any() else centres[c] for c in range(k)])
+    return float(cost), centres
+
+
 def spectral_labels(edges: DataFrame, k: int, seed: int = 0, restarts: int = 20) -> DataFrame:
-    """(id, region): the first k eigenvectors, rows L2-normalised, by the best of several k-means++ runs."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+    """(id, region): the first k eigenvectors, rows L2-normalised, by the best of several k-means++ runs.
 
+    The block of landmarks times k goes to each task once; the restarts are rows that tasks share.
+    """
     spark = edges.sparkSession
     ids, _, x = lanczos_block(edges, k, seed)
     x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    rows = spark.createDataFrame(pd.DataFrame({"id": ids, "x": x.tolist()}), "id long, x array<double>").withColumn("features", array_to_vector("x")).cache()
-    best = min((KMeans(k=k, seed=seed + r, initMode="k-means||").fit(rows) for r in range(restarts)), key=lambda m: m.summary.trainingCost)
-    return best.transform(rows).select("id", F.col("prediction").alias("region"))
+    sent = spark.sparkContext.broadcast(x)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            told = [_lloyd(sent.value, k, np.random.default_rng([seed, int(r)])) for r in pdf["id"]]
+            yield pd.DataFrame({"id": pdf["id"], "cost": [c for c, _ in told], "centres": [m.ravel() for _, m in told]})
+
+    runs = spark.range(0, restarts, 1, min(restarts, 8)).mapInPandas(run, "id long, cost double, centres array<double>").collect()  # k * k numbers a restart
+    sent.unpersist()
+    best = min(runs, key=lambda r: (r["cost"], r["id"]))
+    centres = np.array(best["centres"]).reshape(k, -1)
+    at = ((x[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+    return spark.createDataFrame(pd.DataFrame({"id": ids, "region": at}), "id long, region int")
 
 
 def select_k(eigs: DataFrame, k_min: int, k_max: int) -> DataFrame:

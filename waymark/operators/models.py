@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions.common import materialize
 from waymark.operators.sampling import holdout
-from waymark.operators.vectors import moments
+from waymark.operators.vectors import moments_by
 
 MIN_ROWS = 256
 
@@ -52,11 +52,14 @@ def fit_regional(rows: DataFrame, labels: DataFrame, k: int, penalty: float = 1e
     if trainer is not None:
         fit = lambda key, pdf: pd.DataFrame({"seed": [seed], "region": [key[0]], "coef": [np.asarray(trainer(pdf)).ravel().tolist()], "n": [len(pdf)]})
         return own.where(~F.col("region").isin(small) if small else F.lit(True)).groupBy("region").applyInPandas(fit, "seed long, region long, coef array<double>, n long")
-    for r in range(k):
-        if r in small:
-            continue
-        n, _, c = moments(own.where(F.col("region") == r).select(F.concat("x", F.array(F.lit(1.0))).alias("x"), "y"), ["x", "y"])
-        d = len(own.select("x").first()[0]) + 1
+    names = {f"_r{r}": r for r in range(k) if r not in small}
+    if not names:
+        return spark.createDataFrame([], "seed long, region long, coef array<double>, n long")
+    one = own.select(F.concat("x", F.array(F.lit(1.0))).alias("x"), "y", *[(F.col("region") == r).cast("double").alias(name) for name, r in names.items()])
+    sums = moments_by(one, ["x", "y"], list(names))
+    d = len(own.select("x").first()[0]) + 1
+    for name, r in names.items():
+        n, _, c = sums[name]
         out.append((seed, r, [float(v) for v in ridge(n, c, d, penalty).ravel()], int(n)))
     return spark.createDataFrame(out, "seed long, region long, coef array<double>, n long")
 
@@ -174,8 +177,10 @@ def rule_drift(rows: DataFrame, splits: list[str], reference: str, penalty: floa
     out, base = [], None
     d = len(rows.select("x").first()[0]) + 1
     one = rows.withColumn("x", F.concat("x", F.array(F.lit(1.0))))
-    for s in [reference, *[x for x in splits if x != reference]]:
-        n, _, c = moments(one.withColumn("_w", F.col(s).cast("double")), ["x", "y"], "_w")
+    names = [reference, *[x for x in splits if x != reference]]
+    sums = moments_by(one.select("x", "y", *[F.coalesce(F.col(s).cast("double"), F.lit(0.0)).alias(s) for s in names]), ["x", "y"], names)
+    for s in names:
+        n, _, c = sums[s]
         if n < d:
             continue
         jac = ridge(n, c, d, penalty)[:-1]

@@ -5,6 +5,7 @@ Sums over rows are Spark aggregates; only D x D matrices reach the driver.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,27 +50,44 @@ def standardize_from(df: DataFrame, ref: Column, col: str = "latent", out: str =
     return df.crossJoin(F.broadcast(stats)).withColumn(out, scaled(F.col(col), F.col("mean"), F.col("scale"))).drop("mean", "scale")
 
 
-def moments(df: DataFrame, cols: list[str], weight: str | None = None) -> tuple[float, np.ndarray, np.ndarray]:
-    """(n, sums, cross products) of the concatenated vectors, one partial matrix per task."""
-    pick = [*cols, *([weight] if weight else [])]
+def moments_by(df: DataFrame, cols: list[str], weights: list[str]) -> dict[str, tuple[float, np.ndarray, np.ndarray]]:
+    """weight column -> (n, sums, cross products) of the concatenated vectors, all in one pass; a partial row per task and weight."""
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, s, c = 0.0, None, None
+        total: dict[str, np.ndarray] = {}
         for pdf in batches:
             if not len(pdf):
                 continue
             x = np.concatenate([np.stack([np.atleast_1d(np.asarray(v, dtype=np.float64)) for v in pdf[k]]) for k in cols], axis=1)
-            w = pdf[weight].to_numpy(dtype=np.float64) if weight else np.ones(len(x))
-            n, s, c = n + w.sum(), (0 if s is None else s) + w @ x, (0 if c is None else c) + (x * w[:, None]).T @ x
-        if s is not None:
-            yield pd.DataFrame({"n": [n], "s": [s.tolist()], "c": [c.ravel().tolist()]})
-
-    parts = df.select(*pick).mapInPandas(part, "n double, s array<double>, c array<double>")
-    # sums of D and D * D numbers, element by element, by the aggregation itself
-    n = parts.agg(F.sum("n")).first()[0] or 0.0
-    add = lambda c: [r["v"] for r in parts.select(F.posexplode(c).alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()]
-    s = np.array(add("s"))
-    return n, s, np.array(add("c")).reshape(len(s), len(s)) if len(s) else np.zeros((0, 0))
+            for name in weights:
+                w = pdf[name].to_numpy(dtype=np.float64)
+                on = np.flatnonzero(w)
+                if not len(on):
+                    continue
+                y, w = x[on], w[on]
+                own = np.concatenate(([w.sum()], w @ y, ((y * w[:, None]).T @ y).ravel()))
+                total[name] = total[name] + own if name in total else own
+        yield pd.DataFrame({"w": list(total), "v": list(total.values())})
+
+    parts = df.select(*cols, *weights).mapInPandas(part, "w string, v array<double>")
+    # 1 + D + D * D numbers a weight, element by element, by the aggregation itself
+    flat = parts.select("w", F.posexplode("v").alias("i", "v")).groupBy("w", "i").agg(F.sum("v").alias("v")).collect()
+    found: dict[str, dict[int, float]] = {}
+    for r in flat:
+        found.setdefault(r["w"], {})[r["i"]] = r["v"]
+    out = {name: (0.0, np.zeros(0), np.zeros((0, 0))) for name in weights}
+    for name, at in found.items():
+        v = np.array([at[i] for i in range(len(at))])
+        d = (math.isqrt(4 * len(v) - 3) - 1) // 2
+        out[name] = (float(v[0]), v[1 : d + 1], v[d + 1 :].reshape(d, d))
+    return out
+
+
+def moments(df: DataFrame, cols: list[str], weight: str | None = None) -> tuple[float, np.ndarray, np.ndarray]:
+    """(n, sums, cross products) of the concatenated vectors."""
+    if weight:
+        return moments_by(df, cols, [weight])[weight]
+    return moments_by(df.select(*cols).withColumn("_one", F.lit(1.0)), cols, ["_one"])["_one"]
 
 
 def covariance(df: DataFrame, col: str = "latent") -> tuple[np.ndarray, np.ndarray]:
