@@ -1,4 +1,4 @@
-"""Registered queries of regional models, rollouts and the jobs built on them.
+"""Registered queries of regional models, rollouts, their stored tables and the jobs built on them.
 
 The models of the queries with SQL see one number, the value of an event, and
 predict the user's next one, so SQL's own regression gives the same fit.
@@ -6,14 +6,17 @@ predict the user's next one, so SQL's own regression gives the same fit.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from waymark.functions.common import materialize
-from waymark.operators import models, vectors
+from waymark.functions.common import materialize, shared_dir
+from waymark.operators import models, partition, routing, vectors
 from waymark.plans import jobs
-from waymark.plans.data import FRAMES, cache, frames, latents
+from waymark.plans.data import FRAMES, PROTOTYPES, ZSCORED, cache, frames, latents
 from waymark.plans.registry import query
+from waymark.sources import io
 
 HORIZON = 3
 
@@ -129,3 +132,29 @@ def _(spark, d):
 @query("j9_gate")
 def _(spark, d):
     return jobs.run_gate(cache(spark, d), F.floor(F.col("id") / 25), seeds=(0,), knns=(10,), landmarks=200)
+
+
+@query("v5_model_for", f"WITH {_FIT} SELECT v.region, count(*) AS n, round(avg(s * z0 + c), 4) AS next_value FROM v JOIN fit ON v.region = fit.model GROUP BY v.region")
+def _(spark, d):
+    values = materialize(_values(spark, d))
+    met = routing.model_for(values.select("start", "region", F.get(F.get("emb", F.lit(0)), F.lit(0)).alias("z")), _fitted(values)[1].select("region", "coef"))
+    told = F.get("coef", F.lit(0)) * F.col("z") + F.get("coef", F.lit(2))
+    return met.groupBy("region").agg(F.count("*").alias("n"), F.round(F.avg(told), 4).alias("next_value"))
+
+
+@query("s4_write_cache", f"WITH {FRAMES} SELECT frame_id, s0 AS value FROM frames")
+def _(spark, d):
+    path = f"{shared_dir(spark)}/waymark-{uuid.uuid4().hex}"
+    io.write_cache(frames(spark, d), path)
+    return spark.read.parquet(path).select("frame_id", F.get("state", F.lit(0)).alias("value"))
+
+
+@query("s7_artifact", f"WITH {ZSCORED}, {PROTOTYPES} SELECT id, region FROM routed")
+def _(spark, d):
+    """A partition written, read back, and replayed on all latents."""
+    path = f"{shared_dir(spark)}/waymark-{uuid.uuid4().hex}"
+    lat = latents(spark, d)
+    part = partition.fit_random_voronoi(lat, 3, 7)
+    io.write_artifact(path, part.prototypes, part.stats, part.meta)
+    prototypes, params, _ = io.read_artifact(spark, path)
+    return routing.route(lat, prototypes, params).select("id", "region")
