@@ -130,6 +130,46 @@ def test_op3_licences(spark, docs, empty):
     assert license_scan.license_scan(docs).count() == docs.count() and license_scan.license_scan(empty).count() == 0
 
 
+def test_op3_every_sentence_in_its_common_form(spark):
+    forms = [
+        ("spdx-mit", "// SPDX-License-Identifier: MIT"),
+        ("spdx-apache2", "# SPDX-License-Identifier: Apache-2.0\n# Copyright 2020 X"),
+        ("spdx-gpl3", "/* SPDX-License-Identifier: GPL-3.0-or-later */"),
+        ("spdx-gpl2", "SPDX-License-Identifier: GPL-2.0-only"),
+        ("spdx-bsd3", "<!-- SPDX-License-Identifier: BSD-3-Clause -->"),
+        ("mit-grant", "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software"),
+        ("mit-notice", "The above copyright notice and this permission notice shall be included in all\ncopies"),
+        ("as-is", '// THE SOFTWARE IS\n// PROVIDED "AS IS", WITHOUT\n// WARRANTY OF ANY KIND'),
+        ("bsd-source", "1. Redistributions of source code must retain the above copyright\n   notice, this list"),
+        ("bsd-binary", "2. Redistributions in binary form must reproduce the above copyright notice"),
+        ("bsd-name", "3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products"),
+        ("apache2-ref", '# Licensed under the\n# Apache License, Version 2.0 (the "License");'),
+        ("apache2-link", "     http://www.apache.org/licenses/LICENSE-2.0"),
+        ("agpl3-ref", "under the terms of the GNU Affero General Public License, version 3"),
+        ("lgpl-ref", "under the terms of the GNU Lesser General Public License"),
+        ("gpl3-ref", "licensed under the GNU General Public License, version 3."),
+        ("gpl2-ref", " * under the terms of the GNU General Public License\n * Version 2"),
+        ("gpl-any-ref", "redistribute it under the terms of the GNU General Public License as published"),
+        ("mit-ref", "Released under the MIT\nLicense."),
+        ("bsd3-ref", "Distributed under the BSD 3-Clause."),
+        ("mpl2-ref", "This Source Code Form is subject to the terms of the Mozilla\nPublic License, v. 2.0."),
+        ("cc-by-nc-4", "Licensed under CC BY-NC 4.0."),
+        ("cc-by-sa-4", "licensed under a CC BY-SA 4.0 license"),
+        ("cc-by-4", "This work is licensed under CC BY 4.0"),
+        ("cc0", "CC0 1.0 Universal"),
+        ("", "My driving license is new."),
+        ("unknown", "It is available under the Foo terms."),
+        ("unknown", "SPDX-License-Identifier: ISC"),
+        # lines that stand for themselves stay apart
+        ("spdx-mit,spdx-apache2", "SPDX-License-Identifier: MIT\nSPDX-License-Identifier: Apache-2.0"),
+        ("mit-ref,cc-by-4", "Released under the MIT License,\nLicensed under CC BY 4.0"),
+        ("mit-ref,mit-grant", "Released under the MIT License: Permission is hereby granted, free of charge, to any person obtaining a copy"),
+    ]
+    assert {n for n, _ in license_scan.SENTENCES} <= {i for n, _ in forms for i in n.split(",")} | {"unlike"}
+    got = license_scan.license_scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(forms)], "doc_id long, text string")).collect()
+    assert [r.sentence_ids for r in sorted(got)] == [n for n, _ in forms]
+
+
 def test_op4_ids_are_the_librarys(docs, empty):
     enc = AgendaEncoder(tokenizer_path("piece_bpe_32k.model"))
     got = id_digests(encode_decode(docs.select("doc_id", "text", "lang"), tokenizer_path("piece_bpe_32k.model"))).collect()

@@ -69,23 +69,42 @@ RULES = (
     (("cc-by-4",), "CC-BY-4.0"),
     (("cc0",), "CC0-1.0"),
 )
-#: A sentence without one of these can't match a pattern; texts without any are done at once.
-CUE = r"(?i)licen|permission|redistributions|neither the name|as is|cc0|dedicated to the public"
-#: A line that starts in lower case goes on the sentence of the line before, behind any comment marks.
-WRAP = r"\n[ \t*#/-]*([a-z(])"
-STOP = r"[.;:!?]+[ \t\r\f]+|\n"
-NOISE = r"[^a-z0-9.]+"
+#: Further forms of known sentences, which the SQL lacks.
+FORMS = {
+    "mpl2-ref": r"|.*subject to the terms of the mozilla public license (v |version )?2\.0.*",
+    "unknown": r"|.*spdx license identifier .*",
+}
+PATTERNS = tuple((name, pattern + FORMS.get(name, "")) for name, pattern in SENTENCES)
+#: Every pattern needs one of these, also before a sentence is normalised; texts without any are done at once.
+CUE = r"(?i)licen|permission|redistributions|neither|warranty|cc0|dedicated|bsd|(?:released|distributed|available)[^a-z0-9]+under"
+_BREAK = r"[ \t\r]*\n[ \t*#/-]*"
+_GOES_ON = r"(?!SPDX|Licensed|Released|Distributed|Available)(?=[A-Za-z0-9(\"'])"
+#: A line goes on the sentence of the line before, behind any comment marks, if it starts in lower case, if that
+#: line stops at a comma or a word that ends no sentence, if both are in capitals, or inside a licence's name.
+WRAP = "|".join(
+    (
+        _BREAK + r"(?=[a-z(])",
+        r"(?<=,|\b(?i:the|a|an|of|or|and|to|in|by|under|with|without|for|that|this|be|is|as|any|must|shall|may|provided|version|v\.|identifier:))" + _BREAK + _GOES_ON,
+        r"(?<=\b[A-Z]{2,20}[,\"']{0,2})" + _BREAK + _GOES_ON + r"(?=[(\"']?[A-Z]{2})",
+        r"(?<=\b(?i:apache|mit|public|bsd|clause))" + _BREAK + r"(?=Licen[sc]e\b|3-Clause\b)",
+        _BREAK + r"(?=Public License|General Public|Lesser General|Library General|Affero General|Version [0-9])",
+    )
+)
+#: Neither the colon of an SPDX header nor the dot of "v. 2.0" ends a sentence.
+STOP = r"(?:[;!?]|\.(?!(?<=\b[vV]\.)[ \t]+[0-9])|(?<!(?i:license.identifier)):)+[ \t\r\f]+|\n"
+#: Dots stay inside version numbers only.
+NOISE = r"(?:[^a-z0-9.]|(?<![0-9])\.|\.(?![0-9]))+"
 
 
 def _sentences(text: Column) -> Column:
-    cut = F.split(F.regexp_replace(text, WRAP, " $1"), STOP)
+    cut = F.split(F.regexp_replace(text, WRAP, " "), STOP)
     likely = F.filter(cut, lambda x: x.rlike(CUE))
     return F.transform(likely, lambda x: F.btrim(F.regexp_replace(F.lower(x), NOISE, " "), F.lit(" .")))
 
 
 def _identify(sentence: Column) -> Column:
     out = None
-    for name, pattern in SENTENCES:
+    for name, pattern in PATTERNS:
         at = sentence.rlike(f"^({pattern})$")
         out = F.when(at, name) if out is None else out.when(at, name)
     return out
@@ -127,6 +146,13 @@ def _match() -> list[Column]:
     return [F.array_distinct(F.array_compact(F.array(*picked))).alias("licenses"), left.cast("long").alias("left_over")]
 
 
+#: The SQL's own cuts: DuckDB's expressions can't look around, so it knows no SPDX headers, links or upper-case wraps.
+_SQL_CUE = r"(?i)licen|permission|redistributions|neither the name|as is|cc0|dedicated to the public"
+_SQL_WRAP = r"\n[ \t*#/-]*([a-z(])"
+_SQL_STOP = r"[.;:!?]+[ \t\r\f]+|\n"
+_SQL_NOISE = r"[^a-z0-9.]+"
+
+
 def _sql() -> str:
     case = "CASE " + " ".join(f"WHEN regexp_full_match(x, '{p}') THEN '{n}'" for n, p in SENTENCES) + " END"
     rest, picked = "rest", []
@@ -142,8 +168,8 @@ def _sql() -> str:
     names = ", ".join(f"CASE WHEN p{k} THEN '{name}' END" for k, (_, name) in enumerate(RULES, 1))
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-s AS (SELECT doc_id, list_filter(string_split_regex(regexp_replace(t, '{WRAP}', ' \\1', 'g'), '{STOP}'), lambda x: regexp_matches(x, '{CUE}')) AS s FROM d),
-n AS (SELECT doc_id, list_transform(s, lambda x: trim(regexp_replace(lower(x), '{NOISE}', ' ', 'g'), ' .')) AS s FROM s),
+s AS (SELECT doc_id, list_filter(string_split_regex(regexp_replace(t, '{_SQL_WRAP}', ' \\1', 'g'), '{_SQL_STOP}'), lambda x: regexp_matches(x, '{_SQL_CUE}')) AS s FROM d),
+n AS (SELECT doc_id, list_transform(s, lambda x: trim(regexp_replace(lower(x), '{_SQL_NOISE}', ' ', 'g'), ' .')) AS s FROM s),
 i AS (SELECT doc_id, list_filter(list_transform(s, lambda x: {case}), lambda x: x IS NOT NULL AND x <> 'unlike') AS ids FROM n),
 r0 AS (SELECT doc_id, ids, ',' || array_to_string(list_transform(ids, lambda x: x || ','), ',') AS rest FROM i),
 {", ".join(steps)},
