@@ -21,8 +21,10 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and aren't depleted by frequent lines."""
-    return quality_rules(docs).where("kept").select(*COLUMNS)
+    """Documents that pass the base rules and aren't depleted by frequent lines, without those lines."""
+    out = quality_rules(docs).where("kept")
+    chars = F.when(F.col("n_removed_lines") > 0, F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars"))
+    return out.withColumns({"text": F.col("kept_text"), "n_chars": chars}).select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -281,6 +281,24 @@ def test_op8_depleted(spark):
     assert not any(got[i] for i in range(40)) and all(got[100 + i] for i in range(3))
 
 
+def test_op8_frequent_lines_are_removed(spark):
+    import corpus_pipeline
+
+    line = "The same boilerplate line on all the pages of this host"
+    own = lambda i: " ".join(f"t{i}x{k}" for k in range(60))
+    texts = {i: f"{line}\n{own(i)}\n\n  {line.upper()} \nend {i}" for i in range(40)} | {50: own(50), 51: None}
+    rows = [(i, t, h, "en", len(t or "")) for i, t in texts.items() for h in ("h", None)] + [(90, texts[0], "small host", "en", len(texts[0]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    got = quality_rules(docs).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        lost = r.doc_id < 40
+        assert r.n_removed_lines == (2 if lost else 0) and r.kept == (r.text is not None)
+        assert r.kept_text == (f"{own(r.doc_id)}\n\nend {r.doc_id}" if lost else r.text)
+    out = corpus_pipeline.quality(spark, docs, "").collect()
+    assert len(out) == 83 and all((r.doc_id == 90) == (line in r.text) and r.n_chars == len(r.text) for r in out)
+
+
 def test_op9_lines(docs, empty):
     rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None]
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(LOWER)

@@ -64,53 +64,68 @@ def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     ).drop("_t", "_w", "_l", "_b", "_k", "_p")
 
 
-def depleted_documents(docs: DataFrame, host: str = "source", min_docs: int = 20, max_share: float = 0.05, min_left: float = 0.3) -> DataFrame:
-    """(row_key, chars, removed_chars, depleted) for rows of ``docs`` that hold a line above the limit.
+def _keyed_lines(text: Column) -> Column:
+    """(h, n) of each line in order: hash of its key, null for blank lines, and its length."""
+    keys = F.transform(F.split(text, "\n"), line_key)
+    return F.transform(keys, lambda x: F.struct(F.when(x != "", F.xxhash64(x)).alias("h"), F.char_length(x).alias("n")))
+
+
+def _distinct(keyed: Column) -> Column:
+    return F.array_distinct(F.filter(keyed, lambda x: x["h"].isNotNull()))
+
+
+def frequent_lines(docs: DataFrame, host: str = "source", min_docs: int = 20, max_share: float = 0.05) -> DataFrame:
+    """(_host, _above) for each host of ``docs`` that has lines above the limit, with the hashes of those lines.
 
     A line (stripped, A-Z lower-cased, hashed) is above the limit of its host
     if more than ``max_share`` of the host's documents and at least
     ``min_docs`` hold it; documents with equal texts count once, so copies
-    alone don't condemn a text.  A document is depleted if less than
-    ``min_left`` of the characters of its distinct lines stay.
+    alone don't condemn a text.  A host has at most 1 / ``max_share`` times
+    its mean number of distinct lines a text above the limit.
     """
-    docs = docs.select("row_key", F.col(host).alias("host"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    docs = docs.select(F.col(host).alias("host"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     docs = docs.withColumn("copy", F.xxhash64("text"))
-    keys = F.transform(F.split("text", "\n"), line_key)
-    lines = F.array_distinct(F.transform(F.filter(keys, lambda x: x != ""), lambda x: F.struct(F.xxhash64(x).alias("h"), F.char_length(x).alias("n"))))
-    held = docs.withColumn("lines", lines)
-    chars = F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    held = held.select("row_key", "host", "copy", chars.alias("chars"), F.explode("lines").alias("line")).select("row_key", "host", "copy", "chars", "line.h", "line.n")
+    held = docs.select("host", "copy", F.explode(_distinct(_keyed_lines(F.col("text")))).alias("line")).select("host", "copy", "line.h")
     often = materialize(held.groupBy("host", "h").agg(F.count("*").alias("rows")).where(F.col("rows") >= min_docs).select("host", "h"))
-    hits = materialize(held.join(often.select(F.col("host").alias("o_host"), F.col("h").alias("o_h")), F.col("host").eqNullSafe(F.col("o_host")) & (F.col("h") == F.col("o_h"))).drop("o_host", "o_h"))
+    hits = held.join(often.select(F.col("host").alias("o_host"), F.col("h").alias("o_h")), F.col("host").eqNullSafe(F.col("o_host")) & (F.col("h") == F.col("o_h")))
     total = docs.groupBy("host").agg(F.countDistinct("copy").alias("host_docs"))
     count = hits.groupBy("host", "h").agg(F.countDistinct("copy").alias("docs"))
-    limit = materialize(count.join(total.withColumnRenamed("host", "t_host"), F.col("host").eqNullSafe(F.col("t_host"))).where((F.col("docs") >= min_docs) & (F.col("docs") > F.lit(max_share) * F.col("host_docs"))).select(F.col("host").alias("o_host"), F.col("h").alias("o_h")))
-    gone = hits.join(limit, F.col("host").eqNullSafe(F.col("o_host")) & (F.col("h") == F.col("o_h"))).groupBy("row_key", "h").agg(F.max("n").alias("n"), F.max("chars").alias("chars"))
-    gone = gone.groupBy("row_key").agg(F.max("chars").alias("chars"), F.sum("n").alias("removed_chars"))
-    gone = materialize(gone.withColumn("depleted", F.col("chars") - F.col("removed_chars") < F.lit(min_left) * F.col("chars")))
-    discard(often, hits, limit)
-    return gone
+    above = count.join(total.withColumnRenamed("host", "t_host"), F.col("host").eqNullSafe(F.col("t_host"))).where((F.col("docs") >= min_docs) & (F.col("docs") > F.lit(max_share) * F.col("host_docs")))
+    out = materialize(above.groupBy(F.col("host").alias("_host")).agg(F.collect_set("h").alias("_above")))
+    discard(often)
+    return out
 
 
-def quality_rules(docs: DataFrame, host: str = "source", min_words: int = 50, max_repeat_share: float = 0.5, **limits) -> DataFrame:
-    """``docs`` with the statistics of :func:`text_statistics`, base_failed, depleted and kept.
+def quality_rules(docs: DataFrame, host: str = "source", min_words: int = 50, max_repeat_share: float = 0.5, min_left: float = 0.3, **limits) -> DataFrame:
+    """``docs`` with the statistics of :func:`text_statistics`, base_failed, depleted, kept, n_removed_lines and kept_text.
 
     A row fails the base rules with fewer than ``min_words`` words or if more
-    than ``max_repeat_share`` of its words are in repeated windows; of the rest
-    those are kept that :func:`depleted_documents` leaves.  Null text is empty
+    than ``max_repeat_share`` of its words are in repeated windows.
+    ``kept_text`` is the text without the lines of :func:`frequent_lines`; a
+    row is depleted if less than ``min_left`` of the characters of its
+    distinct lines stay.  Rows that do neither are kept.  Null text is empty
     and fails; null hosts are one host; repeated rows get equal verdicts; an
     empty table gives no rows.  Other columns stay, but for those with the
     names of the results, which are replaced.
     """
-    made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "depleted", "kept", "row_key")
+    made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "depleted", "kept", "n_removed_lines", "kept_text")
     docs = docs.drop(*made)
-    keyed = docs.withColumn("row_key", F.xxhash64("doc_id", host, "text"))
-    gone = depleted_documents(keyed, host, **limits).where("depleted").select(F.col("row_key").alias("gone_key"))
-    out = text_statistics(keyed)
+    above = frequent_lines(docs, host, **limits)
+    out = text_statistics(docs)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > F.lit(100 * max_repeat_share) * F.col("n_words"))
-    out = out.withColumn("base_failed", failed).join(gone, F.col("row_key") == F.col("gone_key"), "left")
-    out = out.withColumn("depleted", F.col("gone_key").isNotNull()).withColumn("kept", ~F.col("base_failed") & ~F.col("depleted") & (F.col("_row") >= 0))
-    return out.drop("row_key", "gone_key", "_row")
+    out = out.withColumn("base_failed", failed).join(above, F.col(host).eqNullSafe(F.col("_host")), "left")
+    # as in text_statistics, a filter must not compute the lines anew
+    out = out.withColumns({"_keyed": F.when(F.col("_above").isNotNull(), _keyed_lines(F.coalesce(F.col("text"), F.lit("")))), "_met": F.monotonically_increasing_id()})
+    frequent = lambda h: F.coalesce(F.array_contains("_above", h), F.lit(False))
+    chars = lambda lines: F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    lines = out.withColumn("_distinct", _distinct(F.col("_keyed")))
+    left = lines.withColumns({"_chars": chars(F.col("_distinct")), "_left": chars(F.filter("_distinct", lambda x: ~frequent(x["h"])))})
+    out = left.withColumn("depleted", F.coalesce(F.col("_left") < F.lit(min_left) * F.col("_chars"), F.lit(False)))
+    out = out.withColumn("kept", ~F.col("base_failed") & ~F.col("depleted") & (F.col("_row") >= 0) & (F.col("_met") >= 0))
+    out = out.withColumn("_stay", F.filter(F.split("text", "\n"), lambda x, i: ~frequent(F.get("_keyed", i)["h"])))
+    out = out.withColumn("n_removed_lines", F.coalesce(F.size("_keyed") - F.size("_stay"), F.lit(0)).cast("long"))
+    out = out.withColumn("kept_text", F.when(F.col("n_removed_lines") > 0, F.array_join("_stay", "\n")).otherwise(F.col("text")))
+    return out.drop("_row", "_met", "_host", "_above", "_keyed", "_distinct", "_chars", "_left", "_stay")
 
 
 def _sql() -> str:
