@@ -57,9 +57,9 @@ def shingles(text):
 
 
 def linked(rows):
-    """Brute force: id -> (set size, least id reached)."""
+    """Brute force over (id, text): id -> (set size, least id reached, number of links)."""
     sets = {i: shingles(t) for i, t in rows}
-    up = {i: i for i in sets}
+    up, links = {i: i for i in sets}, Counter()
 
     def find(x):
         while up[x] != x:
@@ -71,20 +71,70 @@ def linked(rows):
         for b in ids[k + 1 :]:
             n = len(sets[a] & sets[b])
             if n and 100 * n >= 80 * len(sets[a] | sets[b]):
+                links.update((a, b))
                 x, y = find(a), find(b)
                 up[max(x, y)] = min(x, y)
-    return {i: (len(sets[i]), find(i)) for i in ids}
+    return {i: (len(sets[i]), find(i), links[i]) for i in ids}
 
 
 def test_op1_links(docs, empty):
-    got = ngram_jaccard_join(docs).collect()
-    want = linked([(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None])
-    assert len(got) == docs.count()
-    assert all((r.n_shingles, r.component_id) == want[r.doc_id] for r in got if r.doc_id is not None)
-    assert any(r.component_id != r.doc_id for r in got)
+    rows = docs.where("doc_id IS NOT NULL").distinct()
+    want = linked([(r.doc_id, r.text) for r in rows.collect()])
+    got = {r.doc_id: r for r in ngram_jaccard_join(rows).collect()}
+    assert {i: (r.n_shingles, r.component_id, r.n_links) for i, r in got.items()} == want
+    assert any(r.component_id != r.doc_id for r in got.values())
+    every = ngram_jaccard_join(docs).collect()
+    assert len(every) == docs.count() and all((r.n_shingles, r.component_id) == want[r.doc_id][:2] for r in every if r.doc_id is not None)
+    assert {r.n_links for r in every if r.doc_id == 3} == {want[3][2] + 1}  # its copy is a row more
     assert ngram_jaccard_join(empty).count() == 0
-    kept = {r.doc_id for r in keep_one_per_component(docs).collect()}
-    assert kept == {i for i, (_, c) in want.items() if i == c} | {None}
+
+
+def test_op1_keeps_one_row_as_it_is(docs, empty):
+    want = linked([(r.doc_id, r.text) for r in docs.where("doc_id IS NOT NULL").distinct().collect()])
+    clash = docs.selectExpr("doc_id", "text", "'a' AS copy", "'b' AS own_id", "'c' AS nth", "'d' AS h", "'e' AS did", "'f' AS row", "n_chars AS sid")
+    got = keep_one_per_component(clash).collect()
+    assert {r.doc_id for r in got} == {i for i, w in want.items() if i == w[1]} | {None}
+    assert len(got) == len({(r.doc_id, r.text) for r in got})
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert all(r[1:8] == (texts[r.doc_id], *"abcdef"[:6]) for r in got)
+    assert keep_one_per_component(empty).count() == 0
+
+
+def test_op1_chunks_of_few_words(spark):
+    rows = [(n, " ".join("abcdefg"[:n])) for n in range(8)] + [(8, "eight words stand in this text at last"), (9, "A B C")]
+    one_each = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(10, "doc_id")
+    assert one_each.select(F.spark_partition_id()).distinct().count() > 5
+    assert {r.doc_id: tuple(r)[1:] for r in ngram_jaccard_join(one_each).collect()} == linked(rows)
+
+
+def test_op1_null_ids_take_part(spark):
+    words = [f"w{i}" for i in range(60)]
+    chain = [" ".join(x) for x in (words, ["front"] * 5 + words[5:], ["front"] * 5 + words[5:55] + ["end"] * 5)]
+    rows = [(1, chain[0]), (None, chain[1]), (None, chain[1]), (3, chain[2]), (None, "quite another text of no one " * 3)]
+    assert linked(list(enumerate(chain)))[2][1] == 0 and linked([(0, chain[0]), (2, chain[2])])[2][1] == 2
+    got = sorted(ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect(), key=str)
+    assert [(r.doc_id, r.component_id, r.n_links) for r in got if r.doc_id] == [(1, 1, 2), (3, 1, 2)]
+    assert sorted((r.component_id or 0, r.n_links) for r in got if r.doc_id is None) == [(0, 0), (1, 3), (1, 3)]
+
+
+def test_op1_groups_of_many_blocks(spark, monkeypatch):
+    from waymark.llm import ngram_join as module
+
+    monkeypatch.setattr(module, "BLOCK", 4)
+    rng = np.random.default_rng(8)
+    rows = []
+    for base in range(3):
+        words = rng.choice([f"v{i}" for i in range(5000)], 150).tolist()
+        for _ in range(40):
+            own = list(words)
+            for at in rng.integers(0, 150, rng.integers(0, 5)):
+                own[at] = f"z{rng.integers(10**6)}"
+            rows.append((len(rows), " ".join(own)))
+    want = linked(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: tuple(r)[1:] for r in ngram_jaccard_join(df).collect()} == want
+    assert {r.doc_id: r.component_id for r in ngram_jaccard_join(df, count_links=False).collect()} == {i: w[1] for i, w in want.items()}
+    assert {r.doc_id for r in keep_one_per_component(df).collect()} == {i for i, w in want.items() if w[1] == i}
 
 
 def test_op2_mix(docs, empty):

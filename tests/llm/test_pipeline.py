@@ -25,7 +25,7 @@ def test_stages(spark):
             assert docs.columns == list(corpus_pipeline.COLUMNS)
     before, after = told["n-gram Jaccard join"]
     want = linked([(r.doc_id, r.text) for r in before.collect()])
-    assert {r.doc_id for r in after.collect()} == {i for i, (_, c) in want.items() if i == c}
+    assert {r.doc_id for r in after.collect()} == {i for i, (_, c, _) in want.items() if i == c}
     before, after = told["quality rules"]
     assert {r.doc_id for r in after.collect()} <= {r.doc_id for r in before.collect()} and after.count() > 10
     before, after = told["SentencePiece encoding and decoding"]

@@ -85,9 +85,10 @@ def shingles(hashes: np.ndarray, per_row: np.ndarray, size: int) -> list[np.ndar
     """For each row the sorted distinct shingles of ``size`` words; a shorter text is one shingle, none without words."""
     ends = np.cumsum(per_row)
     n = len(hashes)
-    run = np.zeros(max(0, n - size + 1), dtype=np.uint64)
+    windows = max(0, n - size + 1)  # none in a chunk of fewer words
+    run = np.zeros(windows, dtype=np.uint64)
     for j in range(size):
-        run += hashes[j : n - size + 1 + j] * _STEP[j]
+        run += hashes[j : j + windows] * _STEP[j]
     run = mix(run + _U(size))
     out = []
     for end, count in zip(ends.tolist(), per_row.tolist(), strict=True):

@@ -11,14 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 WS_CLASS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Stands for a null id among longs.
+NO_ID = -(2**63)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir; where that is unset, a local one if the master is local, else an error."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not at:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = current.get() if current.isDefined() else None
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not at:
         at = tempfile.mkdtemp(prefix="waymark-")
         spark.sparkContext.setCheckpointDir(at)
@@ -89,6 +93,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     both = edges.select("a", "b").where("a <> b")
     both = both.union(both.selectExpr("b AS a", "a AS b")).distinct()
     both = materialize(both)
+    if not both.limit(1).count():
+        return both.selectExpr("a AS v", "b AS c")
     labels = materialize(both.groupBy("a").agg({"b": "min"}).selectExpr("a AS v", "least(a, `min(b)`) AS c"))
     for _ in range(max_rounds):
         near = both.join(labels.selectExpr("v AS b", "c"), "b").groupBy("a").agg({"c": "min"}).selectExpr("a AS v", "`min(c)` AS near")
