@@ -269,6 +269,7 @@ def test_op6_files_round_trip(spark, docs, empty, tmp_path):
     from tokenizers import Tokenizer
 
     path = tokenizer_path("byte_bpe_50k.json")
+    docs = docs.union(docs.where("doc_id = 4").withColumn("doc_id", F.expr("-9223372036854775807L - 1")))
     huffman_ids.write_id_files(docs, str(tmp_path / "a"), path, 2)
     got = huffman_ids.id_checksums(huffman_ids.read_id_files(spark, str(tmp_path / "a"))).orderBy("start").collect()
     lib, at = Tokenizer.from_file(path), 0
@@ -276,7 +277,7 @@ def test_op6_files_round_trip(spark, docs, empty, tmp_path):
     for r in docs.collect():
         ids = np.array(lib.encode(r.text or "", add_special_tokens=False).ids + [2], dtype="<u4")
         want[r.doc_id].append((len(ids), zlib.crc32(ids.tobytes())))
-    assert [r.doc_id for r in got] == sorted((r.doc_id for r in docs.collect()), key=lambda x: -1 if x is None else x)
+    assert [r.doc_id for r in got] == sorted((r.doc_id for r in docs.collect()), key=lambda x: -(2**64) if x is None else x)
     for r in got:
         assert r.start == at and (r.n_tokens, r.ids_crc32) in want[r.doc_id]
         at += r.n_tokens
@@ -284,6 +285,26 @@ def test_op6_files_round_trip(spark, docs, empty, tmp_path):
     assert huffman_ids.read_id_files(spark, str(tmp_path / "b")).count() == 0
 
 
+def test_op6_parts_give_the_librarys_ids():
+    import random
+
+    import pyarrow as pa
+
+    from waymark.llm.hashing import text_chunks
+
+    tok = huffman_ids.ChunkTokenizer(tokenizer_path("byte_bpe_50k.json"))
+    rng = random.Random(7)
+    pool = ["the", "Word", "it's", "'ll", "'", '"', ".", ",", "(", "12", "9", " ", " ", " ", "  ", "\n", "\n\n", "\r\n", "\t", "\x0b", "\x0c", "\x1c", "\x00", "\x85", "\u00a0", "\u1680", "\u2003", "\u2028", "\u202f", "\u205f", "\u3000", "\ufeff", "\u0300", "é", "漢字", "Ж", "𝄞", "²", "٣", "<|endoftext|>", "<|", "|>", "_", "..."]
+    texts = ["".join(rng.choices(pool, k=rng.randint(0, 14))) for _ in range(30_000)] + ["x" * 3000, "", " ", "\n"]
+    want = [x.ids for x in tok.library.encode_batch_fast(texts, add_special_tokens=False)]
+    for size in (1 << 10, 1 << 16):
+        tok._forget()
+        for first, data, offsets in text_chunks(pa.array(texts), size):
+            flat, sizes = tok.encode(data, offsets)
+            for k, (end, n) in enumerate(zip(np.cumsum(sizes).tolist(), sizes.tolist(), strict=True), first):
+                assert flat[end - n : end].tolist() == want[k], texts[k]
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 300, 40_000])
 def test_op6_codes(n):
     counts = np.random.default_rng(n).zipf(1.2, n) % 10**8 + 1

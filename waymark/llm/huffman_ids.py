@@ -10,9 +10,9 @@ table that maps the next MAX_BITS bits to an id and its length.
 The file format is a table of binary segments, written by Spark's own commit
 protocol so that it works on any store Spark writes to:
 
-    magic "WHF1", then little-endian u32: documents, ids, blocks;
-    u64 doc_id and u32 number of ids for each document;
-    u32 bit offset for each block; the bits, first bit highest.
+    magic "WHF2", then little-endian u32: documents, blocks, documents with a null
+    id, which come first; i64 doc_id and u32 number of ids for each document;
+    u64 bit offset for each block; the bits, first bit highest.
 
 Segments have (part, seq) as their order, which is ascending doc_id.
 """
@@ -25,34 +25,74 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .hashing import text_chunks
 from .shared import discard, materialize, shuffle_partitions
 
 MAX_BITS, BLOCK_IDS = 20, 256
 #: A segment closes at so many ids; a longer document is a segment of its own.
 SEGMENT_IDS = 1 << 19
-MAGIC = b"WHF1"
-#: Encoded chunks that a worker keeps (about 250 bytes each).
-CACHE = 300_000
-#: Punctuation that is cut from the end of a part.
-CLOSING = ".,;:!?)]}\"'|"
+MAGIC = b"WHF2"
+#: Text that is encoded at a time, unless one document is longer.
+CHUNK_BYTES = 8 << 20
+#: Parts, and bytes of them, that a worker keeps the ids of.
+CACHE_PARTS, CACHE_BYTES = 1_000_000, 24 << 20
 _tokenizers: dict[str, ChunkTokenizer] = {}
+_SPACE, _LETTER, _DIGIT, _MARK, _WIDE, _OTHER = range(6)
+_CLASS = np.full(256, _OTHER, dtype=np.uint8)
+_CLASS[[9, 10, 13, 32]] = _SPACE
+_CLASS[33:127] = _MARK
+_CLASS[48:58] = _DIGIT
+_CLASS[[*range(65, 91), *range(97, 123)]] = _LETTER
+_CLASS[128:] = _WIDE
+_QUOTE, _FEED, _BLANK = b"'\n "
+
+
+def _solid(data: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Bytes that end a character which surely isn't white space."""
+    out = (kind == _LETTER) | (kind == _DIGIT) | (kind == _MARK)
+    wide = np.flatnonzero(kind == _WIDE)
+    if len(wide):
+        one, two = data[np.maximum(wide - 1, 0)], data[np.maximum(wide - 2, 0)]
+        # U+0080 to U+00BF, and the blocks of Unicode's other spaces
+        out[wide] = (one != 0xC2) & ~(np.isin(two, (0xE1, 0xE2, 0xE3)) & np.isin(one, (0x9A, 0x80, 0x81)))
+    return out
+
+
+def part_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where texts can be cut: the ids of a text are those of its parts.
+
+    The pre-tokenizer's pieces always end before white space that follows
+    something else, after a single line feed, before a mark behind a letter or
+    number, and before those behind a mark, but for quotes, which may open a
+    contraction.  Rows always start parts.
+    """
+    kind = _CLASS[data]
+    solid = _solid(data, kind)
+    plain = solid & (kind != _WIDE)
+    word, mark = (kind == _LETTER) | (kind == _DIGIT), kind == _MARK
+    cut = np.zeros(len(data) + 1, dtype=bool)
+    if len(data) > 1:
+        cut[1:-1] = solid[:-1] & (kind[1:] == _SPACE)
+        cut[1:-1] |= word[:-1] & mark[1:]
+        cut[1:-1] |= mark[:-1] & (data[:-1] != _QUOTE) & word[1:]
+        cut[2:-1] |= plain[:-2] & (data[1:-1] == _FEED) & plain[2:]
+    cut[offsets[:-1]] = True
+    return np.flatnonzero(cut[:-1])
 
 
 class ChunkTokenizer:
-    """Byte-level BPE through the tokenizers library, each chunk of a batch once.
-
-    A chunk is what lies between single spaces, with the space before it.  The
-    pre-tokenizer never joins pieces over a space, or over a line feed, that
-    has other characters on both sides, nor over the step from a letter or
-    number to punctuation, so the ids of a text are those of such parts.  New
-    parts are encoded many at a time in texts of their own: each starts with
-    its space, which no other id of it holds, so the ids fall apart again.  A
-    text where a part is empty or has white space at an end, or with a special
-    token's string, is encoded whole.
+    """Byte-level BPE through the tokenizers library, each part of many texts once.
+
+    Texts are cut at :func:`part_starts`, and the parts of a chunk are
+    dictionary-encoded; only parts that are new to the worker reach the
+    library, many in one text: words behind their spaces fall apart at ids that
+    start with a space, others are put between line feeds.  Texts that hold a
+    special token's string are one part.
     """
 
     def __init__(self, path: str):
@@ -60,99 +100,99 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         self.kind = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
         self.opens = np.zeros(self.library.get_vocab_size(), dtype=bool)
         self.opens[[i for t, i in self.library.get_vocab().items() if t.startswith("\u0120")]] = True
-        self.spaced: dict[str, bytes | None] = {}  # of a part with a space before it; None is one that can't stand alone
-        self.bare: dict[str, bytes] = {}  # of a part without one
+        self.feed = self.library.encode("\n", add_special_tokens=False).ids
+        self._forget()
 
-    def _flat(self, texts: list[str]) -> tuple[np.ndarray, list[int]]:
-        got = [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        return np.fromiter(itertools.chain.from_iterable(got), dtype=self.kind), [len(x) for x in got]
+    def _forget(self) -> None:
+        self.known = pa.array([], pa.large_string())
+        self.flat, self.sizes = np.zeros(0, dtype=self.kind), np.zeros(0, dtype=np.int64)
 
-    def _bytes(self, texts: list[str]) -> list[bytes]:
-        flat, sizes = self._flat(texts)
-        ends, width = np.cumsum([0, *sizes]).tolist(), flat.itemsize
-        raw = flat.tobytes()
-        return [raw[width * a : width * b] for a, b in itertools.pairwise(ends)]
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each)."""
+        got = [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(itertools.chain.from_iterable(got), dtype=self.kind), np.array([len(x) for x in got], dtype=np.int64)
 
-    def _spaced(self, parts: list[str]) -> list[bytes]:
-        """Ids of parts without spaces, each with one before it."""
-        flat, _ = self._flat([" " + " ".join(parts[k : k + 200]) for k in range(0, len(parts), 200)])
+    def _spaced(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Of parts that start with their only space."""
+        data, ends = _buffers(parts)
+        edges = [*ends[:-1:256].tolist(), int(ends[-1])]
+        flat, _ = self._encode([bytes(data[a:b]).decode() for a, b in itertools.pairwise(edges)])
         first = np.flatnonzero(self.opens[flat])
-        if len(first) != len(parts):
-            return self._bytes([" " + p for p in parts])
-        raw, width = flat.tobytes(), flat.itemsize
-        return [raw[width * a : width * b] for a, b in itertools.pairwise([*first.tolist(), len(flat)])]
-
-    def _learn(self, parts: list[str]) -> None:
-        """Add new spaced parts, cut at line feeds and before closing punctuation."""
-        spaced, bare = self.spaced, self.bare
-        words: list[str] = []
-        plan: list[tuple[str, str, list[str]]] = []
-        heads, loose = set(), set()
-        for p in parts:
-            if p.isalpha():
-                words.append(p)
-                continue
-            if not p or p[0].isspace() or p[-1].isspace():
-                spaced[p] = None
-                continue
-            head, rest = p, []
-            if "\n" in p:
-                head, *lines = p.split("\n")
-                if any(not x or x[0].isspace() or x[-1].isspace() for x in (head, *lines)):
-                    head = p
-                else:
-                    rest = [y for x in lines for y in ("\n", x)]
-            stem = head.rstrip(CLOSING)
-            if stem != head and stem and stem[-1].isalnum():
-                rest = [head[len(stem) :], *rest]
-                head = stem
-            plan.append((p, head, rest))
-            heads.add(head)
-            loose.update(rest)
-        words += [h for h in heads.difference(words) if h not in spaced]
-        if words:
-            spaced.update(zip(words, self._spaced(words), strict=True))
-        loose = [x for x in loose if x not in bare]
-        if loose:
-            bare.update(zip(loose, self._bytes(loose), strict=True))
-        for p, head, rest in plan:
-            if rest:
-                spaced[p] = spaced[head] + b"".join([bare[x] for x in rest])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [None if any(s in t for s in self.special) else t.split(" ") for t in texts]
-        firsts = [x.pop(0) if x else "" for x in cut]
-        first_ids = self._bytes(firsts)
-        seen: set[str] = set()
-        for parts in cut:
-            if parts:
-                seen.update(parts)
-        kept = len(self.spaced)
-        new = [p for p in seen if p not in self.spaced]
-        if new:
-            self._learn(new)
-        find, out, whole = self.spaced.__getitem__, [], []
-        for k, parts in enumerate(cut):
-            try:
-                if parts is None or parts and (not firsts[k] or firsts[k][0].isspace() or firsts[k][-1].isspace()):
-                    raise TypeError
-                out.append(first_ids[k] + b"".join(map(find, parts)))
-            except TypeError:  # a part that can't stand alone has no bytes
-                out.append(b"")
-                whole.append(k)
+        return (flat, np.diff(np.append(first, len(flat)))) if len(first) == len(parts) else self._encode(parts.to_pylist())
+
+    def _bare(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Of parts without white space."""
+        texts = parts.to_pylist()
+        flat, _ = self._encode(["\n".join(texts[k : k + 256]) + "\n" for k in range(0, len(texts), 256)])
+        last = np.flatnonzero(flat == self.feed[0])
+        if len(self.feed) != 1 or len(last) != len(texts):
+            return self._encode(texts)
+        return np.delete(flat, last), np.diff(np.append(-1, last)) - 1
+
+    def _learn(self, parts: pa.Array) -> np.ndarray:
+        """Where the new ``parts`` are kept."""
+        data, ends = _buffers(parts)
+        kind = _CLASS[data]
+        solid = _solid(data, kind)
+        spaces = np.diff(np.append(0, np.cumsum(kind == _SPACE))[ends])
+        size, first = np.diff(ends), data[ends[:-1]]
+        closed = solid[ends[1:] - 1]
+        spaced = closed & (spaces == 1) & (first == _BLANK) & (size > 1)
+        bare = closed & (spaces == 0) & solid[ends[:-1]] & (kind[ends[:-1]] != _WIDE)
+        place = np.empty(len(parts), dtype=np.int64)
+        for which, encode in ((spaced, self._spaced), (bare, self._bare), (~spaced & ~bare, lambda x: self._encode(x.to_pylist()))):
+            some = parts.filter(pa.array(which))
+            if len(some):
+                flat, sizes = encode(some)
+                place[which] = np.arange(len(some)) + len(self.known)
+                self.known = pa.concat_arrays([self.known, some])
+                self.flat, self.sizes = np.concatenate((self.flat, flat)), np.concatenate((self.sizes, sizes))
+        return place
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows, number of ids of each row) of rows of UTF-8."""
+        rows = len(offsets) - 1
+        if not len(data):
+            return np.zeros(0, dtype=self.kind), np.zeros(rows, dtype=np.int64)
+        starts = part_starts(data, offsets)
+        raw = data.tobytes()
+        whole = {int(np.searchsorted(offsets, at, side="right")) - 1 for mark in self.special for at in _found(raw, mark)}
         if whole:
-            for k, x in zip(whole, self._bytes([texts[k] for k in whole]), strict=True):
-                out[k] = x
-        if len(self.spaced) > CACHE:
-            for p in list(itertools.islice(reversed(self.spaced), len(self.spaced) - max(kept, CACHE))):
-                del self.spaced[p]
-        if len(self.bare) > CACHE // 4:
-            self.bare.clear()
-        return out
+            own = np.searchsorted(offsets, starts, side="right") - 1
+            starts = starts[~np.isin(own, list(whole)) | np.isin(starts, offsets)]
+        starts = starts[starts < len(data)]
+        ends = np.append(starts, len(data)).astype(np.int64)
+        parts = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(ends), pa.py_buffer(raw)).dictionary_encode()
+        distinct = parts.dictionary
+        if len(self.known) > CACHE_PARTS or self.known.nbytes > CACHE_BYTES:
+            self._forget()
+        found = pc.index_in(distinct, value_set=self.known)
+        at = found.fill_null(-1).to_numpy().astype(np.int64)
+        if found.null_count:
+            at[at < 0] = self._learn(distinct.filter(found.is_null()))
+        place = at[parts.indices.to_numpy()]
+        sizes = self.sizes[place]
+        upto = np.append(0, np.cumsum(sizes))
+        first = (np.cumsum(self.sizes) - self.sizes)[place]
+        flat = self.flat[np.repeat((first - upto[:-1]).astype(np.int32), sizes) + np.arange(upto[-1], dtype=np.int32)]
+        return flat, np.diff(upto[np.searchsorted(starts, offsets)])
+
+
+def _buffers(parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of an array of strings."""
+    ends = np.frombuffer(parts.buffers()[1], dtype=np.int64)[parts.offset : parts.offset + len(parts) + 1]
+    return np.frombuffer(parts.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]], ends - ends[0]
+
+
+def _found(raw: bytes, mark: bytes) -> Iterator[int]:
+    at = raw.find(mark)
+    while at >= 0:
+        yield at
+        at = raw.find(mark, at + 1)
 
 
 def tokenizer(path: str) -> ChunkTokenizer:
@@ -162,7 +202,7 @@ def tokenizer(path: str) -> ChunkTokenizer:
     return _tokenizers[path]
 
 
-_SEGMENT = "part long, seq long, docs long, ids long, doc_ids binary, sizes binary, body binary"
+_SEGMENT = "part long, seq long, docs long, ids long, nulls long, doc_ids binary, sizes binary, body binary"
 
 
 def _segments(path: str, end_id: int):
@@ -170,30 +210,36 @@ def _segments(path: str, end_id: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, part, seq = tokenizer(path), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], dtype=tok.kind).tobytes()
-        width = len(end)
-        held: tuple[list, list] = ([], [])
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         count = 0
 
         def close():
             nonlocal held, count, seq
-            sizes = np.array([len(x) // width for x in held[1]], dtype="<u4")
-            body = b"".join(held[1])
-            row = [part, seq, len(held[0]), int(sizes.sum()), np.array(held[0], dtype="<i8").tobytes(), sizes.tobytes(), body]
-            held, count, seq = ([], []), 0, seq + 1
-            return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["part", "seq", "docs", "ids", "doc_ids", "sizes", "body"])
+            null, doc_ids, sizes, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            row = [part, seq, len(sizes), len(ids), int(null.sum()), doc_ids.tobytes(), sizes.astype("<u4").tobytes(), ids.tobytes()]
+            held, count, seq = [], 0, seq + 1
+            return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["part", "seq", "docs", "ids", "nulls", "doc_ids", "sizes", "body"])
 
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                rows = batch.slice(start, 512)
-                ids = tok.encode([t or "" for t in rows.column(1).to_pylist()])
-                for doc_id, x in zip(rows.column(0).to_pylist(), ids, strict=True):
-                    held[0].append(-(2**63) if doc_id is None else doc_id)
-                    held[1].append(x + end)
-                    count += len(x) // width + 1
+            null = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            doc_ids = batch.column(0).fill_null(0).to_numpy()
+            for first, data, offsets in text_chunks(batch.column(1), CHUNK_BYTES):
+                flat, sizes = tok.encode(data, offsets)
+                last = np.cumsum(sizes + 1)
+                ids = np.full(len(flat) + len(sizes), end_id, dtype=tok.kind)
+                inner = np.ones(len(ids), dtype=bool)
+                inner[last - 1] = False
+                ids[inner] = flat
+                row = 0
+                while row < len(sizes):
+                    before = int(last[row - 1]) if row else 0
+                    end = min(len(sizes), int(np.searchsorted(last, before + SEGMENT_IDS - count)) + 1)
+                    held.append((null[first + row : first + end], doc_ids[first + row : first + end], sizes[row:end] + 1, ids[before : last[end - 1]]))
+                    count += int(last[end - 1]) - before
+                    row = end
                     if count >= SEGMENT_IDS:
                         yield close()
-        if held[0]:
+        if held:
             yield close()
 
     return run
@@ -267,7 +313,7 @@ def pack(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[np.nd
     words[word[first]] = np.bitwise_or.reduceat(code >> off, first)
     over = np.flatnonzero((off > 0) & (off.astype(np.int64) + n > 64))
     words[word[over] + 1] |= code[over] << (np.uint64(64) - off[over])
-    return at[::BLOCK_IDS].astype("<u4"), words.astype(">u8").tobytes()[: (total + 7) // 8]
+    return at[::BLOCK_IDS].astype("<u8"), words.astype(">u8").tobytes()[: (total + 7) // 8]
 
 
 def decode_table(lengths: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -305,10 +351,10 @@ def _compress(lengths, kind: str):
         codes = canonical_codes(n)
         for batch in batches:
             data = []
-            for doc_ids, sizes, body in zip(*(batch.column(i).to_pylist() for i in (4, 5, 6)), strict=True):
+            for nulls, doc_ids, sizes, body in zip(*(batch.column(i).to_pylist() for i in (4, 5, 6, 7)), strict=True):
                 ids = np.frombuffer(body, dtype=kind)
                 offsets, bits = pack(ids, n, codes)
-                head = np.array([len(sizes) // 4, len(ids), len(offsets)], dtype="<u4").tobytes()
+                head = np.array([len(sizes) // 4, len(offsets), nulls], dtype="<u4").tobytes()
                 data.append(MAGIC + head + doc_ids + sizes + offsets.tobytes() + bits)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(data, pa.binary())], names=["part", "seq", "docs", "ids", "data"])
 
@@ -344,14 +390,14 @@ def _expand(table, width: int):
             for start, data in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("start", "data")), strict=True):
                 if data[:4] != MAGIC:
                     raise ValueError("not a segment of ids")
-                docs, ids, blocks = np.frombuffer(data, dtype="<u4", count=3, offset=4).tolist()
+                docs, blocks, nulls = np.frombuffer(data, dtype="<u4", count=3, offset=4).tolist()
                 at = 16
                 doc_ids = np.frombuffer(data, dtype="<i8", count=docs, offset=at)
                 sizes = np.frombuffer(data, dtype="<u4", count=docs, offset=(at := at + 8 * docs)).astype(np.int64)
-                offsets = np.frombuffer(data, dtype="<u4", count=blocks, offset=(at := at + 4 * docs))
-                flat = unpack(data[at + 4 * blocks :], offsets, ids, lookup, width).astype("<u4").tobytes()
+                offsets = np.frombuffer(data, dtype="<u8", count=blocks, offset=(at := at + 4 * docs))
+                flat = unpack(data[at + 8 * blocks :], offsets, int(sizes.sum()), lookup, width).astype("<u4").tobytes()
                 ends = np.cumsum(sizes)
-                null = doc_ids == -(2**63)
+                null = np.arange(docs) < nulls
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(doc_ids, mask=null), pa.array(start + ends - sizes), pa.array(sizes), pa.array([flat[4 * (e - n) : 4 * e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)], pa.binary())],
                     names=["doc_id", "start", "n_tokens", "ids"],
