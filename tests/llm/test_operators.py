@@ -265,6 +265,33 @@ def test_op5_recall_ties_and_gaps(spark):
     assert nearest(df.where("vec_id < 0"), F.col("vec_id") == 0).count() == 0
 
 
+def test_op5_equal_scores_go_by_id(spark):
+    x = np.zeros((20_000, 8))
+    x[:, 0], x[:, 1:] = 1, np.random.default_rng(4).normal(size=(20_000, 7))
+    x[0, 1:] = 0
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    got = nearest(df, F.col("vec_id") == 0, reach=8.0).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == list(range(1, 21)) and {r.score for r in got} == {1.0}
+
+
+def test_op5_repeated_ids_and_clusters(spark):
+    rng = np.random.default_rng(2)
+    centers = rng.normal(size=(40, 24))
+    x = centers[rng.integers(0, 40, 6000)] + 0.2 * rng.normal(size=(6000, 24))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, x[20].tolist()), (20, x[20].tolist()), (20, x[99].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in nearest(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    hits = 0
+    for q in range(40, 6000, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(set(got[q]) & set(np.argsort(-s)[:20].tolist()))
+    assert hits >= 0.95 * 20 * len(range(40, 6000, 20))
+    assert all(len(v) == 20 and q not in v for q, v in got.items()) and set(got) == set(range(0, 6000, 20))
+
+
 def test_op6_files_round_trip(spark, docs, empty, tmp_path):
     from tokenizers import Tokenizer
 

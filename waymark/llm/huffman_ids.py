@@ -38,7 +38,7 @@ MAX_BITS, BLOCK_IDS = 20, 256
 SEGMENT_IDS = 1 << 19
 MAGIC = b"WHF2"
 #: Text that is encoded at a time, unless one document is longer.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Parts, and bytes of them, that a worker keeps the ids of.
 CACHE_PARTS, CACHE_BYTES = 1_000_000, 24 << 20
 _tokenizers: dict[str, ChunkTokenizer] = {}

@@ -3,8 +3,12 @@
 Trees are fitted on a bounded sample: a node parts its points by a plane
 between two means that start from random points.  Every vector is routed to a
 leaf of each tree.  A query walks all trees through one priority queue, ordered
-by the least margin on the way, until the leaves it has opened hold enough
-rows; their vectors are then reranked by the exact inner product.
+by the least margin on the way.  It first opens a bounded number of rows; the
+distance of the k-th nearest among them then says how far on it walks: leaves
+behind a margin that is large against that distance hardly hold anything
+nearer.  Vectors in clusters open few rows that way, whatever their number;
+vectors without any structure open many, as they must for the same recall.
+Candidates are reranked by the exact inner product.
 
 Largest inner products are nearest directions once a coordinate
 sqrt(M^2 - |x|^2) is added to each vector (0 for queries), M the largest norm.
@@ -27,7 +31,9 @@ from pyspark.sql import functions as F
 from .shared import discard, groups, materialize, shuffle_partitions
 
 #: Vectors that the planes are fitted on, and how many of them a leaf holds; both bound the forest.
-SAMPLE, SAMPLE_LEAF = 8192, 64
+SAMPLE, SAMPLE_LEAF = 32_768, 64
+#: Index rows that a query opens before it knows a distance.
+FIRST_ROWS = 1000
 #: Index rows of a cell and of a bucket of cells of one tree.
 CELL_ROWS, BUCKET_ROWS = 2048, 8192
 
@@ -77,27 +83,34 @@ class Forest:
 
     def leaves(self, x: np.ndarray) -> np.ndarray:
         """The leaf of each vector in each tree."""
-        right = self.margins(x) <= 0
         child = np.array(self.children).reshape(-1, 2)
         out = np.empty((len(x), len(self.roots)), dtype=np.int64)
-        rows = np.arange(len(x))
-        for t, root in enumerate(self.roots):
-            node = np.full(len(x), root)
-            while (open_ := node >= 0).any():
-                r, n = rows[open_], node[open_]
-                node[open_] = child[n, right[r, n].astype(np.int64)]
-            out[:, t] = -1 - node
+        for at in range(0, len(x), 512):
+            right = self.margins(x[at : at + 512]) <= 0
+            for t, root in enumerate(self.roots):
+                node = np.full(len(right), root)
+                while (open_ := node >= 0).any():
+                    r, n = np.flatnonzero(open_), node[open_]
+                    node[open_] = child[n, right[r, n].astype(np.int64)]
+                out[at : at + 512, t] = -1 - node
         return out
 
-    def search(self, margins: np.ndarray, rows_in: np.ndarray, enough: int) -> list[int]:
-        """The leaves that one query opens: best margin first over all trees."""
+    def search(self, margins: np.ndarray, rows_in: np.ndarray, enough: int, reach: float | None = None) -> list[int]:
+        """The leaves that one query opens, best margin first over all trees.
+
+        Without ``reach``, until they hold ``enough`` rows; with it, those
+        after these, up to that margin.
+        """
         queue = [(-np.inf, root) for root in self.roots]
         heapq.heapify(queue)
         found, rows = [], 0
-        while queue and rows < enough:
+        while queue:
             worst, node = heapq.heappop(queue)
+            if rows >= enough and (reach is None or worst > reach):
+                break
             if node < 0:
-                found.append(-1 - node)
+                if reach is None or rows >= enough:
+                    found.append(-1 - node)
                 rows += rows_in[-1 - node]
                 continue
             left, right = self.children[node]
@@ -161,33 +174,36 @@ def _deal_index(forest, rows_in: np.ndarray, per_tree: int):
     return run
 
 
-def _deal_queries(forest, rows_in: np.ndarray, per_tree: int, kind: str, enough: int):
+def _deal_queries(forest, rows_in: np.ndarray, per_tree: int, kind: str):
+    """Rows (id, vec, reach): a query goes to each bucket that holds cells it opens."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f: Forest = forest.value
         tree_of, cells = np.array(f.tree_of_leaf), _cells(rows_in)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _matrix(batch.column(1), kind)
-            margins = f.margins(np.concatenate((x, np.zeros((len(x), 1))), axis=1))
-            out: tuple[list, list, list] = ([], [], [])
-            for row in range(len(x)):
-                leaf = np.array(f.search(margins[row], rows_in, enough))
-                leaf = np.repeat(leaf, cells[leaf])
-                sub = np.concatenate([np.arange(c) for c in cells[leaf[np.concatenate(([True], leaf[1:] != leaf[:-1]))]]])
-                bucket = _bucket(tree_of[leaf], leaf, sub, per_tree)
-                order = np.argsort(bucket, kind="stable")
-                code, bucket = (leaf << 24 | sub)[order], bucket[order]
-                first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-                for a, b in zip(first.tolist(), [*first[1:].tolist(), len(code)], strict=True):
-                    out[0].append(row)
-                    out[1].append(int(bucket[a]))
-                    out[2].append(code[a:b].tobytes())
-            at = pa.array(out[0], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out[1], pa.int64()), pa.array(np.ones(len(at), dtype=np.int64)), batch.column(0).take(at), batch.column(1).take(at), pa.array(out[2], pa.binary())],
-                names=["bucket", "kind", "id", "vec", "cells"],
-            )
+        for whole in batches:
+            for batch in (whole.slice(at, 512) for at in range(0, whole.num_rows, 512)):
+                x = _matrix(batch.column(1), kind)
+                margins, reach = f.margins(np.concatenate((x, np.zeros((len(x), 1))), axis=1)), batch.column(2).to_pylist()
+                out: tuple[list, list, list] = ([], [], [])
+                for row in range(len(x)):
+                    leaf = np.array(f.search(margins[row], rows_in, FIRST_ROWS, reach[row]), dtype=np.int64)
+                    if not len(leaf):
+                        continue
+                    sub = np.concatenate([np.arange(c) for c in cells[leaf]])
+                    leaf = np.repeat(leaf, cells[leaf])
+                    bucket = _bucket(tree_of[leaf], leaf, sub, per_tree)
+                    order = np.argsort(bucket, kind="stable")
+                    code, bucket = (leaf << 24 | sub)[order], bucket[order]
+                    first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+                    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(code)], strict=True):
+                        out[0].append(row)
+                        out[1].append(int(bucket[a]))
+                        out[2].append(code[a:b].tobytes())
+                at = pa.array(out[0], pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(out[1], pa.int64()), pa.array(np.ones(len(at), dtype=np.int64)), batch.column(0).take(at), batch.column(1).take(at), pa.array(out[2], pa.binary())],
+                    names=["bucket", "kind", "id", "vec", "cells"],
+                )
 
     return run
 
@@ -201,61 +217,98 @@ def _best(q: np.ndarray, ids: np.ndarray, score: np.ndarray, keep: int) -> np.nd
     return order[nth < keep]
 
 
+def _top(s: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
+    """Columns of the ``n`` best of each row of scores; of equal scores at the edge those with the smallest ids."""
+    if s.shape[1] <= n:
+        return np.tile(np.arange(s.shape[1]), (len(s), 1))
+    top = np.argpartition(-s, n - 1, axis=1)[:, :n]
+    edge = np.take_along_axis(s, top, axis=1).min(axis=1)
+    for row in np.flatnonzero((s >= edge[:, None]).sum(axis=1) > n):
+        tied = np.flatnonzero(s[row] >= edge[row])
+        top[row] = tied[np.lexsort((ids[tied], -s[row, tied]))[:n]]
+    return top
+
+
+class _Bucket:
+    """Index rows of a bucket by cell."""
+
+    def __init__(self, parts: list[pa.RecordBatch], kind: str):
+        table = pa.Table.from_batches(parts)
+        code = np.frombuffer(b"".join(table.column("cells").to_pylist()), dtype=np.int64)
+        order = np.argsort(code, kind="stable")
+        self.x, self.ids, code = _matrix(table.column("vec").combine_chunks(), kind)[order], table.column("id").to_numpy()[order], code[order]
+        first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+        self.spans = dict(zip(code[first].tolist(), zip(first.tolist(), [*first[1:].tolist(), len(code)], strict=True), strict=True))
+
+    def answer(self, part: pa.RecordBatch, kind: str, keep: int) -> pa.RecordBatch | None:
+        qid, q = part.column(2).to_numpy(), _matrix(part.column(3), kind)
+        asked: dict[int, list[int]] = {}
+        for row, code in enumerate(part.column(4).to_pylist()):
+            for c in np.frombuffer(code, dtype=np.int64).tolist():
+                asked.setdefault(c, []).append(row)
+        got: tuple[list, list, list] = ([], [], [])
+        for c, rows in asked.items():
+            if c not in self.spans:
+                continue
+            a, b = self.spans[c]
+            s = q[rows] @ self.x[a:b].T
+            top = _top(s, self.ids[a:b], keep)
+            got[0].append(np.repeat(np.array(rows), top.shape[1]))
+            got[1].append(self.ids[a:b][top].ravel())
+            got[2].append(np.take_along_axis(s, top, axis=1).ravel())
+        if not got[0]:
+            return None
+        row, cid, score = (np.concatenate(g) for g in got)
+        best = _best(row, cid, score, keep)
+        row, cid, score = row[best], cid[best], score[best]
+        first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+        spans = list(zip(first.tolist(), [*first[1:].tolist(), len(row)], strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(qid[row[first]]), *(pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in (cid, score))], names=["qid", "cids", "scores"])
+
+
 def _rerank(kind: str, keep: int):
-    """Exact scores of the candidates in a bucket; one row per query with its best."""
+    """Exact scores of the candidates in each bucket: its index rows come first and are held, its queries pass by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = None
-        for table in groups(batches, "bucket", "kind"):
-            bucket, which = table.column("bucket")[0].as_py(), table.column("kind")[0].as_py()
-            cells = table.column("cells").to_pylist()
-            if which == 0:
-                code = np.frombuffer(b"".join(cells), dtype=np.int64)
-                order = np.argsort(code, kind="stable")
-                x = _matrix(table.column("vec").combine_chunks(), kind)[order]
-                code = code[order]
-                first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
-                spans = dict(zip(code[first].tolist(), zip(first.tolist(), [*first[1:].tolist(), len(code)], strict=True), strict=True))
-                index = (bucket, table.column("id").to_numpy()[order], x, spans)
-                continue
-            if index is None or index[0] != bucket:
-                continue
-            _, ids, x, spans = index
-            for at in range(0, table.num_rows, 2048):
-                part = table.slice(at, 2048)
-                qid, q = part.column("id").to_numpy(), _matrix(part.column("vec").combine_chunks(), kind)
-                asked: dict[int, list[int]] = {}
-                for row, code in enumerate(cells[at : at + 2048]):
-                    for c in np.frombuffer(code, dtype=np.int64).tolist():
-                        asked.setdefault(c, []).append(row)
-                got: tuple[list, list, list] = ([], [], [])
-                for c, rows in asked.items():
-                    if c not in spans:
-                        continue
-                    a, b = spans[c]
-                    s = q[rows] @ x[a:b].T
-                    n = min(keep, b - a)
-                    # equal scores at the edge are kept by id: their classes are ordered by it
-                    top = np.argsort(-s, axis=1, kind="stable")[:, :n] if b - a <= 4 * keep else np.argpartition(-s, n - 1, axis=1)[:, :n]
-                    got[0].append(np.repeat(np.array(rows), n))
-                    got[1].append(ids[a:b][top].ravel())
-                    got[2].append(np.take_along_axis(s, top, axis=1).ravel())
-                if not got[0]:
+        at, held, index = None, [], None
+        for batch in batches:
+            key = batch.column(0).to_numpy() * 2 + batch.column(1).to_numpy()
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))).tolist() if len(key) else []
+            for a, b in zip(first, [*first[1:], len(key)], strict=True):
+                bucket, which = divmod(int(key[a]), 2)
+                if bucket != at:
+                    at, held, index = bucket, [], None
+                if which == 0:
+                    held.append(batch.slice(a, b - a))
                     continue
-                row, cid, score = (np.concatenate(g) for g in got)
-                best = _best(row, cid, score, keep)
-                row, cid, score = row[best], cid[best], score[best]
-                first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-                ends = [*first[1:].tolist(), len(row)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(qid[row[first]]), pa.array([cid[a:b].tobytes() for a, b in zip(first.tolist(), ends, strict=True)], pa.binary()), pa.array([score[a:b].tobytes() for a, b in zip(first.tolist(), ends, strict=True)], pa.binary())],
-                    names=["qid", "cids", "scores"],
-                )
+                if index is None and held:
+                    index, held = _Bucket(held, kind), []
+                for start in range(a, b if index else a, 1024):
+                    found = index.answer(batch.slice(start, min(1024, b - start)), kind, keep)
+                    if found is not None:
+                        yield found
+
+    return run
+
+
+def _reach(k: int, reach: float, kind: str, most: float):
+    """The margin up to which a query walks on: ``reach`` times the distance of its k-th nearest so far, in the lifted space."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = (_matrix(batch.column(1), kind) ** 2).sum(axis=1)
+            far = []
+            for n2, ids, scores in zip(own.tolist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                s = np.sort(np.frombuffer(scores, dtype=np.float64)) if scores else np.zeros(0)
+                far.append(reach * np.sqrt(max(0.0, n2 + most**2 - 2 * s[-k])) if len(s) >= k else np.inf)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(far, pa.float64())], names=["id", "vec", "reach"])
 
     return run
 
 
-def _merge(keep: int):
+def _merge(keep: int, packed: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, "qid"):
             cid = np.frombuffer(b"".join(table.column("cids").to_pylist()), dtype=np.int64)
@@ -263,21 +316,28 @@ def _merge(keep: int):
             order = np.lexsort((-score, cid))
             order = order[np.concatenate(([True], cid[order][1:] != cid[order][:-1]))]  # a candidate that more trees found
             order = order[_best(np.zeros(len(order), dtype=np.int64), cid[order], score[order], keep)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(order), table.column("qid")[0].as_py())), pa.array(cid[order]), pa.array(score[order])], names=["query_id", "cid", "score"])
+            qid, cid, score = table.column("qid")[0].as_py(), cid[order], score[order]
+            if packed:
+                yield pa.RecordBatch.from_arrays([pa.array([qid]), pa.array([cid.tobytes()], pa.binary()), pa.array([score.tobytes()], pa.binary())], names=["qid", "cids", "scores"])
+            else:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(order), qid)), pa.array(cid), pa.array(score)], names=["query_id", "cid", "score"])
 
     return run
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 20, trees: int = 8, search_share: float = 3.0, seed: int = 11, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = 20, trees: int = 4, reach: float = 0.135, seed: int = 11, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each query row the k nearest found among all other rows.
 
     ``is_query`` is a condition on ``vectors``.  Nearest is the largest inner
-    product in double precision, ties to the smaller id.  ``search_share`` is
-    how many index rows a query opens, over all trees, as a share of the
-    distinct vectors; higher finds more.  Vectors that are null, empty, zero,
-    of another length than the commonest, or hold null or non-finite components
-    take no part, nor do rows without an id.  Repeated ids count as rows of their own.  With fewer than k other rows
-    all are returned; an empty table gives no rows; other columns are ignored.
+    product in double precision, ties to the smaller id.  A query opens
+    FIRST_ROWS index rows and then all leaves whose margin is at most ``reach``
+    times the distance of its k-th nearest so far; higher finds more.  Vectors
+    that are null, empty, zero, of another length than the commonest, or hold
+    null or non-finite components take no part, nor do rows without an id.
+    Rows that repeat an id are candidates of their own, though not for each
+    other, and one query, that of the vector whose hash is least.  With fewer
+    than k other rows all are returned; an empty table gives no rows; other
+    columns are ignored.
     """
     spark = vectors.sparkSession
     v = F.col("v")
@@ -307,13 +367,22 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, trees: int = 8, search_sh
     for r in index.groupBy("leaf").count().collect():  # a row per leaf
         rows_in[r["leaf"]] = r["count"]
     per_tree = max(1, -(-count // BUCKET_ROWS))
-    enough = max(50 * k, int(search_share * count))
-    dealt = "bucket long, kind long, id long, vec binary, cells binary"
-    asked = rows.where("is_query").select("id", "v").mapInArrow(_pack(kind), "id long, vec binary")
-    both = index.mapInArrow(_deal_index(forest, rows_in, per_tree), dealt).unionByName(asked.mapInArrow(_deal_queries(forest, rows_in, per_tree, kind, enough), dealt))
     n = shuffle_partitions(spark)
-    found = both.repartition(n, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_rerank(kind, k + 1), "qid long, cids binary, scores binary")
-    best = found.repartition(n, "qid").sortWithinPartitions("qid").mapInArrow(_merge(k + 1), "query_id long, cid long, score double")
+    asked = rows.where("is_query").groupBy("id").agg(F.min(F.struct("h", "v")).alias("x")).select("id", F.col("x.v").alias("v"))
+    asked = materialize(asked.mapInArrow(_pack(kind), "id long, vec binary"))
+
+    def look(queries: DataFrame) -> DataFrame:
+        dealt = "bucket long, kind long, id long, vec binary, cells binary"
+        both = index.mapInArrow(_deal_index(forest, rows_in, per_tree), dealt).unionByName(queries.mapInArrow(_deal_queries(forest, rows_in, per_tree, kind), dealt))
+        return both.repartition(n, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_rerank(kind, k + 1), packed)
+
+    packed = "qid long, cids binary, scores binary"
+    near = look(asked.withColumn("reach", F.lit(None).cast("double")))
+    near = materialize(near.repartition(n, "qid").sortWithinPartitions("qid").mapInArrow(_merge(k + 1, packed=True), packed))
+    on = asked.join(near, asked.id == near.qid, "left").select("id", "vec", "cids", "scores").mapInArrow(_reach(k + 1, reach, kind, most), "id long, vec binary, reach double")
+    found = near.unionByName(look(on))
+    best = materialize(found.repartition(n, "qid").sortWithinPartitions("qid").mapInArrow(_merge(k + 1), "query_id long, cid long, score double"))
+    discard(classes, index, asked, near)
     named = members.select("h", "id").join(heads.select("h", F.col("id").alias("cid")), "h").select("cid", F.col("id").alias("vec_id"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     out = best.join(named, "cid").where("vec_id <> query_id").withColumn("rank", place).where(F.col("rank") <= k)
