@@ -152,7 +152,12 @@ def test_op2_mix(docs, empty):
     longest = max(r["size"] for r in got)
     assert all(abs(taken[s] - target[s]) <= longest for s in size)
     assert Counter(mix_sources(rows.repartition(3)).collect()) == Counter(got)
-    assert take_mix(rows, mix).count() == sum(r.copies for r in got)
+    taken_rows = Counter((r.doc_id, r.text) for r in take_mix(rows, mix).collect())
+    by_id = Counter()
+    for r in got:
+        by_id[r.doc_id] += r.copies
+    assert sum(taken_rows.values()) == sum(by_id.values()) and all(sum(n for (i, _), n in taken_rows.items() if i == d) == c for d, c in by_id.items())
+    assert take_mix(empty, mix).count() == 0 and take_mix(docs, mix_sources(docs)).count() > 0
     assert mix_sources(empty).count() == 0
 
 
@@ -165,6 +170,43 @@ def test_op2_targets_follow_weights(spark):
     assert t["b"] == 30 and t[None] == 300 and abs(t["a"] - 1280 * 5 / 6) < 1e-9 and abs(t["c"] - 1280 / 6) < 1e-9
 
 
+def test_op2_targets_against_brute_force(spark):
+    from waymark.llm.mixing import source_targets
+
+    rng = np.random.default_rng(6)
+    sizes = [(f"s{i:02}", int(n)) for i, n in enumerate(rng.zipf(1.3, 30) % 100_000)] + [(None, 77)]
+    got = {r.source: r.target for r in source_targets(spark.createDataFrame([(s, n, 1) for s, n in sizes], "source string, source_size long, n long")).collect()}
+    weight = {s: (5, 2, 1)[i % 3] for i, (s, _) in enumerate(sizes)}
+    want, left, open_ = {}, float(sum(n for _, n in sizes)), dict(sizes)
+    while True:  # those above their cap stop there, and the excess is shared again
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        over = [s for s in open_ if share[s] > 3 * open_[s]]
+        if not over:
+            break
+        for s in over:
+            want[s] = 3.0 * open_[s]
+            left -= want[s]
+            del open_[s]
+    want |= share
+    assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 * max(1, want[s]) for s in want)
+
+
+def test_op2_flight_is_balanced_and_unbiased():
+    from waymark.llm.mixing import _fly, _land
+
+    rng = np.random.default_rng(9)
+    pi, size = rng.random(40), rng.integers(0, 500, 40).astype(float)
+    total = np.zeros(40)
+    for seed in range(4000):
+        out = _fly(pi, size, np.random.default_rng(seed))
+        assert ((out > 0) & (out < 1)).sum() <= 2
+        assert abs(out.sum() - pi.sum()) < 1e-6 and abs((out * size).sum() - (pi * size).sum()) < 1e-3
+        total += out
+        landed = _land(out, size)
+        assert set(landed) <= {0.0, 1.0} and abs((landed * size).sum() - (pi * size).sum()) <= 500
+    assert np.abs(total / 4000 - pi).max() < 0.04
+
+
 def test_op3_licences(spark, docs, empty):
     texts = [
         "x y.\nReleased under the MIT License.\nmore",
@@ -359,18 +401,74 @@ def test_op7_examples(spark):
     assert chat_format.chat_digests(chat_format.format_chats(df.limit(0))).count() == 0
 
 
+def statistics(t):
+    """Brute force of one text: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
+    w = WORD.findall(t)
+    tri = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    cover = {i + j for i in range(len(w) - 2) if tri[tuple(w[i : i + 3])] > 1 for j in range(3)}
+    lines = [x for x in t.split("\n") if WORD.search(x)]
+    return (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(cover), len(w) < 50 or 2 * len(cover) > len(w))
+
+
+def line_key(x):
+    return x.strip(" \t\n\x0b\x0c\r").translate(LOWER)
+
+
+def after_quality(rows):
+    """Brute force over (id, text, source): (id, text) of what the quality rules keep."""
+    held, texts = defaultdict(set), defaultdict(set)
+    for _, t, host in rows:
+        texts[host].add(t or "")
+        for x in (t or "").split("\n"):
+            held[host, line_key(x)].add(t or "")
+    above = {k for k, v in held.items() if k[1] and len(v) >= 20 and len(v) > 0.05 * len(texts[k[0]])}
+    out = []
+    for i, t, host in rows:
+        lines = (t or "").split("\n")
+        keys = {line_key(x) for x in lines} - {""}
+        left = sum(len(k) for k in keys if (host, k) not in above)
+        if not statistics(t or "")[-1] and not left < 0.3 * sum(map(len, keys)):
+            out.append((i, "\n".join(x for x in lines if (host, line_key(x)) not in above)))
+    return out
+
+
+def after_lines(rows):
+    """Brute force over (id, text): (id, lines, dropped, text) after line dedup."""
+    held = defaultdict(set)
+    for i, t in rows:
+        for x in (t or "").split("\n"):
+            held[line_key(x)].add(i)
+    frequent = {k: max(v) for k, v in held.items() if len(k) >= 20 and len(v) >= 3}
+    out = []
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if frequent.get(line_key(x), i) == i]
+        out.append((i, len(lines), len(lines) - len(kept), "\n".join(kept)))
+    return out
+
+
 def test_op8_statistics(docs, empty):
     for r in quality_rules(docs).select("doc_id", "text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed").collect():
-        t = r.text or ""
-        w = WORD.findall(t)
-        tri = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
-        cover = {i + j for i in range(len(w) - 2) if tri[tuple(w[i : i + 3])] > 1 for j in range(3)}
-        lines = [x for x in t.split("\n") if WORD.search(x)]
-        want = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(cover), len(w) < 50 or 2 * len(cover) > len(w))
-        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == want
+        assert tuple(r)[2:] == statistics(r.text or "")
     assert quality_rules(docs).count() == docs.count() and quality_rules(empty).count() == 0
 
 
+def test_op8_op9_and_the_mix_keep_columns_of_any_name(spark):
+    names = "gone_key _row _t _w _l _b _k _p own_id _lines host t own name above keyed lines did salt flips chars left nth again row size blocks pi".split()
+    rows = [(i, "a line that many documents hold here\nand one more " * 20, ["s", None][(i or 0) % 2]) for i in [*range(30), None, None]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").select("*", *[F.lit(f"my {n}").alias(n) for n in names])
+    for out in (quality_rules(df), line_dedup(df), take_mix(df, mix_sources(df))):
+        got = out.collect()
+        assert got and all(r[n] == f"my {n}" for r in got for n in names)
+    for out in (quality_rules(df), line_dedup(df)):
+        assert out.count() == 32
+    clash = df.withColumns({c: F.lit("x") for c in ("kept", "n_words", "n_lines", "kept_text")})
+    assert {r.n_words for r in quality_rules(clash).collect()} == {200} and {r.n_lines for r in line_dedup(clash).collect()} == {21}
+    assert license_scan.license_scan(clash.withColumn("ids", F.lit(1)).withColumn("rest", F.lit(1))).count() == 32
+    turns = spark.createDataFrame([(1, 0, "user", "a", "x", "y"), (1, 1, "assistant", "b", "x", "y")], "conv_id long, turn long, role string, text string, parts string, t string")
+    assert [r.loss_chars for r in chat_format.format_chats(turns).collect()] == [1]
+
+
 def test_op8_depleted(spark):
     line = "the same boilerplate line on all the pages of this host"
     own = lambda i: " ".join(f"t{i}x{k}" for k in range(60))
@@ -399,17 +497,7 @@ def test_op8_frequent_lines_are_removed(spark):
 
 def test_op9_lines(docs, empty):
     rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None]
-    key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(LOWER)
-    held = defaultdict(set)
-    for i, t in rows:
-        for x in (t or "").split("\n"):
-            held[key(x)].add(i)
-    frequent = {k: max(v) for k, v in held.items() if len(k) >= 20 and len(v) >= 3}
-    want = {}
-    for i, t in rows:
-        lines = (t or "").split("\n")
-        kept = [x for x in lines if frequent.get(key(x), i) == i]
-        want[i] = (len(lines), len(lines) - len(kept), "\n".join(kept))
+    want = {i: tuple(x) for i, *x in after_lines(rows)}
     got = line_dedup(docs).where("doc_id IS NOT NULL").collect()
     assert len(got) == len(rows) and all((r.n_lines, r.n_dropped, r.kept_text) == want[r.doc_id] for r in got)
     assert any(r.n_dropped for r in got) and line_dedup(empty).count() == 0
@@ -424,6 +512,40 @@ def test_op9_a_split_run_agrees(spark, monkeypatch):
     assert got[39].startswith("a line") and all(got[i] == "x" for i in range(39))
 
 
+def test_op10_against_plain_python(spark):
+    import math
+
+    rng = np.random.default_rng(12)
+    words = {"aa": ["kala", "mato", "Suna!"], "bb": ["chrst", "éàü", "zdrv"], "cc": ["ngomi", "kala", "ouiea"], "dd": ["x", "漢字", "mato"]}
+    rows = [(i, " ".join(rng.choice(words[k], rng.integers(1, 9))), k) for i, k in enumerate(["aa", "bb", "cc", "dd"] * 40)]
+    got = {r.doc_id: r for r in identify_language(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+
+    def grams(text):
+        b = [32, *(x + 32 if 65 <= x <= 90 else x if 97 <= x <= 122 or x > 127 else 32 for x in text.encode()), 32]
+        out = []
+        for x, y, z in zip(b, b[1:], b[2:]):
+            h = (x * 0x9E3779B1 ^ y * 0x85EBCA6B ^ z * 0xC2B2AE35) & 0xFFFFFFFF
+            h ^= h >> 15
+            out.append((h * 0x2C1B3C6D & 0xFFFFFFFF) >> 17)
+        return out
+
+    langs, code = sorted(words), codewords(4).tolist()
+    bits = range(len(code[0]))
+    learned = [(t, langs.index(k)) for i, t, k in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    counts = [Counter(g for t, k in learned if k == lang for g in grams(t)) for lang in range(4)]
+    share = lambda lang, g: (counts[lang][g] + 0.5) / (sum(counts[lang].values()) + 0.5 * (1 << 15))
+    mean = lambda g, b, side: sum(share(k, g) for k in range(4) if code[k][b] == side) / sum(code[k][b] == side for k in range(4))
+    weight = {g: [math.log(mean(g, b, 1) / mean(g, b, -1)) for b in bits] for _, t, _ in rows for g in grams(t)}
+    margin = lambda t, b: sum(weight[g][b] for g in grams(t)) / len(grams(t))
+    trust = [[(sum(margin(t, b) * code[k][b] > 0 for t, lang in learned if lang == k) + 1) / (sum(lang == k for _, lang in learned) + 2) for b in bits] for k in range(4)]
+    trust = [[x / sum(row) for x in row] for row in trust]
+    for i, t, _ in rows:
+        loss = [sum(math.log1p(math.exp(-4 * margin(t, b) * code[k][b])) * trust[k][b] for b in bits) for k in range(4)]
+        best = min(range(4), key=lambda k: loss[k])
+        assert got[i].lang_pred == langs[best]
+        assert abs(got[i].score - 1 / sum(math.exp(-(x - loss[best]) * len(bits)) for x in loss)) < 1e-3
+
+
 def test_op10_languages(spark, docs, empty):
     rng = np.random.default_rng(3)
     words = {"aa": ["kala", "mato", "suna", "talo"], "bb": ["chrst", "wplk", "zdrv", "krk"], "cc": ["ngomi", "weeu", "ouiea", "yaai"]}

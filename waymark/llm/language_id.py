@@ -153,6 +153,7 @@ def identify_language(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, ambiguous
 
     Rows whose crc32 of doc_id as text leaves 1 modulo 3 are held out; the
     others with a language, about ``sample_rows`` of each, are learned from.
+    More than MOST_LANGUAGES languages are an error.
     Only the text decides a prediction.  Texts that are null or without a
     letter are ``und`` with score 0, as all are if nothing could be learned.
     Repeated rows give equal rows; a null doc_id counts as empty text in the
@@ -171,7 +172,7 @@ def identify_language(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, ambiguous
     if len(langs) > 1:
         share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
         part = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1.0, sample_rows / sizes[x]))) for x in langs])
-        sample = known.where(share < part).select("text", "lang").repartition(COUNTERS, F.xxhash64("text"))
+        sample = known.where(share < part).select("text", "lang").repartition(COUNTERS, F.xxhash64("doc_id", "text"))
         counts = sum(np.frombuffer(r["counts"], dtype=np.int64) for r in sample.mapInArrow(_count(langs), "counts binary").collect())
         weights = spark.sparkContext.broadcast(bit_weights(counts.reshape(len(langs), BUCKETS).astype(np.float64), code))
         got = sample.mapInArrow(_bit_hits(langs, weights, code), "hits binary, rows binary").collect()

@@ -15,11 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .quality_rules import line_key
-from .shared import discard, materialize, shuffle_partitions
+from .shared import NO_ID, discard, materialize, shuffle_partitions
 
 #: Occurrences of a hash in one run.
 RUN_ROWS = 512
-_NO_ID = -(2**63)
 
 
 def split_lines(text: Column) -> Column:
@@ -33,7 +32,7 @@ def line_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
     from "keep": [2, 5] drops lines 2, 3 and 4.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("did"), F.transform(split_lines(F.col("text")), line_key).alias("keys"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.transform(split_lines(F.col("text")), line_key).alias("keys"))
     found = F.filter(F.transform("keys", lambda k, i: F.struct(F.when(F.char_length(k) >= min_chars, F.xxhash64(k)).alias("h"), i.alias("pos"))), lambda x: x["h"].isNotNull())
     seen = rows.select("did", F.explode(found).alias("x")).select("did", "x.h", "x.pos")
     often = materialize(seen.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs))
@@ -74,18 +73,24 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
     them; there repeated lines stay.  Rows with one doc_id are one document and
     get one bitmap; rows with a null id are one document, below all others.
     Null text is one empty line.  An empty table gives no rows; other columns
-    stay, but for those with the names of the results.
+    stay, whatever their names, but for those with the names of the results.
     """
-    docs = docs.drop("n_lines", "n_dropped", "keep_flips", "kept_text", "did", "flips")
+    made = ("n_lines", "n_dropped", "keep_flips", "kept_text")
     maps = line_bitmaps(docs, min_chars, min_docs)
-    own = docs.withColumn("own_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)))
+    # rows without an id are many tasks: their bitmap goes to each salt
+    salts = shuffle_partitions(docs.sparkSession)
+    salt = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(salts))).otherwise(F.lit(0).cast("long"))
+    all_salts = F.when(F.col("did") == NO_ID, F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    maps = maps.select("did", "flips", F.explode(all_salts).alias("salt"))
+    own = F.struct(*[c for c in docs.columns if c not in made]).alias("own")
+    rows = docs.select(own, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), salt.alias("salt"))
     # texts are dealt by id at every size; bitmaps grow with the documents, so they are never sent to all executors
-    met = own.join(maps.hint("merge"), F.col("own_id") == F.col("did"), "left").drop("own_id", "did").withColumnRenamed("flips", "keep_flips")
-    met = met.withColumn("_lines", split_lines(F.col("text")))
-    gone = F.aggregate(F.transform("keep_flips", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0), lambda a, b: a + b)
-    return met.withColumns(
-        {"n_lines": F.size("_lines").cast("long"), "n_dropped": F.coalesce(gone, F.lit(0)).cast("long"), "kept_text": kept_text(F.col("_lines"), F.col("keep_flips"))}
-    ).drop("_lines")
+    met = rows.join(maps.hint("merge"), ["did", "salt"], "left").withColumn("lines", split_lines(F.col("own.text")))
+    gone = F.aggregate(F.transform("flips", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0), lambda a, b: a + b)
+    met = met.select(
+        "own", F.size("lines").cast("long").alias("n_lines"), F.coalesce(gone, F.lit(0)).cast("long").alias("n_dropped"), F.col("flips").alias("keep_flips"), kept_text(F.col("lines"), F.col("flips")).alias("kept_text")
+    )
+    return met.select("own.*", *made)
 
 
 SQL = """

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, discard, groups, materialize, shuffle_partitions
+from .shared import NO_ID, WORD, discard, groups, materialize, shuffle_partitions
 
 #: Rows of a block in the first level, and blocks that a block of the next level joins.
 BLOCK_ROWS, FAN_IN = 512, 128
@@ -117,7 +117,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: f
     ``size`` is the number of words of the text (null: 0) and ``copies`` how
     often the mix takes the row; never more than ``most`` rounded up, and a row
     that is taken at all is taken whole.  Reruns agree: blocks are dealt by a
-    hash of doc_id and draws come from the block's own seed.  Null sources are
+    hash of doc_id and size and draws come from the block's own seed.  Null sources are
     one source, the last.  Rows without words are balanced as documents only.
     Repeated rows count separately and may get different copies.  An empty
     table gives no rows; other columns are ignored.
@@ -132,7 +132,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: f
     at = rows.join(small.withColumnRenamed("source", "name"), F.col("source").eqNullSafe(F.col("name"))).drop("name")
     at = at.withColumn("rate", rate).withColumn("base", F.floor("rate").cast("long")).withColumn("pi", F.col("rate") - F.floor("rate"))
     at = at.withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS).cast("long"))
-    at = at.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).drop("rate", "n")
+    at = at.withColumn("block", F.pmod(F.xxhash64("doc_id", "size"), F.col("blocks"))).drop("rate", "n")
     schema = at.schema
     blocks, level, open_rows, done = -(-(top[0] or 0) // BLOCK_ROWS), 0, at, []
     while True:
@@ -155,12 +155,15 @@ def take_mix(docs: DataFrame, mix: DataFrame) -> DataFrame:
     """The rows of ``docs``, each as often as ``mix`` takes it.
 
     Rows that share doc_id, size and source are interchangeable, so they are
-    matched by their number among each other.
+    matched by their number among each other; null ids are one id.  Rows that
+    the mix doesn't know are left out; an empty table or mix gives no rows.
+    Other columns stay as they are, whatever their names.
     """
-    nth = lambda did: F.row_number().over(Window.partitionBy(did, "size").orderBy("source"))
-    own_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    left = docs.withColumns({"size": word_count(F.col("text").cast("string")), "own_id": own_id}).withColumn("nth", nth("own_id"))
-    right = mix.select(own_id.alias("own_id"), "size", "source", "copies").withColumn("nth", nth("own_id")).drop("source")
+    key = ["did", "name", "size"]
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))
+    did, name = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("name")
+    left = docs.select(did, name, word_count(F.col("text").cast("string")).alias("size"), F.struct(*docs.columns).alias("row")).withColumn("nth", nth)
+    right = mix.select(did, name, "size", "copies").withColumn("nth", nth)
     # texts are dealt by id at every size: the mix has a row per document
-    met = left.join(right.hint("merge"), ["own_id", "size", "nth"])
-    return met.where("copies > 0").withColumn("again", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(docs.columns)
+    met = left.join(right.hint("merge"), [*key, "nth"])
+    return met.where("copies > 0").withColumn("again", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("row.*")

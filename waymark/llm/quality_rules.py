@@ -1,9 +1,9 @@
 """Quality rules: text statistics, and the frequency of lines across documents of a host.
 
 Everything is built-in expressions, aggregates and joins.  Lines are hashed
-within a row; the count of documents per (host, line) has map-side sums, and
-only lines that reach the least count go any further, so a line that all
-documents share costs no more than another.
+within a row, once, into a table without texts; the count of documents per
+(host, line) has map-side sums, and only lines that reach the least count go
+any further, so a line that all documents share costs no more than another.
 """
 
 from __future__ import annotations
@@ -32,16 +32,16 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(_WS_CHARS)))
 
 
-def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and _row of column ``text`` (null: empty).
+def text_statistics(df: DataFrame) -> DataFrame:
+    """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of column t.
 
     n_repeat_words counts the words inside three-word windows that occur twice
     or more.  A window's key is its hash above its position in one integer:
     sorted, equal windows are neighbours, and the positions come back from the
     low bits.  That is n log n in the text, and the whole text is used.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumns({"_t": body, "_w": split_words(body), "_l": F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
+    kept = df.columns
+    df = df.withColumns({"_w": split_words(F.col("t")), "_l": F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
     df = df.withColumn("n_words", F.size("_w").cast("long"))
     df = df.withColumn("_b", F.length(F.bin("n_words")))
     window = lambda i: F.xxhash64(*[F.get(F.col("_w"), i + j) for j in range(3)])
@@ -52,16 +52,14 @@ def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_b")) - 1
     df = df.withColumn("_p", F.sort_array(F.transform(again, lambda x: x.bitwiseAND(mask))))
     cover = F.aggregate(F.transform("_p", lambda p, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get("_p", i + 1) - p, F.lit(3).cast("long")))), F.lit(0).cast("long"), lambda a, b: a + b)
-    return df.withColumns(
-        {
-            "word_chars": F.char_length(F.array_join("_w", "")).cast("long"),
-            "n_symbols": F.regexp_count("_t", F.lit(SYMBOLS)).cast("long"),
-            "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
-            "n_repeat_words": cover,
-            # a filter on the statistics must not be rewritten to compute them anew, once per use
-            "_row": F.monotonically_increasing_id(),
-        }
-    ).drop("_t", "_w", "_l", "_b", "_k", "_p")
+    return df.select(
+        *kept,
+        "n_words",
+        F.char_length(F.array_join("_w", "")).cast("long").alias("word_chars"),
+        F.regexp_count("t", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
+        cover.alias("n_repeat_words"),
+    )
 
 
 def _keyed_lines(text: Column) -> Column:
@@ -74,30 +72,29 @@ def _distinct(keyed: Column) -> Column:
     return F.array_distinct(F.filter(keyed, lambda x: x["h"].isNotNull()))
 
 
-def frequent_lines(docs: DataFrame, host: str = "source", min_docs: int = 20, max_share: float = 0.05) -> DataFrame:
-    """(_host, _above) for each host of ``docs`` that has lines above the limit, with the hashes of those lines.
+def frequent_lines(lines: DataFrame, min_docs: int = 20, max_share: float = 0.05) -> DataFrame:
+    """(name, above), written: for each host of ``lines`` that has lines above the limit, the hashes of those lines.
 
-    A line (stripped, A-Z lower-cased, hashed) is above the limit of its host
-    if more than ``max_share`` of the host's documents and at least
+    ``lines`` are (host, copy, keyed): a hash of the text and the hashes of its
+    lines.  A line (stripped, A-Z lower-cased, hashed) is above the limit of
+    its host if more than ``max_share`` of the host's documents and at least
     ``min_docs`` hold it; documents with equal texts count once, so copies
     alone don't condemn a text.  A host has at most 1 / ``max_share`` times
     its mean number of distinct lines a text above the limit.
     """
-    docs = docs.select(F.col(host).alias("host"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    docs = docs.withColumn("copy", F.xxhash64("text"))
-    held = docs.select("host", "copy", F.explode(_distinct(_keyed_lines(F.col("text")))).alias("line")).select("host", "copy", "line.h")
-    often = materialize(held.groupBy("host", "h").agg(F.count("*").alias("rows")).where(F.col("rows") >= min_docs).select("host", "h"))
-    hits = held.join(often.select(F.col("host").alias("o_host"), F.col("h").alias("o_h")), F.col("host").eqNullSafe(F.col("o_host")) & (F.col("h") == F.col("o_h")))
-    total = docs.groupBy("host").agg(F.countDistinct("copy").alias("host_docs"))
+    held = lines.select("host", "copy", F.explode(_distinct(F.col("keyed"))).alias("line")).select("host", "copy", "line.h")
+    often = materialize(held.groupBy("host", "h").agg(F.count("*").alias("rows")).where(F.col("rows") >= min_docs).select(F.col("host").alias("o_host"), F.col("h").alias("o_h")))
+    hits = held.join(often, F.col("host").eqNullSafe(F.col("o_host")) & (F.col("h") == F.col("o_h")))
+    total = lines.groupBy("host").agg(F.countDistinct("copy").alias("host_docs")).withColumnRenamed("host", "t_host")
     count = hits.groupBy("host", "h").agg(F.countDistinct("copy").alias("docs"))
-    above = count.join(total.withColumnRenamed("host", "t_host"), F.col("host").eqNullSafe(F.col("t_host"))).where((F.col("docs") >= min_docs) & (F.col("docs") > F.lit(max_share) * F.col("host_docs")))
-    out = materialize(above.groupBy(F.col("host").alias("_host")).agg(F.collect_set("h").alias("_above")))
+    above = count.join(total, F.col("host").eqNullSafe(F.col("t_host"))).where((F.col("docs") >= min_docs) & (F.col("docs") > F.lit(max_share) * F.col("host_docs")))
+    out = materialize(above.groupBy(F.col("host").alias("name")).agg(F.collect_set("h").alias("above")))
     discard(often)
     return out
 
 
 def quality_rules(docs: DataFrame, host: str = "source", min_words: int = 50, max_repeat_share: float = 0.5, min_left: float = 0.3, **limits) -> DataFrame:
-    """``docs`` with the statistics of :func:`text_statistics`, base_failed, depleted, kept, n_removed_lines and kept_text.
+    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, depleted, kept, n_removed_lines and kept_text.
 
     A row fails the base rules with fewer than ``min_words`` words or if more
     than ``max_repeat_share`` of its words are in repeated windows.
@@ -105,27 +102,30 @@ def quality_rules(docs: DataFrame, host: str = "source", min_words: int = 50, ma
     row is depleted if less than ``min_left`` of the characters of its
     distinct lines stay.  Rows that do neither are kept.  Null text is empty
     and fails; null hosts are one host; repeated rows get equal verdicts; an
-    empty table gives no rows.  Other columns stay, but for those with the
-    names of the results, which are replaced.
+    empty table gives no rows.  Other columns stay, whatever their names, but
+    for those with the names of the results, which are replaced.
     """
     made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "depleted", "kept", "n_removed_lines", "kept_text")
-    docs = docs.drop(*made)
-    above = frequent_lines(docs, host, **limits)
-    out = text_statistics(docs)
+    own = [c for c in docs.columns if c not in made]
+    rows = docs.select(F.struct(*own).alias("own"), F.col(host).alias("host"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
+    lines = materialize(rows.select("host", F.xxhash64("t").alias("copy"), _keyed_lines(F.col("t")).alias("keyed")))
+    above = frequent_lines(lines, **limits)
+    out = text_statistics(rows)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > F.lit(100 * max_repeat_share) * F.col("n_words"))
-    out = out.withColumn("base_failed", failed).join(above, F.col(host).eqNullSafe(F.col("_host")), "left")
-    # as in text_statistics, a filter must not compute the lines anew
-    out = out.withColumns({"_keyed": F.when(F.col("_above").isNotNull(), _keyed_lines(F.coalesce(F.col("text"), F.lit("")))), "_met": F.monotonically_increasing_id()})
-    frequent = lambda h: F.coalesce(F.array_contains("_above", h), F.lit(False))
+    out = out.withColumn("base_failed", failed).join(above, F.col("host").eqNullSafe(F.col("name")), "left")
+    keyed = out.withColumn("keyed", F.when(F.col("above").isNotNull(), _keyed_lines(F.col("t"))))
+    frequent = lambda h: F.coalesce(F.array_contains("above", h), F.lit(False))
     chars = lambda lines: F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    lines = out.withColumn("_distinct", _distinct(F.col("_keyed")))
-    left = lines.withColumns({"_chars": chars(F.col("_distinct")), "_left": chars(F.filter("_distinct", lambda x: ~frequent(x["h"])))})
-    out = left.withColumn("depleted", F.coalesce(F.col("_left") < F.lit(min_left) * F.col("_chars"), F.lit(False)))
-    out = out.withColumn("kept", ~F.col("base_failed") & ~F.col("depleted") & (F.col("_row") >= 0) & (F.col("_met") >= 0))
-    out = out.withColumn("_stay", F.filter(F.split("text", "\n"), lambda x, i: ~frequent(F.get("_keyed", i)["h"])))
-    out = out.withColumn("n_removed_lines", F.coalesce(F.size("_keyed") - F.size("_stay"), F.lit(0)).cast("long"))
-    out = out.withColumn("kept_text", F.when(F.col("n_removed_lines") > 0, F.array_join("_stay", "\n")).otherwise(F.col("text")))
-    return out.drop("_row", "_met", "_host", "_above", "_keyed", "_distinct", "_chars", "_left", "_stay")
+    keyed = keyed.withColumn("distinct", _distinct(F.col("keyed")))
+    measured = F.struct(*made[:6], "keyed", chars(F.col("distinct")).alias("chars"), chars(F.filter("distinct", lambda x: ~frequent(x["h"]))).alias("left"))
+    # one row of a generator: filters on what it gives stay above, and nothing is computed twice
+    out = keyed.select("own", "t", "above", F.inline(F.array(measured)))
+    out = out.withColumn("depleted", F.coalesce(F.col("left") < F.lit(min_left) * F.col("chars"), F.lit(False)))
+    out = out.withColumn("stay", F.filter(F.split("t", "\n"), lambda x, i: ~frequent(F.get("keyed", i)["h"])))
+    out = out.withColumn("n_removed_lines", F.coalesce(F.size("keyed") - F.size("stay"), F.lit(0)).cast("long"))
+    out = out.withColumn("kept_text", F.when(F.col("n_removed_lines") > 0, F.array_join("stay", "\n")).otherwise(F.col("own.text")))
+    out = out.withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
+    return out.select("own.*", *made)
 
 
 def _sql() -> str:
