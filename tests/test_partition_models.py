@@ -146,3 +146,32 @@ def test_spectral_labels_find_two_cliques(spark):
     pairs = [(i + o, j + o, 1.0) for o in (0, 10) for i in range(6) for j in range(6) if i != j] + [(0, 10, 0.05), (10, 0, 0.05)]
     got = {r["id"]: r["region"] for r in spectral_labels(spark.createDataFrame(pairs, "i long, j long, w double"), 2).collect()}
     assert len({got[i] for i in range(6)}) == 1 and len({got[i] for i in range(10, 16)}) == 1 and got[0] != got[10]
+
+
+def test_best_assignment_is_the_best_of_all():
+    import itertools
+
+    from waymark.operators.agreement import best_assignment
+
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 5, 6):
+        for _ in range(30):
+            gain = rng.integers(0, 6, (n, n)).astype(float)
+            want = max(sum(gain[i, p[i]] for i in range(n)) for p in itertools.permutations(range(n)))
+            got = best_assignment(gain)
+            assert sorted(got) == list(range(n)) and sum(gain[i, j] for i, j in enumerate(got)) == want
+
+
+def test_kmeans_runs_share_passes_and_agree(spark):
+    from waymark.operators import partition
+
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(c, 0.3, (40, 2)) for c in ((-4, 0), (0, 4), (4, 0))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, z array<double>")
+    many = partition.spherical_kmeans_runs(z, 3, [5, 6, 7], 6, rel_tol=1e-6)
+    for seed, (centres, told) in zip((5, 6, 7), many, strict=True):
+        one, alone = partition.spherical_kmeans(z, 3, 6, seed, rel_tol=1e-6)
+        assert np.allclose(one, centres) and np.allclose(alone, told)
+        best = (x @ centres.T).max(axis=1).mean()
+        assert best >= told[-1] - 1e-9

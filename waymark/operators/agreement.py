@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,8 +9,8 @@ from pyspark.sql import functions as F
 from waymark.functions.common import dot
 from waymark.operators.vectors import moments_by
 
-#: Labels up to which alignment tries all one-to-one maps.
-MOST_ALIGNED = 8
+#: Labels that alignment takes; their table of counts meets the driver.
+MOST_ALIGNED = 1000
 
 
 def per_class(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
@@ -38,6 +36,36 @@ def contingency(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("id", F.col("label").alias("la")).join(b.select("id", F.col("label").alias("lb")), "id").groupBy("la", "lb").agg(F.count("*").alias("n"))
 
 
+def best_assignment(gain: np.ndarray) -> list[int]:
+    """Column of each row of a square matrix in the one-to-one assignment of most gain, by shortest augmenting paths."""
+    n = len(gain)
+    cost = gain.max(initial=0) - gain.astype(float)
+    u, v = np.zeros(n + 1), np.zeros(n + 1)
+    row_of = np.zeros(n + 1, dtype=int)  # row at each column, from 1; column 0 holds the row being placed
+    for i in range(1, n + 1):
+        row_of[0], at = i, 0
+        least, back, done = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=int), np.zeros(n + 1, dtype=bool)
+        while row_of[at]:
+            done[at] = True
+            r = row_of[at]
+            slack = np.append(np.inf, cost[r - 1] - u[r] - v[1:])
+            better = ~done & (slack < least)
+            least[better], back[better] = slack[better], at
+            step_to = int(np.where(done, np.inf, least).argmin())
+            delta = least[step_to]
+            u[row_of[done]] += delta
+            v[done] -= delta
+            least[~done] -= delta
+            at = step_to
+        while at:
+            row_of[at] = row_of[back[at]]
+            at = back[at]
+    out = [0] * n
+    for c in range(1, n + 1):
+        out[row_of[c] - 1] = c - 1
+    return out
+
+
 def align(a: DataFrame, b: DataFrame) -> tuple[dict, float]:
     """Q2: the one-to-one map from labels of b to labels of a with the most overlap, and the share that agrees."""
     cells = {(r["la"], r["lb"]): r["n"] for r in contingency(a, b).limit(MOST_ALIGNED**2 + 1).collect()}
@@ -45,10 +73,13 @@ def align(a: DataFrame, b: DataFrame) -> tuple[dict, float]:
     k = max(len(la), len(lb))
     if k > MOST_ALIGNED:
         raise ValueError(f"more than {MOST_ALIGNED} labels")
-    la, lb = la + [None] * (k - len(la)), lb + [None] * (k - len(lb))
-    best = max(itertools.permutations(la), key=lambda p: sum(cells.get((x, y), 0) for x, y in zip(p, lb, strict=True)))
-    hit = sum(cells.get((x, y), 0) for x, y in zip(best, lb, strict=True))
-    return {y: x for x, y in zip(best, lb, strict=True) if y is not None}, hit / max(1, sum(cells.values()))
+    gain = np.zeros((k, k))
+    for i, y in enumerate(lb):
+        for j, x in enumerate(la):
+            gain[i, j] = cells.get((x, y), 0)
+    to = best_assignment(gain)
+    hit = sum(gain[i, j] for i, j in enumerate(to))
+    return {y: la[to[i]] if to[i] < len(la) else None for i, y in enumerate(lb)}, float(hit) / max(1, sum(cells.values()))
 
 
 def pairwise_stability(runs: DataFrame) -> DataFrame:

@@ -19,6 +19,8 @@ from waymark.operators.vectors import l2_normalize
 
 #: Vectors of one side of a block product (8 * D bytes each).
 KNN_BLOCK = 2048
+#: Rows of an exact search: its work grows with their square, so larger tables go by landmarks or :func:`knn_approx`.
+KNN_MOST = 200_000
 #: Edges that a task of a matrix product sums.
 EDGES_PER_TASK = 100_000
 
@@ -30,6 +32,8 @@ def knn(df: DataFrame, k: int, col: str = "latent", id_col: str = "id") -> DataF
     task of its own with a block product, and only its k best per row go on.
     """
     n = df.count()
+    if n > KNN_MOST:
+        raise ValueError(f"{n} rows are more than {KNN_MOST}: sample landmarks or use knn_approx")
     blocks = max(1, -(-n // KNN_BLOCK))
     rows = df.select(F.col(id_col).alias("id"), l2_normalize(F.col(col)).alias("v")).withColumn("b", F.pmod(F.xxhash64(id_col), F.lit(blocks)))
     every = F.sequence(F.lit(0), F.lit(blocks - 1))

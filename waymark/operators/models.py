@@ -19,6 +19,8 @@ from waymark.operators.sampling import holdout
 from waymark.operators.vectors import moments_by
 
 MIN_ROWS = 256
+#: Rows of a region that a trainer may get, as one task holds them.
+TRAINER_MOST = 5_000_000
 
 
 def training_rows(cache: DataFrame, history: int = 1) -> DataFrame:
@@ -39,7 +41,8 @@ def fit_regional(rows: DataFrame, labels: DataFrame, k: int, penalty: float = 1e
 
     Labels out of 0..k-1 and regions below MIN_ROWS are errors, or small ones
     are skipped.  The Gram sums of each region are partial matrices per task; a
-    ``trainer`` (pdf -> coef) gets a region's rows instead.
+    ``trainer`` (pdf -> coef) gets a region's rows instead, in one task, so more
+    than TRAINER_MOST of them are an error.
     """
     if labels.where(~F.col("region").between(0, k - 1)).limit(1).count():
         raise ValueError("a label is out of range")
@@ -50,6 +53,8 @@ def fit_regional(rows: DataFrame, labels: DataFrame, k: int, penalty: float = 1e
         raise ValueError(f"regions {small} have fewer than {MIN_ROWS} rows")
     spark, out = rows.sparkSession, []
     if trainer is not None:
+        if max(sizes.values(), default=0) > TRAINER_MOST:
+            raise ValueError(f"a region has more than {TRAINER_MOST} rows for its trainer")
         fit = lambda key, pdf: pd.DataFrame({"seed": [seed], "region": [key[0]], "coef": [np.asarray(trainer(pdf)).ravel().tolist()], "n": [len(pdf)]})
         return own.where(~F.col("region").isin(small) if small else F.lit(True)).groupBy("region").applyInPandas(fit, "seed long, region long, coef array<double>, n long")
     names = {f"_r{r}": r for r in range(k) if r not in small}

@@ -57,60 +57,89 @@ def init_random(z: DataFrame, k: int, seed: int, col: str = "z") -> np.ndarray:
 
 def init_kmeanspp(z: DataFrame, k: int, seed: int, col: str = "z") -> np.ndarray:
     """Rows by probability max(0, 1 - best cosine), as the least exponential key -ln(u) / weight; one pass a centre."""
-    centres = init_random(z, 1, seed, col)
+    return _plusplus(z, k, [seed], col)[0]
+
+
+def _plusplus(z: DataFrame, k: int, seeds: list[int], col: str) -> np.ndarray:
+    """k-means++ centres [seed, centre, dim]; a pass serves all seeds, and only each task's least keys leave it."""
+    centres = np.stack([init_random(z, 1, s, col) for s in seeds])
     for i in range(1, k):
-        protos = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centres])
-        weight = F.greatest(F.lit(0.0), 1 - F.array_max(F.transform(protos, lambda p: dot(F.col(col), p))))
-        key = -F.ln(1 - uniform(seed * 1000 + i, "id")) / F.greatest(weight, F.lit(1e-300))
-        best = z.select(col, key.alias("_k"), "id").orderBy("_k", "id").limit(1).first()
-        centres = np.vstack([centres, best[col]])
+
+        def least(batches: Iterator[pd.DataFrame], sets: np.ndarray = centres) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                x = np.stack([np.asarray(a, dtype=np.float64) for a in pdf[col]])
+                best = (x @ sets.reshape(-1, x.shape[1]).T).reshape(len(x), len(sets), -1).max(axis=2)
+                key = -np.log1p(-np.stack(pdf["u"].to_numpy())) / np.maximum(np.maximum(0.0, 1 - best), 1e-300)
+                at = [np.lexsort((pdf["id"], key[:, s]))[0] for s in range(len(sets))]
+                yield pd.DataFrame({"s": range(len(sets)), "key": key[at, range(len(sets))], "id": pdf["id"].to_numpy()[at], "vec": list(x[at])})
+
+        rows = z.select(col, "id", F.array(*[uniform(s * 1000 + i, "id") for s in seeds]).alias("u"))
+        found = rows.mapInPandas(least, "s int, key double, id long, vec array<double>").groupBy("s").agg(F.min(F.struct("key", "id", "vec")).alias("x")).collect()  # a row per seed
+        more = np.stack([r["x"]["vec"] for r in sorted(found, key=lambda r: r["s"])])
+        centres = np.concatenate((centres, more[:, None, :]), axis=1)
     return centres
 
 
-def _assign_sums(z: DataFrame, centres: np.ndarray, col: str) -> tuple[np.ndarray, np.ndarray, float, int]:
-    """(sums, counts, objective, rows) of one assignment; a partial row per task and centre set."""
+def _assign_sums(z: DataFrame, centres: np.ndarray, col: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sums, counts, objectives) of one assignment to each set of centres [set, centre, dim]; a partial row per task and centre."""
+    sets, k, dim = centres.shape
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s, n, best = np.zeros_like(centres), np.zeros(len(centres)), 0.0
+        s, n, best = np.zeros_like(centres), np.zeros((sets, k)), np.zeros(sets)
         for pdf in batches:
             if not len(pdf):
                 continue
             x = np.stack([np.asarray(a, dtype=np.float64) for a in pdf[col]])
-            d = x @ centres.T
-            at = np.round(d, 12).argmax(axis=1)
-            np.add.at(s, at, x)
-            n += np.bincount(at, minlength=len(n))
-            best += d[np.arange(len(x)), at].sum()
-        yield pd.DataFrame({"c": range(len(n)), "s": list(s), "n": n, "o": [best] + [0.0] * (len(n) - 1)})
+            d = (x @ centres.reshape(-1, dim).T).reshape(len(x), sets, k)
+            at = np.round(d, 12).argmax(axis=2)
+            for r in range(sets):
+                np.add.at(s[r], at[:, r], x)
+                n[r] += np.bincount(at[:, r], minlength=k)
+                best[r] += d[np.arange(len(x)), r, at[:, r]].sum()
+        yield pd.DataFrame({"c": range(sets * k), "s": list(s.reshape(-1, dim)), "n": n.ravel(), "o": np.repeat(best, k)})
 
     parts = z.select(col).mapInPandas(part, "c int, s array<double>, n double, o double")
-    flat = parts.select("c", "n", "o", F.posexplode("s").alias("d", "x")).groupBy("c", "d").agg(F.sum("x").alias("x"), F.sum("n").alias("n"), F.sum("o").alias("o")).collect()  # K * D rows
-    s, n, o = np.zeros_like(centres), np.zeros(len(centres)), np.zeros(len(centres))
-    for r in flat:
-        s[r["c"], r["d"]], n[r["c"]], o[r["c"]] = r["x"], r["n"], r["o"]
-    rows = int(n.sum())
-    return s, n, float(o.sum() / max(rows, 1)), rows
+    flat = parts.select("c", "n", "o", F.posexplode("s").alias("d", "x")).groupBy("c", "d").agg(F.sum("x").alias("x"), F.sum("n").alias("n"), F.sum("o").alias("o")).toArrow()  # sets * K * D rows
+    s, n, o = np.zeros((sets * k, dim)), np.zeros(sets * k), np.zeros(sets * k)
+    c = flat.column("c").to_numpy()
+    s[c, flat.column("d").to_numpy()], n[c], o[c] = flat.column("x").to_numpy(), flat.column("n").to_numpy(), flat.column("o").to_numpy()
+    n = n.reshape(sets, k)
+    return s.reshape(sets, k, dim), n, o.reshape(sets, k)[:, 0] / np.maximum(n.sum(axis=1), 1)
 
 
-def spherical_kmeans(z: DataFrame, k: int, niter: int = 25, seed: int = 0, init: str = "kmeanspp", col: str = "z", rel_tol: float | None = None, patience: int = 2) -> tuple[np.ndarray, list[float]]:
-    """(centroids, objectives): assign by largest dot, centroid = normalised mean, empty ones reseeded.
+def spherical_kmeans_runs(z: DataFrame, k: int, seeds: list[int], niter: int = 25, init: str = "kmeanspp", col: str = "z", rel_tol: float | None = None, patience: int = 2) -> list[tuple[np.ndarray, list[float]]]:
+    """A fit for each seed, all in the same passes: assign by largest dot, centroid = normalised mean, empty ones reseeded.
 
-    With ``rel_tol`` it stops when the objective's relative change stays below it for ``patience`` rounds.
+    With ``rel_tol`` a fit stops when its objective's relative change stays below it for ``patience`` rounds.
     """
-    centres = (init_kmeanspp if init == "kmeanspp" else init_random)(z, k, seed, col)
-    told, calm = [], 0
+    centres = _plusplus(z, k, seeds, col) if init == "kmeanspp" else np.stack([init_random(z, k, s, col) for s in seeds])
+    told: list[list[float]] = [[] for _ in seeds]
+    calm, open_ = [0] * len(seeds), list(range(len(seeds)))
     for i in range(niter):
-        s, n, objective, _ = _assign_sums(z, centres, col)
-        told.append(objective)
-        empty = np.flatnonzero(n == 0)
-        if len(empty):
-            s[empty] = init_random(z, len(empty), seed + 7919 * (i + 1), col)
-        centres = s / np.maximum(np.linalg.norm(s, axis=1, keepdims=True), 1e-12)
-        if rel_tol is not None and len(told) > 1:
-            calm = calm + 1 if abs(told[-1] - told[-2]) <= rel_tol * max(abs(told[-2]), 1e-12) else 0
-            if calm >= patience:
-                break
-    return centres, told
+        sums, counts, objectives = _assign_sums(z, centres[open_], col)
+        going = []
+        for r, s, n, objective in zip(open_, sums, counts, objectives, strict=True):
+            told[r].append(float(objective))
+            empty = np.flatnonzero(n == 0)
+            if len(empty):
+                s[empty] = init_random(z, len(empty), seeds[r] + 7919 * (i + 1), col)
+            centres[r] = s / np.maximum(np.linalg.norm(s, axis=1, keepdims=True), 1e-12)
+            if rel_tol is not None and len(told[r]) > 1:
+                last, now = told[r][-2:]
+                calm[r] = calm[r] + 1 if abs(now - last) <= rel_tol * max(abs(last), 1e-12) else 0
+            if rel_tol is None or calm[r] < patience:
+                going.append(r)
+        open_ = going
+        if not open_:
+            break
+    return list(zip(centres, told, strict=True))
+
+
+def spherical_kmeans(z: DataFrame, k: int, niter: int = 25, seed: int = 0, init: str = "kmeanspp", col: str = "z", rel_tol: float | None = None, patience: int = 2) -> tuple[np.ndarray, list[float]]:
+    """(centroids, objectives) of one seed."""
+    return spherical_kmeans_runs(z, k, [seed], niter, init, col, rel_tol, patience)[0]
 
 
 def centroid_table(spark, centres: np.ndarray) -> DataFrame:
@@ -118,9 +147,9 @@ def centroid_table(spark, centres: np.ndarray) -> DataFrame:
 
 
 def objective(z: DataFrame, centroids: DataFrame, col: str = "z") -> DataFrame:
-    """The mean of the best cosine."""
-    protos = F.array(*[F.array(*[F.lit(float(x)) for x in r["vec"]]) for r in centroids.orderBy("idx").collect()])
-    return z.agg(F.avg(F.array_max(F.transform(protos, lambda p: dot(F.col(col), p)))).alias("objective"))
+    """The mean of the best cosine; centroids are one row of a broadcast, not of the plan."""
+    protos = centroids.agg(F.collect_list("vec").alias("_protos"))  # K rows
+    return z.select(col).crossJoin(F.broadcast(protos)).agg(F.avg(F.array_max(F.transform("_protos", lambda p: dot(F.col(col), p)))).alias("objective"))
 
 
 def fit_kmeans(df: DataFrame, k: int, seed: int = 0, restarts: int = 1, cap: int | None = None, col: str = "latent", niter: int = 25) -> Partition:
@@ -128,8 +157,9 @@ def fit_kmeans(df: DataFrame, k: int, seed: int = 0, restarts: int = 1, cap: int
     stats = materialize(zscore_l2_fit(df, col))
     z = materialize(zscore_l2(df.select("id", col), stats, col).drop(col))
     fit_on = z if cap is None else materialize(sample_n(z, k * cap, seed))
-    runs = [(spherical_kmeans(fit_on, k, niter, seed * 100_000 + i), i) for i in range(restarts)]
-    (centres, told), best = max(runs, key=lambda r: (r[0][1][-1], -r[1]))
+    runs = spherical_kmeans_runs(fit_on, k, [seed * 100_000 + i for i in range(restarts)], niter)
+    best = max(range(restarts), key=lambda i: (runs[i][1][-1], -i))
+    centres, told = runs[best]
     protos = centroid_table(df.sparkSession, centres)
     return Partition(nearest_owner(z, protos).select("id", "region"), protos, stats, {"method": "kmeans", "k": k, "seed": seed, "restart": best, "objective": told[-1]})
 
@@ -139,8 +169,17 @@ def best_restart(runs: DataFrame, budget: int) -> DataFrame:
     return runs.where(F.col("restart") < budget).groupBy("outer_seed").agg(F.max_by("restart", F.struct("objective", -F.col("restart"))).alias("restart"), F.max("objective").alias("objective"))
 
 
+#: Landmarks that one task may hold when it fits a region's prototypes.
+MOST_LANDMARKS = 200_000
+
+
 def fit_prototypes(z: DataFrame, labels: DataFrame, per_region: int, seed: int = 0, n_init: int = 4, col: str = "z") -> DataFrame:
-    """(idx, vec, owner): centroids inside each region of a landmark set; too few rows in a region is an error."""
+    """(idx, vec, owner): centroids inside each region of a landmark set.
+
+    A region is one task, so more than MOST_LANDMARKS rows in one are an error, as are fewer than ``per_region``.
+    """
+    if labels.groupBy("region").count().where(F.col("count") > MOST_LANDMARKS).limit(1).count():
+        raise ValueError(f"a region has more than {MOST_LANDMARKS} rows: fit on a landmark sample")
     if labels.groupBy("region").count().where(F.col("count") < per_region).limit(1).count():
         raise ValueError("a region has fewer rows than prototypes")
 
@@ -170,12 +209,12 @@ def graph_with_fallback(near: DataFrame, k: int, k2: int, regions: int) -> DataF
     raise ValueError("the graph has more components than regions")
 
 
-def fit_spectral(df: DataFrame, k: int, seed: int = 0, landmarks: int = 20_000, neighbours: int = 30, per_region: int = 16, group: str = "grp", col: str = "latent") -> Partition:
+def fit_spectral(df: DataFrame, k: int, seed: int = 0, landmarks: int = 20_000, neighbours: int = 30, per_region: int = 16, group: str = "grp", col: str = "latent", fallback: int = 50) -> Partition:
     """Labels of all rows by prototypes of the spectral regions of a landmark sample."""
     stats = materialize(zscore_l2_fit(df, col))
     z = materialize(zscore_l2(df, stats, col))
     sample = materialize(landmark_sample(z, landmarks, seed, group).drop("turn"))
-    edges = graph_with_fallback(materialize(knn(sample, max(neighbours, 50), "z")), neighbours, 50, k)
+    edges = graph_with_fallback(materialize(knn(sample, max(neighbours, fallback), "z")), neighbours, fallback, k)
     labels = materialize(spectral_labels(edges, k, seed))
     protos = materialize(fit_prototypes(sample, labels, per_region, seed))
     return Partition(nearest_owner(z, protos).select("id", "region"), protos, stats, {"method": "spectral", "k": k, "seed": seed, "landmarks": landmarks})

@@ -56,8 +56,7 @@ def run_preprocess_stability(latents: DataFrame, names: list[str], k: int, seeds
     pairs = None
     for name in names:
         z, runs = materialize(vectors.preprocess(latents, name).select("id", "z")), None
-        for seed in seeds:
-            centres, _ = partition.spherical_kmeans(z, k, niter, seed, rel_tol=rel_tol)
+        for seed, (centres, _) in zip(seeds, partition.spherical_kmeans_runs(z, k, seeds, niter, rel_tol=rel_tol), strict=True):
             one = routing.nearest_owner(z, partition.centroid_table(z.sparkSession, centres)).select(F.lit(seed).alias("seed"), "id", F.col("region").alias("label"))
             runs = one if runs is None else runs.unionByName(one)
         p = agreement.pairwise_stability(materialize(runs)).select(F.lit(name).alias("variant"), "*")
@@ -68,7 +67,9 @@ def run_preprocess_stability(latents: DataFrame, names: list[str], k: int, seeds
 
 def run_restart_budget(z: DataFrame, k: int, outer: list[int], restarts: int, budgets: list[int], niter: int = 25) -> tuple[DataFrame, DataFrame]:
     """Objectives of all restarts, and how far each budget's best is from the best of all."""
-    rows = [(o, r, partition.spherical_kmeans(z, k, niter, o * 100_000 + r)[1][-1]) for o in outer for r in range(restarts)]
+    keys = [(o, r) for o in outer for r in range(restarts)]
+    fits = partition.spherical_kmeans_runs(z, k, [o * 100_000 + r for o, r in keys], niter)
+    rows = [(o, r, told[-1]) for (o, r), (_, told) in zip(keys, fits, strict=True)]
     runs = z.sparkSession.createDataFrame(rows, "outer_seed long, restart long, objective double")
     return runs, agreement.budget_summary(runs, budgets)
 

@@ -119,19 +119,19 @@ def _(spark, d):
 
 @query("j6_preprocess_stability")
 def _(spark, d):
-    return jobs.run_preprocess_stability(latents(spark, d), ["raw", "zscore"], 3, [0, 1], niter=4)[1]
+    return jobs.run_preprocess_stability(latents(spark, d), list(vectors.VARIANTS), 3, list(range(20)), rel_tol=1e-5)[1]
 
 
 @query("j7_restart_budget")
 def _(spark, d):
     lat = latents(spark, d)
     z = materialize(vectors.zscore_l2(lat.select("id", "latent"), vectors.zscore_l2_fit(lat)).select("id", "z"))
-    return jobs.run_restart_budget(z, 3, [0, 1], 2, [1, 2], niter=4)[1]
+    return jobs.run_restart_budget(z, 3, list(range(20)), 5, [1, 2, 3, 5])[1]
 
 
 @query("j9_gate")
 def _(spark, d):
-    return jobs.run_gate(cache(spark, d), F.floor(F.col("id") / 25), seeds=(0,), knns=(10,), landmarks=200)
+    return jobs.run_gate(cache(spark, d), F.floor(F.col("id") / 25))
 
 
 @query("v5_model_for", f"WITH {_FIT} SELECT v.region, count(*) AS n, round(avg(s * z0 + c), 4) AS next_value FROM v JOIN fit ON v.region = fit.model GROUP BY v.region")

@@ -130,10 +130,10 @@ def _(spark, d):
     return regions.class_counts(positions(spark, d).withColumn("region", regions.priority5(F.col("x"), F.col("y"))), "region")
 
 
-@query("r7_masks_at_starts", f"WITH {FRAMES}, s AS (SELECT frame_id AS start, s0 AS x, s1 AS y, ep FROM frames WHERE step % 4 = 0), t AS (SELECT quantile_cont(x, [0.1, 0.45, 0.9]) AS qx, quantile_cont(y, [0.1, 0.9]) AS qy FROM s WHERE ep % 2 = 0) SELECT start, x < qx[2] AS left_room, x <= qx[1] OR x >= qx[3] OR y <= qy[1] OR y >= qy[2] AS near_wall FROM s, t")
+@query("r7_masks_at_starts", f"WITH {FRAMES}, s AS (SELECT frame_id AS start, s0 AS x, s1 AS y, ep FROM frames), t AS (SELECT quantile_cont(x, [0.1, 0.45, 0.9]) AS qx, quantile_cont(y, [0.1, 0.9]) AS qy FROM s WHERE ep % 2 = 0) SELECT start, x < qx[2] AS left_room, x <= qx[1] OR x >= qx[3] OR y <= qy[1] OR y >= qy[2] AS near_wall FROM s, t")
 def _(spark, d):
     f = frames(spark, d)
-    s = f.where("step % 4 = 0").select(F.col("frame_id").alias("start"), "ep")
+    s = f.select(F.col("frame_id").alias("start"), "ep")
     return regions.region_masks_at(s, f, s.where("ep % 2 = 0")).select("start", "left_room", "near_wall")
 
 
@@ -144,10 +144,10 @@ def _(spark, d):
     return m.groupBy("l_suppkey").agg(F.count_if("middle").alias("n_middle"), F.count_if("extreme").alias("n_extreme"))
 
 
-@query("r9_step_keys", f"WITH {FRAMES}, w AS (SELECT start, k FROM (SELECT f.frame_id AS start, unnest(range(0, 4)) AS k FROM frames f JOIN frames g ON g.frame_id = f.frame_id + 3 WHERE f.step % 4 = 0)) SELECT w.start, k::INT AS step, CASE WHEN s0 < 107 THEN 0 WHEN s0 <= 117 THEN 1 ELSE 2 END AS region FROM w JOIN frames ON frame_id = w.start + k")
+@query("r9_step_keys", f"WITH {FRAMES}, w AS (SELECT start, k FROM (SELECT f.frame_id AS start, unnest(range(0, 4)) AS k FROM frames f JOIN frames g ON g.frame_id = f.frame_id + 3)) SELECT w.start, k::INT AS step, CASE WHEN s0 < 107 THEN 0 WHEN s0 <= 117 THEN 1 ELSE 2 END AS region FROM w JOIN frames ON frame_id = w.start + k")
 def _(spark, d):
     f = frames(spark, d)
-    s = f.where("step % 4 = 0").select(F.col("frame_id").alias("start")).join(f.select((F.col("frame_id") - 3).alias("start")), "start")
+    s = f.select(F.col("frame_id").alias("start")).join(f.select((F.col("frame_id") - 3).alias("start")), "start")
     return regions.rooms3_keys(windows.gather_sequences(windows.expand_windows(s, 4, 1), f, "state"), 4)
 
 
@@ -179,9 +179,9 @@ def _(spark, d):
     return _graph(spark, d).withColumn("w", r6("w"))
 
 
-@query("g4_components", f"WITH RECURSIVE {_W.removeprefix('WITH ')}, m AS (SELECT i, j FROM g WHERE w > 0.45 AND i % 7 = j % 7), r AS (SELECT DISTINCT i AS v, i AS c FROM m UNION SELECT m.j, r.c FROM r JOIN m ON m.i = r.v) SELECT c, n, round(n / sum(n) OVER (), 6) AS share FROM (SELECT c, count(*) AS n FROM (SELECT v, min(c) AS c FROM r GROUP BY v) GROUP BY c)")
+@query("g4_components", f"WITH RECURSIVE {_W.removeprefix('WITH ')}, m AS (SELECT i, j FROM g WHERE w > 0.45), r AS (SELECT DISTINCT i AS v, i AS c FROM m UNION SELECT m.j, r.c FROM r JOIN m ON m.i = r.v) SELECT c, n, round(n / sum(n) OVER (), 6) AS share FROM (SELECT c, count(*) AS n FROM (SELECT v, min(c) AS c FROM r GROUP BY v) GROUP BY c)")
 def _(spark, d):
-    e = _graph(spark, d).where("w > 0.45 AND i % 7 = j % 7")
+    e = _graph(spark, d).where("w > 0.45")
     return graph.component_summary(graph.components(e)).select("c", "n", r6("share").alias("share"))
 
 
@@ -204,7 +204,7 @@ def _(spark, d):
 
 @query("g7_spectral_labels")
 def _(spark, d):
-    return graph.spectral_labels(_graph(spark, d), 3, restarts=3)
+    return graph.spectral_labels(_graph(spark, d), 3)
 
 
 _SPEC = """sp AS (SELECT draw, knn, idx, sum(v) OVER (PARTITION BY draw, knn ORDER BY idx) AS eigenvalue FROM (SELECT l_linenumber % 3 AS draw, 27 + 3 * (l_suppkey % 3) AS knn, l_partkey % 14 AS idx, avg(l_discount) AS v FROM lineitem GROUP BY 1, 2, 3)),
@@ -272,7 +272,7 @@ def _(spark, d):
 
 @query("c10_spectral")
 def _(spark, d):
-    return partition.fit_spectral(latents(spark, d), 3, landmarks=400, neighbours=30, per_region=4).labels
+    return partition.fit_spectral(latents(spark, d), 3).labels
 
 
 @query("c14_replay", f"WITH {ZSCORED}, {PROTOTYPES} SELECT id, region FROM routed")

@@ -15,9 +15,10 @@ def r6(c):
     return F.round(c, 6)
 
 
-@query("s1_read_frames", "SELECT event_id, user_id, value FROM events WHERE event_id % 10 = 0")
+@query("s1_read_frames", "SELECT event_id, user_id, value FROM events WHERE value >= (SELECT avg(value) FROM events)")
 def _(spark, d):
-    ids = spark.read.parquet(f"{d}/events.parquet").where("event_id % 10 = 0").select("event_id")
+    e = table(spark, d, "events").select("event_id", "value")
+    ids = e.crossJoin(F.broadcast(e.agg(F.avg("value").alias("m")))).where("value >= m").select("event_id")
     return io.read_frames(spark, f"{d}/events.parquet", ["event_id", "user_id", "value", "pixels"], ids, "event_id")
 
 
@@ -58,21 +59,21 @@ def _(spark, d):
     return windows.valid_starts_gaps(frames(spark, d).where("step % 7 <> 3"), 4, 5)
 
 
-@query("t4_episode_of", f"WITH {FRAMES}, e AS (SELECT ep, min(frame_id) AS off, count(*) AS len FROM frames GROUP BY ep) SELECT s.frame_id AS start, e.ep FROM frames s JOIN e ON s.frame_id >= off AND s.frame_id < off + len WHERE s.step % 5 = 0")
+@query("t4_episode_of", f"WITH {FRAMES}, e AS (SELECT ep, min(frame_id) AS off, count(*) AS len FROM frames GROUP BY ep) SELECT s.frame_id AS start, e.ep FROM frames s JOIN e ON s.frame_id >= off AND s.frame_id < off + len")
 def _(spark, d):
     f = frames(spark, d)
-    return windows.episode_of(f.where("step % 5 = 0").select(F.col("frame_id").alias("start")), windows.episode_table(f))
+    return windows.episode_of(f.select(F.col("frame_id").alias("start")), windows.episode_table(f))
 
 
-@query("t5_episode_at", f"WITH {FRAMES} SELECT frame_id, ep AS episode FROM frames WHERE step % 11 = 0")
+@query("t5_episode_at", f"WITH {FRAMES} SELECT frame_id, ep AS episode FROM frames")
 def _(spark, d):
     f = frames(spark, d)
-    return windows.episode_at(f.where("step % 11 = 0").select("frame_id"), f)
+    return windows.episode_at(f.select("frame_id"), f)
 
 
-@query("t6_expand_windows", f"WITH {FRAMES} SELECT frame_id AS start, slot, frame_id + slot * 5 AS frame_id FROM (SELECT frame_id, unnest(range(0, 4))::INT AS slot FROM frames WHERE step % 9 = 0)")
+@query("t6_expand_windows", f"WITH {FRAMES} SELECT frame_id AS start, slot, frame_id + slot * 5 AS frame_id FROM (SELECT frame_id, unnest(range(0, 4))::INT AS slot FROM frames)")
 def _(spark, d):
-    return windows.expand_windows(frames(spark, d).where("step % 9 = 0").select(F.col("frame_id").alias("start")), 4, 5)
+    return windows.expand_windows(frames(spark, d).select(F.col("frame_id").alias("start")), 4, 5)
 
 
 _W = f"WITH {FRAMES}, s AS (SELECT frame_id AS start, ep FROM (SELECT *, lead(frame_id, 15) OVER (PARTITION BY ep ORDER BY step) AS a FROM frames) WHERE a = frame_id + 15)"
@@ -146,16 +147,16 @@ def _(spark, d):
     return materialize(windows.dedup_timesteps(windows.expand_latents(cache(spark, d)))).select("ts", r6(F.get("latent", F.lit(0))).alias("first"), "copies")
 
 
-@query("t14_first_shard", f"WITH {LATENTS} SELECT id, CASE WHEN id % 3 = 0 THEN 0 ELSE 1 END AS shard, round(latent[1] + CASE WHEN id % 3 = 0 THEN 0 ELSE 1 END, 6) AS first FROM lat WHERE id % 2 = 0")
+@query("t14_first_shard", f"WITH {LATENTS} SELECT id, CASE WHEN id % 3 = 0 THEN 0 ELSE 1 END AS shard, round(latent[1] + CASE WHEN id % 3 = 0 THEN 0 ELSE 1 END, 6) AS first FROM lat")
 def _(spark, d):
     lat = latents(spark, d).select("id", F.col("latent").alias("vec"))
     second = lat.withColumn("vec", F.transform("vec", lambda x: x + 1))
-    return windows.lookup_first_shard(lat.where("id % 2 = 0"), [lat.where("id % 3 = 0"), second]).select("id", "shard", r6(F.get("vec", F.lit(0))).alias("first"))
+    return windows.lookup_first_shard(lat, [lat.where("id % 3 = 0"), second]).select("id", "shard", r6(F.get("vec", F.lit(0))).alias("first"))
 
 
-@query("t15_lookup_rows", f"WITH {FRAMES}, q AS (SELECT event_id AS pos, user_id * 1000000 + event_id % 90 AS frame_id FROM events WHERE event_id % 3 = 0) SELECT q.pos, q.frame_id, round(s0, 6) AS v FROM q LEFT JOIN frames ON q.frame_id = frames.frame_id")
+@query("t15_lookup_rows", f"WITH {FRAMES}, q AS (SELECT event_id AS pos, user_id * 1000000 + event_id % 90 AS frame_id FROM events) SELECT q.pos, q.frame_id, round(s0, 6) AS v FROM q LEFT JOIN frames ON q.frame_id = frames.frame_id")
 def _(spark, d):
-    q = table(spark, d, "events").where("event_id % 3 = 0").select(F.col("event_id").alias("pos"), (F.col("user_id") * 1_000_000 + F.col("event_id") % 90).alias("frame_id"))
+    q = table(spark, d, "events").select(F.col("event_id").alias("pos"), (F.col("user_id") * 1_000_000 + F.col("event_id") % 90).alias("frame_id"))
     return windows.lookup_rows(q, frames(spark, d)).select("pos", "frame_id", r6(F.get("state", F.lit(0))).alias("v"))
 
 
@@ -189,9 +190,9 @@ def _(spark, d):
     return windows.common_support(all_h, 5).select("horizon", "start")
 
 
-@query("t21_subset", f"WITH {SLOTS} SELECT start, count(*)::INT AS n FROM slots WHERE start % 4 = 1 GROUP BY start")
+@query("t21_subset", f"WITH {SLOTS} SELECT start, count(*)::INT AS n FROM slots JOIN (SELECT id FROM lat WHERE label < 5) k ON k.id = start GROUP BY start")
 def _(spark, d):
-    return windows.subset(cache(spark, d), latents(spark, d).where("id % 4 = 1").select(F.col("id").alias("start"))).select("start", F.size("emb").alias("n"))
+    return windows.subset(cache(spark, d), latents(spark, d).where("label < 5").select(F.col("id").alias("start"))).select("start", F.size("emb").alias("n"))
 
 
 @query("t22_slice_starts", f"{_W} SELECT start, ep FROM s ORDER BY start LIMIT 100 OFFSET 50")
