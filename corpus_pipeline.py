@@ -14,7 +14,7 @@ from waymark.llm.mixing import mix_sources, take_mix
 from waymark.llm.ngram_join import keep_one_per_component
 from waymark.llm.piece_bpe import encode_decode, id_digests
 from waymark.llm.quality_rules import quality_rules
-from waymark.llm.shared import materialize
+from waymark.llm.shared import discard, materialize
 from waymark.llm.tokenizer_files import tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -57,8 +57,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = materialize(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        read, docs = docs, materialize(stage(spark, docs, sf_dir))
+        discard(read)
+    return STAGES[-1][1](spark, docs, sf_dir)

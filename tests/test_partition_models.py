@@ -175,3 +175,14 @@ def test_kmeans_runs_share_passes_and_agree(spark):
         assert np.allclose(one, centres) and np.allclose(alone, told)
         best = (x @ centres.T).max(axis=1).mean()
         assert best >= told[-1] - 1e-9
+
+
+def test_approximate_neighbours_recall(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(250, 16)), rng.normal(size=(8, 16)).repeat(20, axis=0) + 0.1 * rng.normal(size=(160, 16))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, latent array<double>")
+    want = {(r.id, r.nbr) for r in graph.knn(df, 10).collect()}
+    got = {(r.id, r.nbr) for r in graph.knn_approx(df, 10).collect()}
+    assert len(got & want) >= 0.9 * len(want)
+    narrow = graph.knn_approx(df, 10, tables=1, width=0.02).collect()
+    assert len(narrow) == 10 * len(x) and {r["rank"] for r in narrow} == set(range(1, 11))
