@@ -251,15 +251,48 @@ def test_op3_every_sentence_in_its_common_form(spark):
         ("cc0", "CC0 1.0 Universal"),
         ("", "My driving license is new."),
         ("unknown", "It is available under the Foo terms."),
-        ("unknown", "SPDX-License-Identifier: ISC"),
+        ("unknown", "SPDX-License-Identifier: WTFPL"),
+        ("spdx-isc", "SPDX-License-Identifier: ISC"),
+        ("spdx-agpl3", "SPDX-License-Identifier: AGPL-3.0-only"),
+        ("spdx-lgpl", "// SPDX-License-Identifier: LGPL-2.1-or-later"),
+        ("spdx-mpl2", "SPDX-License-Identifier: MPL-2.0"),
+        ("spdx-bsd2", "SPDX-License-Identifier: BSD-2-Clause"),
+        ("spdx-epl2", "SPDX-License-Identifier: EPL-2.0"),
+        ("spdx-unlicense", "SPDX-License-Identifier: Unlicense"),
+        ("spdx-cc0", "SPDX-License-Identifier: CC0-1.0"),
+        ("apache2-title", "                                 Apache License\n                           Version 2.0, January 2004"),
+        ("agpl3-title", "GNU AFFERO GENERAL PUBLIC LICENSE\n                       Version 3, 19 November 2007"),
+        ("lgpl3-title", "GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007"),
+        ("lgpl21-title", "GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 2.1, February 1999"),
+        ("gpl3-title", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007"),
+        ("gpl2-title", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991"),
+        ("mpl2-title", "Mozilla Public License Version 2.0"),
+        ("epl2-ref", "made available under the terms of the\nEclipse Public License 2.0"),
+        ("isc-grant", "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above"),
+        ("unlicense-grant", "This is free and unencumbered software released into the public domain."),
+        ("boost-ref", "Distributed under the Boost Software License, Version 1.0."),
+        ("zlib-as-is", "This software is provided 'as-is', without any express or implied\nwarranty."),
+        ("zlib-origin", "1. The origin of this software must not be misrepresented"),
+        ("bsd2-ref", "Released under the 2-clause BSD license"),
+        ("gpl3-ref", "it under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or"),
+        ("gpl2-ref", "GNU General Public License as published by the Free Software Foundation, version 2"),
+        ("agpl3-ref", "the GNU Affero General Public License as\npublished by the Free Software Foundation, either version 3 of the"),
+        # none of these is a licence sentence
+        ("", "Eclipse season begins with a public lecture, version 2.0 of the programme."),
+        ("", "We released the birds into the public park."),
+        ("", "The origin of this river is unknown to the public."),
         # lines that stand for themselves stay apart
         ("spdx-mit,spdx-apache2", "SPDX-License-Identifier: MIT\nSPDX-License-Identifier: Apache-2.0"),
         ("mit-ref,cc-by-4", "Released under the MIT License,\nLicensed under CC BY 4.0"),
         ("mit-ref,mit-grant", "Released under the MIT License: Permission is hereby granted, free of charge, to any person obtaining a copy"),
     ]
-    assert {n for n, _ in license_scan.SENTENCES} <= {i for n, _ in forms for i in n.split(",")} | {"unlike"}
+    assert {n for n, _ in license_scan.PATTERNS} <= {i for n, _ in forms for i in n.split(",")} | {"unlike"}
     got = license_scan.license_scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(forms)], "doc_id long, text string")).collect()
     assert [r.sentence_ids for r in sorted(got)] == [n for n, _ in forms]
+    ruled = {i for run, _ in (*license_scan.RULES, *license_scan.MORE_RULES) for i in run}
+    assert {n for n, _ in license_scan.PATTERNS} - ruled <= {"unlike", "unknown"}
+    zlib = "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable.\n1. The origin of this software must not be misrepresented; you must not claim it."
+    assert license_scan.license_scan(spark.createDataFrame([(1, zlib)], "doc_id long, text string")).first().licenses == "Zlib"
 
 
 def test_op4_ids_are_the_librarys(docs, empty):

@@ -69,14 +69,65 @@ RULES = (
     (("cc-by-4",), "CC-BY-4.0"),
     (("cc0",), "CC0-1.0"),
 )
-#: Further forms of known sentences, which the SQL lacks.
+#: Sentences that the SQL lacks: titles and bodies of further licences.  Fixed values.
+MORE_SENTENCES = (
+    ("spdx-agpl3", r".*spdx license identifier agpl 3\.0.*"),
+    ("spdx-lgpl", r".*spdx license identifier lgpl .*"),
+    ("spdx-mpl2", r".*spdx license identifier mpl 2\.0( .*)?"),
+    ("spdx-bsd2", r".*spdx license identifier bsd 2 clause( .*)?"),
+    ("spdx-isc", r".*spdx license identifier isc( .*)?"),
+    ("spdx-epl2", r".*spdx license identifier epl 2\.0( .*)?"),
+    ("spdx-unlicense", r".*spdx license identifier unlicense( .*)?"),
+    ("spdx-cc0", r".*spdx license identifier cc0 1\.0( .*)?"),
+    ("apache2-title", r".*apache license version 2\.0 january 2004.*"),
+    ("agpl3-title", r".*gnu affero general public license version 3 19 november 2007.*"),
+    ("lgpl3-title", r".*gnu lesser general public license version 3 29 june 2007.*"),
+    ("lgpl21-title", r".*gnu lesser general public license version 2\.1 february 1999.*"),
+    ("gpl3-title", r".*gnu general public license version 3 29 june 2007.*"),
+    ("gpl2-title", r".*gnu general public license version 2 june 1991.*"),
+    ("mpl2-title", r"mozilla public license (v |version )2\.0"),
+    ("epl2-ref", r".*eclipse public license (v |version )?2\.0.*"),
+    ("isc-grant", r".*permission to use copy modify and( or)? distribute this software for any purpose with or without fee is hereby granted.*"),
+    ("unlicense-grant", r".*this is free and unencumbered software released into the public domain.*"),
+    ("boost-ref", r".*boost software license version 1\.0.*"),
+    ("zlib-as-is", r".*this software is provided as is without any express or implied warranty.*"),
+    ("zlib-origin", r".*the origin of this software must not be misrepresented.*"),
+    ("bsd2-ref", r".*under (the |a )?((2 clause|simplified) bsd|bsd 2 clause)( license)?.*"),
+)
+MORE_RULES = (
+    (("zlib-as-is", "zlib-origin"), "Zlib"),
+    (("isc-grant",), "ISC"),
+    (("spdx-isc",), "ISC"),
+    (("unlicense-grant",), "Unlicense"),
+    (("spdx-unlicense",), "Unlicense"),
+    (("epl2-ref",), "EPL-2.0"),
+    (("spdx-epl2",), "EPL-2.0"),
+    (("boost-ref",), "BSL-1.0"),
+    (("apache2-title",), "Apache-2.0"),
+    (("agpl3-title",), "AGPL-3.0"),
+    (("spdx-agpl3",), "AGPL-3.0"),
+    (("lgpl3-title",), "LGPL-3.0"),
+    (("lgpl21-title",), "LGPL-2.1"),
+    (("spdx-lgpl",), "LGPL"),
+    (("gpl3-title",), "GPL-3.0"),
+    (("gpl2-title",), "GPL-2.0"),
+    (("mpl2-title",), "MPL-2.0"),
+    (("spdx-mpl2",), "MPL-2.0"),
+    (("spdx-bsd2",), "BSD-2-Clause"),
+    (("bsd2-ref",), "BSD-2-Clause"),
+    (("spdx-cc0",), "CC0-1.0"),
+)
+#: Further forms of known sentences, which the SQL lacks too.
 FORMS = {
+    "agpl3-ref": r"|.*gnu affero general public license as published by the free software foundation (either )?version 3.*",
+    "gpl3-ref": r"|.*gnu general public license as published by the free software foundation (either )?version 3.*",
+    "gpl2-ref": r"|.*gnu general public license as published by the free software foundation (either )?version 2.*",
     "mpl2-ref": r"|.*subject to the terms of the mozilla public license (v |version )?2\.0.*",
     "unknown": r"|.*spdx license identifier .*",
 }
-PATTERNS = tuple((name, pattern + FORMS.get(name, "")) for name, pattern in SENTENCES)
+PATTERNS = tuple((name, pattern + FORMS.get(name, "")) for name, pattern in (*MORE_SENTENCES, *SENTENCES))
 #: Every pattern needs one of these, also before a sentence is normalised; texts without any are done at once.
-CUE = r"(?i)licen|permission|redistributions|neither|warranty|cc0|dedicated|bsd|(?:released|distributed|available)[^a-z0-9]+under"
+CUE = r"(?i)licen|permission|redistributions|neither|warranty|cc0|dedicated|unencumbered|misrepresented|bsd|(?:released|distributed|available)[^a-z0-9]+under"
 _BREAK = r"[ \t\r]*\n[ \t*#/-]*"
 _GOES_ON = r"(?!SPDX|Licensed|Released|Distributed|Available)(?=[A-Za-z0-9(\"'])"
 #: A line goes on the sentence of the line before, behind any comment marks, if it starts in lower case, if that
@@ -138,7 +189,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
 def _match() -> list[Column]:
     """Each rule takes its runs out of the string of identifiers; what stays goes to the next."""
     rest, picked = F.col("rest"), []
-    for run, name in RULES:
+    for run, name in (*RULES, *MORE_RULES):
         mark = "," + ",,".join(run) + ","
         picked.append(F.when(F.instr(rest, mark) > 0, F.lit(name)))
         rest = F.replace(rest, F.lit(mark), F.lit(";"))
