@@ -46,6 +46,11 @@ def _labels(spark, z, centres):
     return routing.nearest_owner(z, partition.centroid_table(spark, centres)).select("id", "region")
 
 
+@query("c3_kmeans", f"WITH {ZSCORED}, {plusplus_sql('z', 3, 100_000)}, {rounds_sql('z', 8)} SELECT id, region FROM fitted")
+def _(spark, d):
+    return partition.fit_kmeans(latents(spark, d), 3, 1, niter=8).labels
+
+
 @query("c3_kmeans_rounds", f"WITH {ZSCORED}, {plusplus_sql('z', 3, 1)}, {rounds_sql('z', 3)} SELECT id, region FROM fitted")
 def _(spark, d):
     z = materialize(z_table(spark, d))

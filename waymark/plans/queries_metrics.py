@@ -76,9 +76,15 @@ def _(spark, d):
     return rounded(risk.success_blocks(runs(spark, d), "A", "R").drop("i"), "a", "b")
 
 
-@query("k7_success_bootstrap")
+@query(
+    "k7_success_bootstrap",
+    f"""WITH {RUNS}, p AS (SELECT method, train_seed, eval_seed, avg(success_rate) AS r FROM runs GROUP BY 1, 2, 3), b AS (SELECT a.train_seed, a.eval_seed, a.r - b.r AS d FROM p a JOIN p b ON a.train_seed = b.train_seed AND a.eval_seed = b.eval_seed WHERE a.method = 'A' AND b.method = 'R'),
+nth AS (SELECT row_number() OVER (ORDER BY train_seed, eval_seed) - 1 AS slot, d FROM b), n AS (SELECT count(*) AS n FROM nth),
+dr AS (SELECT rep, {_U.format("'3:' || rep || ':' || slot")} % n AS at FROM (SELECT unnest(range(0, 200)) AS rep), nth, n), m AS (SELECT rep, avg(d) AS m FROM dr JOIN nth ON nth.slot = dr.at GROUP BY rep)
+SELECT (SELECT round(avg(d), 6) FROM nth) AS estimate, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m""",
+)
 def _(spark, d):
-    return risk.success_bootstrap(runs(spark, d), "A", "R", 200, 3)
+    return rounded(risk.success_bootstrap(runs(spark, d), "A", "R", 200, 3), "estimate", "low", "high")
 
 
 _STEP = "st AS (SELECT l_orderkey AS start, l_linenumber AS step, l_returnflag AS variant, avg(l_tax + l_discount) AS loss, max(l_suppkey % 3) AS region FROM lineitem GROUP BY 1, 2, 3)"
@@ -301,7 +307,7 @@ def _(spark, d):
     return audit.gate_summary(l.select("task").distinct().withColumn("choice", F.lit("global")), l, 9)
 
 
-@query("s14_report")
+@query("s14_report", """SELECT '{"n_episodes":' || count(DISTINCT user_id) || ',"n_rows":' || count(*) || '}' AS report FROM events""")
 def _(spark, d):
     from waymark.sources.io import emit_report
 

@@ -253,11 +253,6 @@ def _(spark, d):
     return partition.fit_random_voronoi(latents(spark, d), 3, 7).labels
 
 
-@query("c3_kmeans")
-def _(spark, d):
-    return partition.fit_kmeans(latents(spark, d), 3, 1, niter=8).labels
-
-
 @query("c8_best_restart", "WITH r AS (SELECT l_suppkey % 5 AS outer_seed, l_partkey % 20 AS restart, round(avg(l_discount), 3) AS objective FROM lineitem GROUP BY 1, 2), b AS (SELECT *, row_number() OVER (PARTITION BY outer_seed ORDER BY objective DESC, restart) AS n FROM r WHERE restart < 10) SELECT outer_seed, restart, objective FROM b WHERE n = 1")
 def _(spark, d):
     r = table(spark, d, "lineitem").groupBy((F.col("l_suppkey") % 5).alias("outer_seed"), (F.col("l_partkey") % 20).alias("restart")).agg(F.round(F.avg("l_discount"), 3).alias("objective"))
@@ -336,13 +331,24 @@ def _(spark, d):
     return s.select(*[r6(c).alias(c) for c in s.columns])
 
 
-@query("v7_router_fidelity")
+@query(
+    "v7_router_fidelity",
+    f"""WITH {ZSCORED}, {PROTOTYPES}, b AS (SELECT routed.id, region AS p, label % 3 AS y FROM routed JOIN lat ON routed.id = lat.id),
+h AS (SELECT p, y FROM b QUALIFY row_number() OVER (ORDER BY md5('0:' || id), id) <= greatest(1, floor(count(*) OVER () * 0.2))),
+c AS (SELECT c, count(*) FILTER (WHERE y = c AND p = c) AS tp, count(*) FILTER (WHERE y = c) + count(*) FILTER (WHERE p = c) AS n FROM h, (SELECT unnest([0, 1, 2]) AS c) GROUP BY c)
+SELECT (SELECT round(avg(CASE WHEN p = y THEN 1.0::DOUBLE ELSE 0.0 END), 6) FROM b) AS agreement, round(avg(2 * tp / n), 6) AS macro_f1 FROM c WHERE n > 0""",
+)
 def _(spark, d):
     r = routed(spark, d)[0]
-    return routing.router_fidelity(r, r.select("id", (F.col("label") % 3).alias("region")))
+    f = routing.router_fidelity(r, r.select("id", (F.col("label") % 3).alias("region")))
+    return f.select(r6("agreement").alias("agreement"), r6("macro_f1").alias("macro_f1"))
 
 
-@query("v8_stream_histogram")
+@query(
+    "v8_stream_histogram",
+    """WITH r AS (SELECT ts::DATE AS day, [(hour(ts) - 11.5::DOUBLE) / 12, value / 100] AS v FROM events)
+SELECT day, CASE WHEN round(list_inner_product(v, [1.0::DOUBLE, 0.2]), 12) >= round(list_inner_product(v, [-1.0::DOUBLE, 0.2]), 12) THEN 0 ELSE 1 END AS region, count(*) AS n FROM r GROUP BY 1, 2""",
+)
 def _(spark, d):
     """The events' hourly vectors as a stream, routed and counted by day."""
     from waymark.streaming import route as stream
@@ -354,7 +360,7 @@ def _(spark, d):
     name = "v8_" + str(abs(hash(d)) % 10**8)
     q = live.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.table(name).select(F.col("window_start").cast("date").alias("day"), "region", "n")
 
 
 @query("d7_table_hash")
