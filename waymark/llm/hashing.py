@@ -59,8 +59,8 @@ def text_chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int
         row = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, A-Z lower-cased, and the number of words of each row."""
+def words(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, A-Z lower-cased if ``fold``, and the number of words of each row."""
     rows = len(offsets) - 1
     if not len(data):
         return np.zeros(0, dtype=np.uint64), np.zeros(rows, dtype=np.int64)
@@ -71,7 +71,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     before = np.empty(len(data), dtype=bool)
     before[0], before[1:] = True, space[:-1]
     starts = np.flatnonzero(~space & (before | edge[:-1]))
-    value = _BYTE[_LOWER[data]]
+    value = _BYTE[_LOWER[data] if fold else data]
     value *= up[: len(data)]
     value[space] = 0
     if not len(starts):

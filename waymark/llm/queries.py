@@ -17,6 +17,7 @@ from .language_id import identify_language
 from .mixing import mix_sources
 from .neighbours import nearest
 from .ngram_join import ngram_jaccard_join
+from .periodic_runs import periodic_runs, run_digests, with_planted_runs
 from .piece_bpe import encode_decode, id_digests
 from .shared import shared_dir
 from .tokenizer_files import tokenizer_path
@@ -100,3 +101,8 @@ def op5_nearest_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(periodic_runs(with_planted_runs(_table(spark, sf_dir, "documents"))))
