@@ -19,6 +19,7 @@ from .neighbours import nearest
 from .ngram_join import ngram_jaccard_join
 from .periodic_runs import periodic_runs, run_digests, with_planted_runs
 from .piece_bpe import encode_decode, id_digests
+from .pivot_search import exact_top_k
 from .shared import shared_dir
 from .tokenizer_files import tokenizer_path
 
@@ -106,3 +107,16 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(periodic_runs(with_planted_runs(_table(spark, sf_dir, "documents"))))
+
+
+@_query
+def op12_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+SQL["op12_pivot_top_k"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 5"""
