@@ -59,13 +59,13 @@ def text_chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int
         row = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, A-Z lower-cased if ``fold``, and the number of words of each row."""
+def words(data: np.ndarray, offsets: np.ndarray, fold: bool = True, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, A-Z lower-cased if ``fold``, and the number of words of each row; ``gaps`` are the bytes between words."""
     rows = len(offsets) - 1
     if not len(data):
         return np.zeros(0, dtype=np.uint64), np.zeros(rows, dtype=np.int64)
     up, down = _powers(len(data))
-    space = _SPACE[data]
+    space = gaps[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[offsets] = True
     before = np.empty(len(data), dtype=bool)

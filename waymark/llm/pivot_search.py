@@ -292,7 +292,7 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float =
     dim, most2, largest, queries = rows.agg(F.max(F.size("v")), F.max(norm2), F.max(largest), F.count_if("is_query")).first()
     if not queries:
         return spark.createDataFrame([], out_schema)
-    if max(most2, (largest * scale) ** 2) >= 2.0**62:
+    if max(most2, largest * scale * largest * scale) >= 2.0**62:
         raise ValueError("scores may exceed 64 bits")
     dim, wide, kind = max(dim, 1), most2 >= 2.0**52, "<i2" if largest * scale < 2**15 - 2 else "<i8"
     keep, n = k + 1, shuffle_partitions(spark)
