@@ -536,6 +536,27 @@ def test_op9_lines(docs, empty):
     assert any(r.n_dropped for r in got) and line_dedup(empty).count() == 0
 
 
+def test_op9_repeated_and_null_ids_with_other_texts(spark, monkeypatch):
+    from waymark.llm import line_dedup as module
+
+    shared = "a line that several of the documents hold"
+    rows = [(None, f"alpha alpha alpha alpha alpha\n{shared}\nx"), (None, "beta beta beta beta beta beta\nPRECIOUS LINE THAT NOBODY ELSE HOLDS\ny")]
+    rows += [(i, f"{shared}\n  {shared.upper()}") for i in (1, 2, 9)] + [(1, f"own\nONE MORE LINE THAT NOBODY HOLDS\n{shared}"), (9, f"again\n{shared}"), (2, None), (1, f"own\nONE MORE LINE THAT NOBODY HOLDS\n{shared}")]
+    rows += [(None, f"{shared}\n{shared}\nlast"), (7, "only the line of one document\n" * 5), (7, "only the line of one document"), (7, "only the line of one document")]
+    key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(LOWER)
+    held = defaultdict(set)
+    for i, t in rows:
+        for line in (t or "").split("\n"):
+            held[key(line)].add(-1 if i is None else i)
+    stays = lambda i, line: len(key(line)) < 20 or len(held[key(line)]) < 3 or max(held[key(line)]) == (-1 if i is None else i)
+    want = Counter((i, "\n".join(x for x in (t or "").split("\n") if stays(i, x))) for i, t in rows)
+    for most in (512, 2):
+        monkeypatch.setattr(module, "RUN_ROWS", most)
+        got = line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert Counter((r.doc_id, r.kept_text) for r in got) == want
+        assert sum(r.n_dropped for r in got) == 9  # 1 and 2 of null ids, 2 of 1, 2 of 2, and 1 of both "own" rows
+
+
 def test_op9_a_split_run_agrees(spark, monkeypatch):
     from waymark.llm import line_dedup as module
 
