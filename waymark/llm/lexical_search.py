@@ -303,12 +303,13 @@ def _search_block(docs: DataFrame, block: list, id_type: str, k: int) -> DataFra
     weights = np.array([math.floor(1000 * math.log((2 * documents + 2) / (2 * f + 1))) for f in df[order].tolist()], dtype=np.int64)
     asked = share((weights, [place[np.searchsorted(vocabulary, t)] for _, t in block]))
     paths = useful.mapInArrow(_paths(share(place), documents, terms), PATH)
-    sample = useful.orderBy(F.xxhash64("doc_id", "n"), "doc_id", "n").limit(SAMPLE_DOCS).mapInArrow(_paths(share(place), documents, terms), PATH)
-    first = sample.coalesce(1).sortWithinPartitions("path", "tfs", "m", "doc_id").mapInArrow(_search(asked, k, None), HIT)
+    sample = useful.sample(min(1.0, SAMPLE_DOCS / documents), seed=11).mapInArrow(_paths(share(place), documents, terms), PATH)
+    first = sample.repartition(1).sortWithinPartitions("path", "tfs", "m", "doc_id").mapInArrow(_search(asked, k, None), HIT)
     least = [1] * len(block)
     for r in first.groupBy("item").agg(F.count("*").alias("n"), F.min("score").alias("kth")).where(F.col("n") == k).collect():
         least[r["item"]] = r["kth"]
-    ranged = paths.repartitionByRange(n, "path", "tfs", "m", "doc_id").sortWithinPartitions("path", "tfs", "m", "doc_id")
+    near = [F.substring("path", 1, 32), F.xxhash64("path"), F.xxhash64("tfs", "m"), F.col("doc_id")]  # short, as bounds are drawn from a sample of them
+    ranged = paths.repartitionByRange(n, *near).sortWithinPartitions("path", "tfs", "m", "doc_id")
     hits = ranged.mapInArrow(_search(asked, k, share(least)), HIT)
     best = Window.partitionBy("item").orderBy(F.desc("score"), "doc_id")
     hits = materialize(hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k))
