@@ -222,6 +222,54 @@ def test_op3_licences(spark, docs, empty):
     assert license_scan.license_scan(docs).count() == docs.count() and license_scan.license_scan(empty).count() == 0
 
 
+def scan(spark, texts):
+    return {r.doc_id: r for r in license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+
+
+def test_op3_long_runs_and_texts_without_breaks(spark):
+    mit = "Licensed under the MIT License. "
+    runs = ["=", "!", ";", ".", ":", " ", "\t", "\r", "\n", "\f", "-", "*", "#", "/", ",", "A", "a", "0", "1.", "A ", "; ", "! ", "MIT ", "v. ", "(", "\n# ", "the\n", "許", "ไทย", "عقد ", "é", "unknown license terms. "]
+    texts = [mit + x * (100_000 // len(x)) for x in runs] + [x * (100_000 // len(x)) + "\n" + mit for x in runs]
+    texts += [mit + "本许可证的授权条款如下 license 以及其他" * 50_000, mit + "x" * 1_000_000, mit + "license " * 120_000]
+    got = scan(spark, texts)
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        assert "MIT" in got[i].licenses.split(",") or "MIT License" not in t, (i, t[:40], got[i])
+
+
+APACHE = """/*
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ *
+ * Unless required by applicable law or agreed to in writing, software
+ * distributed under the License is distributed on an "AS IS" BASIS,
+ * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+ */"""
+
+
+def test_op3_whole_notices(spark):
+    cases = [
+        ("SPDX-License-Identifier: MIT OR Apache-2.0", "Apache-2.0,MIT", "known"),
+        ("SPDX-License-Identifier: (GPL-2.0-or-later WITH Classpath-exception-2.0) AND BSD-3-Clause", "BSD-3-Clause,GPL-2.0", "known"),
+        ("SPDX-License-Identifier: Zlib", "Zlib", "known"),
+        ("SPDX-License-Identifier: CC-BY-4.0", "CC-BY-4.0", "known"),
+        ("This code is not licensed under the MIT License.", "", "none"),
+        ("All profits are distributed under the old scheme.", "", "none"),
+        (APACHE, "Apache-2.0", "known"),
+        ("This program is free software; you can redistribute it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or any later version.", "GPL-2.0", "known"),
+        ("GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991\n\nThis License applies to any program distributed under the terms of this General Public License agreement.\nYou may copy it under the terms of the GNU General Public License.\nThe licenses of most software are license terms.", "GPL-2.0", "known"),
+        ("Mozilla Public License Version 1.1\n\nThe code is licensed under other license terms.", "MPL-1.1", "known"),
+        ("GNU Free Documentation License\nVersion 1.3, 3 November 2008\n", "GFDL", "known"),
+        ("It is licensed under the Foo License.\nGNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007", "GPL-3.0", "partial"),
+    ]
+    got = scan(spark, [t for t, _, _ in cases])
+    for i, (text, licences, status) in enumerate(cases):
+        assert (got[i].licenses, got[i].status) == (licences, status), (text, got[i])
+
+
 def test_op3_every_sentence_in_its_common_form(spark):
     forms = [
         ("spdx-mit", "// SPDX-License-Identifier: MIT"),
@@ -248,7 +296,7 @@ def test_op3_every_sentence_in_its_common_form(spark):
         ("cc-by-nc-4", "Licensed under CC BY-NC 4.0."),
         ("cc-by-sa-4", "licensed under a CC BY-SA 4.0 license"),
         ("cc-by-4", "This work is licensed under CC BY 4.0"),
-        ("cc0", "CC0 1.0 Universal"),
+        ("cc0", "It is dedicated to the public domain"),
         ("", "My driving license is new."),
         ("unknown", "It is available under the Foo terms."),
         ("unknown", "SPDX-License-Identifier: WTFPL"),
@@ -278,6 +326,18 @@ def test_op3_every_sentence_in_its_common_form(spark):
         ("gpl2-ref", "GNU General Public License as published by the Free Software Foundation, version 2"),
         ("agpl3-ref", "the GNU Affero General Public License as\npublished by the Free Software Foundation, either version 3 of the"),
         # none of these is a licence sentence
+        ("spdx-zlib", "SPDX-License-Identifier: Zlib"),
+        ("spdx-boost", "SPDX-License-Identifier: BSL-1.0"),
+        ("spdx-cc-by-4", "SPDX-License-Identifier: CC-BY-4.0"),
+        ("spdx-cc-by-sa-4", "SPDX-License-Identifier: CC-BY-SA-4.0"),
+        ("spdx-artistic2", "SPDX-License-Identifier: Artistic-2.0"),
+        ("gpl1-title", "GNU GENERAL PUBLIC LICENSE\n  Version 1, February 1989"),
+        ("lgpl2-title", "GNU LIBRARY GENERAL PUBLIC LICENSE\n  Version 2, June 1991"),
+        ("mpl11-title", "Mozilla Public License Version 1.1"),
+        ("gfdl-title", "GNU Free Documentation License\n  Version 1.3, 3 November 2008"),
+        ("artistic-title", 'The "Artistic License"'),
+        ("cc0-title", "CC0 1.0 Universal"),
+        ("body", "Unless required by law, software distributed under the License comes without any promise"),
         ("", "Eclipse season begins with a public lecture, version 2.0 of the programme."),
         ("", "We released the birds into the public park."),
         ("", "The origin of this river is unknown to the public."),
@@ -290,7 +350,7 @@ def test_op3_every_sentence_in_its_common_form(spark):
     got = license_scan.license_scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(forms)], "doc_id long, text string")).collect()
     assert [r.sentence_ids for r in sorted(got)] == [n for n, _ in forms]
     ruled = {i for run, _ in (*license_scan.RULES, *license_scan.MORE_RULES) for i in run}
-    assert {n for n, _ in license_scan.PATTERNS} - ruled <= {"unlike", "unknown"}
+    assert {n for n, _ in license_scan.PATTERNS} - ruled <= {"unlike", "unknown", "body"}
     zlib = "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable.\n1. The origin of this software must not be misrepresented; you must not claim it."
     assert license_scan.license_scan(spark.createDataFrame([(1, zlib)], "doc_id long, text string")).first().licenses == "Zlib"
 

@@ -10,6 +10,8 @@ what no rule picks is reported as left over.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,6 +95,19 @@ MORE_SENTENCES = (
     ("zlib-as-is", r".*this software is provided as is without any express or implied warranty.*"),
     ("zlib-origin", r".*the origin of this software must not be misrepresented.*"),
     ("bsd2-ref", r".*under (the |a )?((2 clause|simplified) bsd|bsd 2 clause)( license)?.*"),
+    ("spdx-zlib", r".*spdx license identifier zlib( .*)?"),
+    ("spdx-boost", r".*spdx license identifier bsl 1\.0( .*)?"),
+    ("spdx-cc-by-4", r".*spdx license identifier cc by 4\.0( .*)?"),
+    ("spdx-cc-by-sa-4", r".*spdx license identifier cc by sa 4\.0( .*)?"),
+    ("spdx-artistic2", r".*spdx license identifier artistic 2\.0( .*)?"),
+    ("gpl1-title", r".*gnu general public license version 1 february 1989.*"),
+    ("lgpl2-title", r".*gnu library general public license version 2 june 1991.*"),
+    ("mpl11-title", r".*mozilla public license version 1\.1( .*)?"),
+    ("gfdl-title", r".*gnu free documentation license version 1\.[0-9].*"),
+    ("artistic-title", r"(the )?artistic license( 2\.0)?"),
+    ("cc0-title", r".*cc0 1\.0 universal.*"),
+    ("unlike", r".*\b(not|never|cannot be|isn t|aren t) (be |being )?(licensed|released|distributed|available) under .*"),
+    ("body", r".*\b(licensed|released|distributed|available) under (the|this) (same )?license\b.*"),
 )
 MORE_RULES = (
     (("zlib-as-is", "zlib-origin"), "Zlib"),
@@ -116,7 +131,21 @@ MORE_RULES = (
     (("spdx-bsd2",), "BSD-2-Clause"),
     (("bsd2-ref",), "BSD-2-Clause"),
     (("spdx-cc0",), "CC0-1.0"),
+    (("spdx-zlib",), "Zlib"),
+    (("spdx-boost",), "BSL-1.0"),
+    (("spdx-cc-by-4",), "CC-BY-4.0"),
+    (("spdx-cc-by-sa-4",), "CC-BY-SA-4.0"),
+    (("spdx-artistic2",), "Artistic-2.0"),
+    (("gpl1-title",), "GPL-1.0"),
+    (("lgpl2-title",), "LGPL-2.0"),
+    (("mpl11-title",), "MPL-1.1"),
+    (("gfdl-title",), "GFDL"),
+    (("artistic-title",), "Artistic"),
+    (("cc0-title",), "CC0-1.0"),
 )
+#: Sentences that stand in the bodies of licences have one character each.  Those of a licence whose title came before
+#: belong to it; "body" never says which licence, so rules look past it.
+CODES = {"body": "^", "unknown": "~", "gpl-any-ref": "%", "lgpl-ref": "&", "as-is": "@", "cc0": "=", "mit-notice": "+", "unlicense-grant": "<"}
 #: Further forms of known sentences, which the SQL lacks too.
 FORMS = {
     "agpl3-ref": r"|.*gnu affero general public license as published by the free software foundation (either )?version 3.*",
@@ -125,14 +154,18 @@ FORMS = {
     "mpl2-ref": r"|.*subject to the terms of the mozilla public license (v |version )?2\.0.*",
     "unknown": r"|.*spdx license identifier .*",
 }
-PATTERNS = tuple((name, pattern + FORMS.get(name, "")) for name, pattern in (*MORE_SENTENCES, *SENTENCES))
+#: In place of the SQL's last pattern: what is only "distributed under" something has to speak of terms.
+UNKNOWN = r".*\blicensed under .*|.*\b(released|distributed|available) under .*\b(licen[sc]e|licensing|terms|conditions|agreement|gpl|lgpl|bsd|copyleft)\b.*|.*\blicensed? (terms|agreement)\b.*"
+PATTERNS = tuple((name, (UNKNOWN if name == "unknown" else pattern) + FORMS.get(name, "")) for name, pattern in (*MORE_SENTENCES, *SENTENCES))
 #: Every pattern needs one of these, also before a sentence is normalised; texts without any are done at once.
 CUE = r"(?i)licen|permission|redistributions|neither|warranty|cc0|dedicated|unencumbered|misrepresented|bsd|(?:released|distributed|available)[^a-z0-9]+under"
-_BREAK = r"[ \t\r]*\n[ \t*#/-]*"
+#: Java's matcher recurses for each repetition of a group that holds alternatives or repetitions, and a long run of blanks
+#: must be entered once only: so nothing here repeats but single characters, and a break starts behind no blank.
+_BREAK = r"[ \t\r]*+\n[ \t*#/-]*"
 _GOES_ON = r"(?!SPDX|Licensed|Released|Distributed|Available)(?=[A-Za-z0-9(\"'])"
 #: A line goes on the sentence of the line before, behind any comment marks, if it starts in lower case, if that
 #: line stops at a comma or a word that ends no sentence, if both are in capitals, or inside a licence's name.
-WRAP = "|".join(
+WRAP = r"(?=[ \t\r\n])(?<![ \t\r])(?=[ \t\r]*+\n)(?:" + "|".join(
     (
         _BREAK + r"(?=[a-z(])",
         r"(?<=,|\b(?i:the|a|an|of|or|and|to|in|by|under|with|without|for|that|this|be|is|as|any|must|shall|may|provided|version|v\.|identifier:))" + _BREAK + _GOES_ON,
@@ -140,17 +173,27 @@ WRAP = "|".join(
         r"(?<=\b(?i:apache|mit|public|bsd|clause))" + _BREAK + r"(?=Licen[sc]e\b|3-Clause\b)",
         _BREAK + r"(?=Public License|General Public|Lesser General|Library General|Affero General|Version [0-9])",
     )
-)
-#: Neither the colon of an SPDX header nor the dot of "v. 2.0" ends a sentence.
-STOP = r"(?:[;!?]|\.(?!(?<=\b[vV]\.)[ \t]+[0-9])|(?<!(?i:license.identifier)):)+[ \t\r\f]+|\n"
+) + ")"
+#: Neither the colon of an SPDX header nor the dot of "v. 2.0" ends a sentence, nor the semicolon of "; either version 2".
+STOP = r"(?:[!?]|;(?![ \t]+either version)|\.(?!(?<=\b[vV]\.)[ \t]+[0-9])|(?<!(?i:license.identifier)):)[ \t\r\f]+|\n"
 #: Dots stay inside version numbers only.
-NOISE = r"(?:[^a-z0-9.]|(?<![0-9])\.|\.(?![0-9]))+"
+DOTS = r"(?<![0-9])\.|\.(?![0-9])"
+#: One header may name several licences; exceptions go with the licence before.
+SPDX = "spdx license identifier "
+SPDX_NEXT = r" (?:or|and) (?=(?:mit|apache|gpl|lgpl|agpl|mpl|bsd|isc|epl|unlicense|cc0|cc|zlib|bsl|artistic|gfdl|wtfpl)\b)"
+SPDX_WITH = r" with [a-z0-9. ]{1,40}exception( [0-9.]{1,5})?"
+
+
+def _normal(x: Column) -> Column:
+    x = F.regexp_replace(F.regexp_replace(F.lower(x), "[^a-z0-9.]+", " "), DOTS, " ")
+    return F.btrim(F.regexp_replace(x, " {2,}", " "), F.lit(" ."))
 
 
 def _sentences(text: Column) -> Column:
     cut = F.split(F.regexp_replace(text, WRAP, " "), STOP)
-    likely = F.filter(cut, lambda x: x.rlike(CUE))
-    return F.transform(likely, lambda x: F.btrim(F.regexp_replace(F.lower(x), NOISE, " "), F.lit(" .")))
+    likely = F.transform(F.filter(cut, lambda x: x.rlike(CUE)), _normal)
+    header = lambda x: F.transform(F.split(F.regexp_replace(x, SPDX_WITH, ""), SPDX_NEXT), lambda y, i: F.when(i == 0, y).otherwise(F.concat(F.lit(SPDX), y)))
+    return F.flatten(F.transform(likely, lambda x: F.when(F.contains(x, F.lit(SPDX)), header(x)).otherwise(F.array(x))))
 
 
 def _identify(sentence: Column) -> Column:
@@ -176,7 +219,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     found = docs.select("doc_id", F.when(text.rlike(CUE), _sentences(text)).otherwise(F.array().cast("array<string>")).alias("s"))
     ids = F.filter(F.transform("s", _identify), lambda x: x.isNotNull() & (x != "unlike"))
-    found = found.select("doc_id", ids.alias("ids")).withColumn("rest", F.concat(F.lit(","), F.array_join(F.transform("ids", lambda x: F.concat(x, F.lit(","))), ",")))
+    found = found.select("doc_id", ids.alias("ids")).withColumn("rest", _rest(F.col("ids")))
     return found.select("doc_id", "ids", *_match()).select(
         "doc_id",
         F.array_join("ids", ",").alias("sentence_ids"),
@@ -186,14 +229,26 @@ def license_scan(docs: DataFrame) -> DataFrame:
     )
 
 
+def _mark(name: str) -> str:
+    return CODES.get(name, f",{name},")
+
+
+def _rest(ids: Column) -> Column:
+    """The identifiers as a string, without those that belong to the body of a licence whose title stands before them."""
+    codes = F.create_map(*[F.lit(x) for pair in CODES.items() for x in pair])
+    coded = F.array_join(F.transform(ids, lambda x: F.coalesce(F.try_element_at(codes, x), F.concat(F.lit(","), x, F.lit(",")))), "")
+    return F.translate(F.regexp_replace(coded, f"(?<=-title,)[{''.join(map(re.escape, CODES.values()))}]+", ""), "^", "")
+
+
 def _match() -> list[Column]:
     """Each rule takes its runs out of the string of identifiers; what stays goes to the next."""
     rest, picked = F.col("rest"), []
     for run, name in (*RULES, *MORE_RULES):
-        mark = "," + ",,".join(run) + ","
+        mark = "".join(map(_mark, run))
         picked.append(F.when(F.instr(rest, mark) > 0, F.lit(name)))
         rest = F.replace(rest, F.lit(mark), F.lit(";"))
-    left = F.size(F.filter(F.split(rest, "[,;]+"), lambda x: x != ""))
+    # each identifier that stays is a code or a name between commas
+    left = F.char_length(F.regexp_replace(F.regexp_replace(rest, ",[^,;]+,", "~"), ";+", ""))
     return [F.array_distinct(F.array_compact(F.array(*picked))).alias("licenses"), left.cast("long").alias("left_over")]
 
 
