@@ -37,6 +37,55 @@ def test_spectrum_of_known_graphs(spark):
     assert graph.components(edges.where("i < 12 AND j < 12 AND i <> 5 AND j <> 5")).select("c").distinct().count() == 2
 
 
+def test_incomplete_spectra_are_refused(spark):
+    whole = spectra(spark, (0.573, 0.574, 0.575))
+    for part, said in (
+        (whole.where("draw < 2"), "at least 3"),
+        (whole.where("draw = 0 AND knn = 30"), "at least 3"),
+        (whole.where("NOT (draw = 1 AND knn = 33)"), "draw 1 lacks"),
+        (whole.where("knn <> 30"), "nominal"),
+        (whole.where("idx < 5"), "14 eigenvalues"),
+        (whole.where("NOT (draw = 2 AND knn = 27 AND idx = 13)"), "draw 2, 27 neighbours"),
+        (whole.withColumn("eigenvalue", F.when(F.col("idx") == 4, float("nan")).otherwise(F.col("eigenvalue"))), "14 eigenvalues"),
+        (whole.limit(0), "at least 3"),
+    ):
+        with pytest.raises(ValueError, match=said):
+            graph.gate_decision(part)
+    with pytest.raises(ValueError, match="announced"):
+        graph.gate_decision(whole, draws=(0, 1, 7))
+    with pytest.raises(ValueError, match="three draws"):
+        graph.evaluate_gate(whole, seeds=(0,), knns=(10,))
+    assert graph.gate_decision(whole).first().reason == "spectrally_nondegenerate"
+    flat = graph.gate_decision(spectra(spark, (0.0, 0.0, 0.0))).first()
+    assert (flat.reason, flat.s, flat.r) == ("candidate_gap_not_above_epsilon", None, None)
+
+
+def test_many_spectra_in_one_run(spark):
+    from waymark.operators import spectrum
+
+    rng = np.random.default_rng(3)
+    rows, want = [], {}
+    for g, n in enumerate((2, 9, 40, 150)):
+        w = np.triu(rng.random((n, n)) * (rng.random((n, n)) < 8 / n), 1) + np.eye(n, k=1)
+        w = w + w.T
+        i, j = np.nonzero(w)
+        rows += [(g, int(a) * 7 - 3, int(b) * 7 - 3, float(w[a, b])) for a, b in zip(i, j, strict=True)]
+        d = w.sum(axis=1)
+        want[g] = np.linalg.eigh(w / np.sqrt(np.outer(d, d)))
+    edges = spark.createDataFrame(rows, "g long, i long, j long, w double")
+    vectors, values = spectrum.low_eigenpairs(edges, 5)
+    got = vectors.toPandas()
+    for g, (known, vecs) in want.items():
+        assert np.allclose(values[g], known[::-1][:5], atol=1e-10)
+        x = np.stack(got[got.g == g].sort_values("id")["x"].to_numpy())[:, : len(values[g])]
+        assert np.allclose(x.T @ x, np.eye(x.shape[1]), atol=1e-8)
+        for c in range(x.shape[1]):  # no near-equal values among these graphs
+            assert abs(abs(x[:, c] @ vecs[:, ::-1][:, c]) - 1) < 1e-4
+    with pytest.raises(RuntimeError, match="residual"):
+        spectrum.low_eigenpairs(edges, 5, tol=1e-30, most_products=20)
+    assert spectrum.spectra(edges.limit(0), 5).count() == 0
+
+
 def test_blobs_are_recovered(spark, blobs):
     part = partition.fit_spectral(blobs, 3, landmarks=90, neighbours=8, per_region=2)
     partition.validate_partition(part, 3)

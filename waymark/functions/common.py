@@ -37,7 +37,19 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the folder that all executors share and read it back: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/waymark-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._waymark_path = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of :func:`materialize` that no later plan reads."""
+    for df in tables:
+        path = getattr(df, "_waymark_path", None)
+        if path:
+            jvm, spark = df.sparkSession.sparkContext._jvm, df.sparkSession
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def global_rank(df: DataFrame, order: list, name: str = "rank") -> DataFrame:

@@ -1,28 +1,27 @@
 """Similarity graphs and their spectrum.
 
-Graphs are edge tables (i, j, w) over landmarks, a bounded sample; block
-vectors of landmark size are all that meets the driver.
+Graphs are edge tables (i, j, w); their spectra are found by distributed
+products (:mod:`waymark.operators.spectrum`).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.functions.common import materialize
+from waymark.functions.common import discard, materialize
 from waymark.operators.sampling import landmark_sample
+from waymark.operators.spectrum import low_eigenpairs, spectra
 from waymark.operators.vectors import l2_normalize
 
 #: Vectors of one side of a block product (8 * D bytes each).
 KNN_BLOCK = 2048
 #: Rows of an exact search: its work grows with their square, so larger tables go by landmarks or :func:`knn_approx`.
 KNN_MOST = 200_000
-#: Edges that a task of a matrix product sums.
-EDGES_PER_TASK = 100_000
 
 
 def _block_product(k: int):
@@ -141,118 +140,92 @@ def degree_stats(edges: DataFrame) -> DataFrame:
     return d.agg(F.min("d").alias("d_min"), F.avg("d").alias("d_mean"), F.max("d").alias("d_max"), F.count_if(F.col("d") <= 0).alias("n_zero"))
 
 
-def _scaled(edges: DataFrame) -> DataFrame:
-    """The edges of D^-1/2 W D^-1/2, kept while many products read them; lost blocks come back from the table."""
-    d = edges.groupBy("i").agg(F.sum("w").alias("d"))
-    scaled = edges.join(d, "i").join(d.select(F.col("i").alias("j"), F.col("d").alias("e")), "j").select("i", "j", (F.col("w") / F.sqrt(F.col("d") * F.col("e"))).alias("w"))
-    scaled = materialize(scaled)
-    tasks = min(16, 1 + scaled.count() // EDGES_PER_TASK)  # each task sends a block of landmark size
-    return scaled.coalesce(tasks).persist()
+def laplacian_spectrum(edges: DataFrame, count: int, seed: int = 0) -> np.ndarray:
+    """The smallest eigenvalues of the normalised Laplacian, ascending; an error if they don't settle."""
+    return np.array([r["eigenvalue"] for r in spectra(edges.select(F.lit(0).alias("g"), "i", "j", "w"), count, seed).orderBy("idx").collect()])
 
 
-def _multiply(edges: DataFrame, ids: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
-    """x -> A x for the matrix of ``edges``, a distributed sum against a broadcast block of landmark size."""
-    sc = edges.sparkSession.sparkContext
+def _nearest_centres(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(squared distance, place) of the nearest of each set of centres [set, centre, dim]."""
+    gap = (x * x).sum(axis=1)[:, None, None] + (centres * centres).sum(axis=2) - 2 * np.einsum("nd,skd->nsk", x, centres)
+    at = np.round(gap, 12).argmin(axis=2)
+    return np.maximum(0.0, np.take_along_axis(gap, at[:, :, None], axis=2)[:, :, 0]), at
 
-    def apply(x: np.ndarray) -> np.ndarray:
-        sent = sc.broadcast((ids, x))
 
-        def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            known, block = sent.value
-            total = np.zeros_like(block)
-            for pdf in batches:
-                i, j = np.searchsorted(known, pdf["i"].to_numpy()), np.searchsorted(known, pdf["j"].to_numpy())
-                np.add.at(total, i, block[j] * pdf["w"].to_numpy()[:, None])
-            touched = np.flatnonzero(total.any(axis=1))
-            yield pd.DataFrame({"r": touched, "x": list(total[touched])})
-
-        out = np.zeros_like(x)
-        got = edges.mapInPandas(part, "r long, x array<double>").toArrow()
-        if got.num_rows:
-            flat = got.column("x").combine_chunks().flatten().to_numpy().reshape(got.num_rows, -1)
-            np.add.at(out, got.column("r").to_numpy(), flat)
-        sent.unpersist()
-        return out
-
-    return apply
-
-
-def lanczos_block(edges: DataFrame, count: int, seed: int = 0, width: int = 20, most: int = 30, tol: float = 1e-8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, eigenvalues, eigenvectors): the largest of D^-1/2 W D^-1/2 by block Krylov with full reorthogonalisation."""
-    ids = np.array(sorted(r[0] for r in edges.select("i").distinct().collect()))  # landmarks
-    scaled = _scaled(edges)
-    try:
-        return ids, *_krylov(_multiply(scaled, ids), len(ids), count, seed, width, most, tol)
-    finally:
-        scaled.unpersist()
-
-
-def _krylov(apply: Callable[[np.ndarray], np.ndarray], n: int, count: int, seed: int, width: int, most: int, tol: float) -> tuple[np.ndarray, np.ndarray]:
-    width = min(width, n)
-    block, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(n, width)))
-    basis, image = block, apply(block)
-    while True:
-        values, small = np.linalg.eigh((basis.T @ image + image.T @ basis) / 2)
-        order = np.argsort(-values)[:count]
-        vectors = basis @ small[:, order]
-        residual = np.linalg.norm(image @ small[:, order] - vectors * values[order], axis=0).max()
-        if residual < tol or basis.shape[1] >= min(n, width * most):
-            return values[order], vectors
-        new = image[:, -width:]
-        for _ in range(2):
-            new = new - basis @ (basis.T @ new)
-        q, r = np.linalg.qr(new)
-        q = q[:, np.abs(np.diag(r)) > 1e-10][:, : n - basis.shape[1]]
-        if not q.shape[1]:
-            return values[order], vectors
-        for _ in range(2):
-            q = np.linalg.qr(q - basis @ (basis.T @ q))[0]
-        basis, image = np.concatenate((basis, q), axis=1), np.concatenate((image, apply(q)), axis=1)
+def _plusplus(rows: DataFrame, k: int, seed: int, restarts: int) -> np.ndarray:
+    """k-means++ centres [restart, centre, dim]: the row with the least -ln(u) / weight is a draw by weight; a pass serves all restarts."""
+    centres = None
+    for i in range(k):
 
+        def least(batches: Iterator[pd.DataFrame], known: np.ndarray | None = centres, turn: int = i) -> Iterator[pd.DataFrame]:
+            best: dict[int, tuple] = {}
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                x, ids = np.stack(pdf["x"].to_numpy()), pdf["id"].to_numpy()
+                weight = np.ones((len(x), restarts)) if known is None else _nearest_centres(x, known)[0]
+                u = np.stack([np.random.default_rng([seed, turn, int(j) & (2**63 - 1)]).random(restarts) for j in ids])
+                key = -np.log1p(-u) / np.maximum(weight, 1e-300)
+                for r in range(restarts):
+                    at = np.lexsort((ids, key[:, r]))[0]
+                    best[r] = min(best.get(r, (np.inf, 0, None)), (key[at, r], int(ids[at]), x[at]), key=lambda t: t[:2])
+            yield pd.DataFrame([(r, *t) for r, t in best.items()], columns=["r", "key", "id", "x"])
+
+        found = rows.mapInPandas(least, "r int, key double, id long, x array<double>").groupBy("r").agg(F.min(F.struct("key", "id", "x")).alias("m")).collect()  # a row per restart
+        more = np.stack([r["m"]["x"] for r in sorted(found, key=lambda r: r["r"])])[:, None, :]
+        centres = more if centres is None else np.concatenate((centres, more), axis=1)
+    return centres
+
+
+def _centre_sums(rows: DataFrame, centres: np.ndarray) -> np.ndarray:
+    """[set, centre, dim + 2]: sums of the rows nearest to each centre, their number and their cost; a partial row per task and centre."""
+    sets, k, dim = centres.shape
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((sets, k, dim + 2))
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = np.stack(pdf["x"].to_numpy())
+            gap, at = _nearest_centres(x, centres)
+            for r in range(sets):
+                np.add.at(total[r], at[:, r], np.concatenate((x, np.ones((len(x), 1)), gap[:, r : r + 1]), axis=1))
+        yield pd.DataFrame({"c": np.repeat(np.arange(sets * k), dim + 2), "d": np.tile(np.arange(dim + 2), sets * k), "x": total.ravel()})
 
-def laplacian_spectrum(edges: DataFrame, count: int, seed: int = 0) -> np.ndarray:
-    """The smallest eigenvalues of the normalised Laplacian, ascending."""
-    return np.sort(1 - lanczos_block(edges, count, seed)[1])
-
-
-def _lloyd(x: np.ndarray, k: int, rng: np.random.Generator, most: int = 100) -> tuple[float, np.ndarray]:
-    """(cost, centres) of one k-means++ start."""
-    centres = x[[rng.integers(len(x))]]
-    for _ in range(1, k):
-        gap = ((x[:, None] - centres[None]) ** 2).sum(axis=2).min(axis=1)
-        pick = rng.choice(len(x), p=gap / gap.sum()) if gap.sum() > 0 else rng.integers(len(x))
-        centres = np.vstack([centres, x[pick]])
-    cost = np.inf
-    for _ in range(most):
-        gap = ((x[:, None] - centres[None]) ** 2).sum(axis=2)
-        at, now = gap.argmin(axis=1), gap.min(axis=1).sum()
-        if now >= cost * (1 - 1e-9):
-            break
-        cost, centres = now, np.stack([x[at == c].mean(axis=0) if (at == c).any() else centres[c] for c in range(k)])
-    return float(cost), centres
+    out = np.zeros((sets * k, dim + 2))
+    got = rows.mapInPandas(part, "c int, d int, x double").groupBy("c", "d").agg(F.sum("x").alias("x")).toPandas()  # sets * k * dim rows
+    out[got["c"].to_numpy(), got["d"].to_numpy()] = got["x"].to_numpy()
+    return out.reshape(sets, k, dim + 2)
 
 
-def spectral_labels(edges: DataFrame, k: int, seed: int = 0, restarts: int = 20) -> DataFrame:
+def spectral_labels(edges: DataFrame, k: int, seed: int = 0, restarts: int = 20, rounds: int = 100) -> DataFrame:
     """(id, region): the first k eigenvectors, rows L2-normalised, by the best of several k-means++ runs.
 
-    The block of landmarks times k goes to each task once; the restarts are rows that tasks share.
+    Rows stay distributed: every pass serves all runs that still get better.
     """
-    spark = edges.sparkSession
-    ids, _, x = lanczos_block(edges, k, seed)
-    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    sent = spark.sparkContext.broadcast(x)
+    vectors, _ = low_eigenpairs(edges.select(F.lit(0).alias("g"), "i", "j", "w"), k, seed)
+    rows = materialize(vectors.select("id", l2_normalize(F.col("x")).alias("x")))
+    centres = _plusplus(rows, k, seed, restarts)
+    cost, open_ = np.full(restarts, np.inf), np.arange(restarts)
+    for _ in range(rounds):
+        sums = _centre_sums(rows, centres[open_])
+        now, count = sums[:, :, -1].sum(axis=1), sums[:, :, -2:-1]
+        better = now < cost[open_] * (1 - 1e-9) - 1e-15
+        cost[open_[better]] = now[better]
+        moved = np.where(count > 0, sums[:, :, :-2] / np.maximum(count, 1), centres[open_])
+        centres[open_[better]] = moved[better]
+        open_ = open_[better]
+        if not len(open_):
+            break
+    best = centres[[int(np.argmin(cost))]]
+    discard(vectors)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            told = [_lloyd(sent.value, k, np.random.default_rng([seed, int(r)])) for r in pdf["id"]]
-            yield pd.DataFrame({"id": pdf["id"], "cost": [c for c, _ in told], "centres": [m.ravel() for _, m in told]})
+            if len(pdf):
+                yield pd.DataFrame({"id": pdf["id"], "region": _nearest_centres(np.stack(pdf["x"].to_numpy()), best)[1][:, 0].astype(np.int32)})
 
-    runs = spark.range(0, restarts, 1, min(restarts, 8)).mapInPandas(run, "id long, cost double, centres array<double>").collect()  # k * k numbers a restart
-    sent.unpersist()
-    best = min(runs, key=lambda r: (r["cost"], r["id"]))
-    centres = np.array(best["centres"]).reshape(k, -1)
-    at = ((x[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
-    return spark.createDataFrame(pd.DataFrame({"id": ids, "region": at}), "id long, region int")
+    return rows.mapInPandas(label, "id long, region int")
 
 
 def select_k(eigs: DataFrame, k_min: int, k_max: int) -> DataFrame:
@@ -268,7 +241,7 @@ def ncut(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return per.agg(F.sum((F.col("vol") - F.col("inside")) / F.greatest("vol", F.lit(1e-12))).alias("ncut"))
 
 
-def relative_gaps(spectra: DataFrame, eps: float = 1e-12) -> DataFrame:
+def relative_gaps(spectra: DataFrame, eps: float = 1e-8) -> DataFrame:
     """(draw, knn, idx, gap) with gap = (next - own) / (next + eps)."""
     after = F.lead("eigenvalue").over(Window.partitionBy("draw", "knn").orderBy("idx"))
     return spectra.withColumn("gap", (after - F.col("eigenvalue")) / (after + eps)).where("gap IS NOT NULL").select("draw", "knn", "idx", "gap")
@@ -280,13 +253,39 @@ def scaled_mad(df: DataFrame, col: str) -> DataFrame:
     return df.crossJoin(F.broadcast(med)).agg(F.first("med").alias("med"), (1.4826 * F.median(F.abs(F.col(col) - F.col("med")))).alias("mad"))
 
 
-def gate_decision(spectra: DataFrame, k: int = 3, nominal_knn: int = 30, min_s: float = 0.5, background: int = 10, eps: float = 1e-12) -> DataFrame:
+#: Why the gate decides as it does; fixed values, in stored manifests too.
+GATE_REASONS = ("candidate_gap_not_above_epsilon", "safety_and_background_checks_failed", "retained_safety_below_threshold", "residual_gap_not_above_background", "spectrally_nondegenerate")
+
+
+def gate_faults(spectra: DataFrame, k: int, nominal_knn: int, background: int, draws: tuple | None = None, knns: tuple | None = None, least_draws: int = 3) -> list[str]:
+    """Why spectra can't be judged: too few or other draws, graphs that a draw lacks, short or non-finite spectra.  One row a graph is looked at."""
+    seen = spectra.groupBy("draw", "knn").agg(F.count("eigenvalue").alias("n"), F.count_if(F.isnan("eigenvalue") | (F.abs("eigenvalue") == float("inf"))).alias("bad"), F.countDistinct("idx").alias("places")).collect()
+    told: dict[int, set] = {}
+    for r in seen:
+        told.setdefault(r["draw"], set()).add(r["knn"])
+    every = set(knns) if knns else set().union(*told.values()) if told else set()
+    faults = [f"{len(told)} draws, at least {least_draws} are needed"] if len(told) < least_draws else []
+    if draws is not None and set(told) != set(draws):
+        faults.append("the draws aren't those announced")
+    if nominal_knn not in every or len(every) < 2:
+        faults.append("the nominal graph and at least one other are needed")
+    faults += [f"draw {d} lacks or adds graphs" for d, has in sorted(told.items()) if has != every]
+    need = k + background + 1
+    return faults + [f"draw {r['draw']}, {r['knn']} neighbours: {need} eigenvalues are needed" for r in seen if r["n"] < need or r["places"] != r["n"] or r["bad"]]
+
+
+def gate_decision(spectra: DataFrame, k: int = 3, nominal_knn: int = 30, min_s: float = 0.5, background: int = 10, eps: float = 1e-8, draws: tuple | None = None, knns: tuple | None = None) -> DataFrame:
     """One row (e, t, s, r, t_bg, choice, reason) from (draw, knn, idx, eigenvalue).
 
     E is the least nominal gap after eigenvalue k, T twice its largest change
-    with other neighbour counts, S = 1 - T / E and R = E - T; the gap is real if
-    S >= ``min_s`` and R exceeds every graph's background gap, median + 3 MAD.
+    with other neighbour counts, S = 1 - T / E and R = E - T (null if E isn't
+    above ``eps``); the gap is real if S >= ``min_s`` and R exceeds every
+    graph's background gap, median + 3 MAD.  Incomplete spectra are ValueErrors:
+    fewer than three draws, a draw without one of the graphs, fewer than
+    k + ``background`` + 1 eigenvalues.  The reasons are GATE_REASONS.
     """
+    if faults := gate_faults(spectra, k, nominal_knn, background, draws, knns):
+        raise ValueError("; ".join(faults))
     gaps = relative_gaps(spectra, eps)
     own = gaps.where(F.col("idx") == k - 1)
     nominal = own.where(F.col("knn") == nominal_knn).select("draw", F.col("gap").alias("base"))
@@ -296,19 +295,31 @@ def gate_decision(spectra: DataFrame, k: int = 3, nominal_knn: int = 30, min_s:
     med = bg.groupBy("draw", "knn").agg(F.median("gap").alias("med"))
     mad = bg.join(med, ["draw", "knn"]).groupBy("draw", "knn").agg((F.first("med") + 3 * 1.4826 * F.median(F.abs(F.col("gap") - F.col("med")))).alias("b"))
     one = e.crossJoin(t).crossJoin(mad.agg(F.max("b").alias("t_bg")))  # one row each
-    one = one.withColumn("r", F.col("e") - F.col("t")).withColumn("s", F.when(F.col("e") > eps, 1 - F.col("t") / F.col("e")).otherwise(0.0))
-    reason: Column = F.when(F.col("e") <= eps, "no_nominal_gap").when(F.col("s") < min_s, "unstable_gap").when(F.col("r") <= 0, "no_residual_gap").when(F.col("r") <= F.col("t_bg"), "residual_gap_not_above_background").otherwise("pass")
-    return one.withColumn("reason", reason).withColumn("choice", F.when(F.col("reason") == "pass", "spectral").otherwise("global"))
+    real = F.col("e") > eps
+    one = one.withColumn("r", F.when(real, F.col("e") - F.col("t"))).withColumn("s", F.when(real, 1 - F.col("t") / F.col("e")))
+    safe, clear = F.col("s") >= min_s, F.col("r") > F.col("t_bg")
+    no_gap, neither, unsafe, unclear, real_gap = GATE_REASONS
+    reason: Column = F.when(~real, no_gap).when(safe & clear, real_gap).when(~safe & ~clear, neither).when(~safe, unsafe).otherwise(unclear)
+    return one.withColumn("reason", reason).withColumn("choice", F.when(F.col("reason") == real_gap, "spectral").otherwise("global"))
+
 
+def evaluate_gate(df: DataFrame, k: int = 3, seeds: tuple = (0, 1, 2), knns: tuple = (27, 30, 33), landmarks: int = 20_000, background: int = 10, group: str = "grp", col: str = "latent") -> tuple[DataFrame, DataFrame]:
+    """(spectra, decision) over landmark draws and neighbour counts.
 
-def evaluate_gate(df: DataFrame, k: int = 3, seeds: tuple = (0, 1, 2), knns: tuple = (27, 30, 33), landmarks: int = 20_000, count: int = 14, group: str = "grp", col: str = "latent") -> tuple[DataFrame, DataFrame]:
-    """(spectra, decision) over landmark draws and neighbour counts; one neighbour search per draw serves all counts."""
-    spark, rows = df.sparkSession, []
+    One neighbour search per draw serves all its counts, and all graphs share
+    the products of one eigenvalue run.  The middle count is the nominal one.
+    """
+    if len(set(seeds)) != len(seeds) or len(seeds) < 3 or len(set(knns)) != len(knns) or len(knns) < 2:
+        raise ValueError("at least three draws and two neighbour counts, each once, are needed")
+    graphs, edges = [(draw, n) for draw in range(len(seeds)) for n in sorted(knns)], None
     for draw, seed in enumerate(seeds):
         sample = materialize(landmark_sample(df, landmarks, seed, group).drop("turn"))
         near = materialize(knn(sample, max(knns), col))
-        for n in knns:
-            values = laplacian_spectrum(materialize(affinity_graph(near, n)), count, seed)
-            rows += [(draw, n, i, float(v)) for i, v in enumerate(values)]
-    spectra = spark.createDataFrame(rows, "draw int, knn int, idx int, eigenvalue double")
-    return spectra, gate_decision(spectra, k, sorted(knns)[len(knns) // 2])
+        for n in sorted(knns):
+            own = affinity_graph(near, n).select(F.lit(graphs.index((draw, n))).alias("g"), "i", "j", "w")
+            edges = own if edges is None else edges.unionByName(own)
+    edges = materialize(edges)
+    named = df.sparkSession.createDataFrame([(g, draw, n) for g, (draw, n) in enumerate(graphs)], "g long, draw int, knn int")
+    found = spectra(edges, k + background + 1, seeds[0]).join(F.broadcast(named), "g").select("draw", "knn", "idx", "eigenvalue")
+    discard(edges)
+    return found, gate_decision(found, k, sorted(knns)[len(knns) // 2], background=background, draws=tuple(range(len(seeds))), knns=tuple(knns))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waymark.functions.common import materialize, shared_dir
-from waymark.operators import models, partition, routing, vectors
+from waymark.operators import graph, models, partition, routing, vectors
 from waymark.plans import jobs
 from waymark.plans.data import FRAMES, PROTOTYPES, ZSCORED, cache, frames, latents
 from waymark.plans.registry import query
@@ -129,6 +129,12 @@ def _(spark, d):
     return jobs.run_restart_budget(z, 3, list(range(20)), 5, [1, 2, 3, 5])[1]
 
 
+@query("g12_gate_spectra")
+def _(spark, d):
+    """The nine spectra that the gate judges."""
+    return graph.evaluate_gate(latents(spark, d))[0]
+
+
 @query("j9_gate")
 def _(spark, d):
     return jobs.run_gate(cache(spark, d), F.floor(F.col("id") / 25))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from waymark.functions.common import materialize
-from waymark.operators import audit, graph, partition, regions, routing, vectors, windows
+from waymark.operators import audit, graph, partition, regions, routing, spectrum, vectors, windows
 from waymark.plans.data import FRAMES, LATENTS, LONG, POSITIONS, PROTOTYPES, ZSCORED, frames, latents, positions, table
 from waymark.plans.registry import query
 
@@ -202,13 +202,39 @@ def _(spark, d):
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "idx int, eigenvalue double")
 
 
+@query(
+    "g6_known_spectra",
+    f"""WITH {LATENTS}, n AS (SELECT grp, count(*) AS n FROM lat GROUP BY grp HAVING count(*) > 1), k AS (SELECT grp, n, unnest(range(0, 14)) AS idx FROM n)
+SELECT grp * 2 AS g, idx::INT AS idx, abs(round(1 - cos(pi() * idx / (n - 1)), 6)) AS eigenvalue FROM k WHERE idx < n UNION ALL SELECT grp * 2 + 1, idx::INT, round(CASE WHEN idx = 0 THEN 0 ELSE n / (n - 1) END, 6) FROM k WHERE idx < n""",
+)
+def _(spark, d):
+    """Each group of vectors as a path and as a clique, whose spectra are known; all in one run."""
+    lat = latents(spark, d).select("grp", "id")
+    at = lat.withColumn("n", F.row_number().over(Window.partitionBy("grp").orderBy("id")))
+    pairs = at.join(at.select("grp", F.col("id").alias("other"), F.col("n").alias("m")), "grp").where("id <> other")
+    own = lambda rows, shift: rows.select((F.col("grp") * 2 + shift).alias("g"), F.col("id").alias("i"), F.col("other").alias("j"), F.lit(1.0).alias("w"))
+    edges = own(pairs.where("abs(n - m) = 1"), 0).unionByName(own(pairs, 1))
+    return spectrum.spectra(materialize(edges), 14).withColumn("eigenvalue", r6("eigenvalue"))
+
+
+@query("g7_labels_of_components", f"WITH {LATENTS} SELECT id, min(id) OVER (PARTITION BY label % 3) AS region FROM lat")
+def _(spark, d):
+    """Three graphs without an edge between them; a region is named by its least id."""
+    lat = latents(spark, d).select("id", (F.col("label") % 3).alias("c"))
+    at = lat.withColumn("n", F.row_number().over(Window.partitionBy("c").orderBy("id"))).withColumn("size", F.count("*").over(Window.partitionBy("c")))
+    steps = at.withColumn("m", F.explode(F.transform(F.array(*map(F.lit, (1, 2, 5, 11, 23, 47, 101))), lambda s: (F.col("n") + s - 1) % F.col("size") + 1)))
+    pairs = steps.join(at.select("c", F.col("n").alias("m"), F.col("id").alias("j")), ["c", "m"]).where("id <> j").select(F.col("id").alias("i"), "j")
+    edges = pairs.unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct().withColumn("w", F.lit(1.0))
+    return graph.spectral_labels(materialize(edges), 3).withColumn("region", F.min("id").over(Window.partitionBy("region")))
+
+
 @query("g7_spectral_labels")
 def _(spark, d):
     return graph.spectral_labels(_graph(spark, d), 3)
 
 
 _SPEC = """sp AS (SELECT draw, knn, idx, sum(v) OVER (PARTITION BY draw, knn ORDER BY idx) AS eigenvalue FROM (SELECT l_linenumber % 3 AS draw, 27 + 3 * (l_suppkey % 3) AS knn, l_partkey % 14 AS idx, avg(l_discount) AS v FROM lineitem GROUP BY 1, 2, 3)),
-gp AS (SELECT draw, knn, idx, (nxt - eigenvalue) / (nxt + 1e-12) AS gap FROM (SELECT *, lead(eigenvalue) OVER (PARTITION BY draw, knn ORDER BY idx) AS nxt FROM sp) WHERE nxt IS NOT NULL)"""
+gp AS (SELECT draw, knn, idx, (nxt - eigenvalue) / (nxt + 1e-8) AS gap FROM (SELECT *, lead(eigenvalue) OVER (PARTITION BY draw, knn ORDER BY idx) AS nxt FROM sp) WHERE nxt IS NOT NULL)"""
 
 
 def _spectra(spark, d):
@@ -235,9 +261,9 @@ def _(spark, d):
     "g11_gate_decision",
     f"""WITH {_SPEC}, own AS (SELECT * FROM gp WHERE idx = 2), nom AS (SELECT draw, gap AS base FROM own WHERE knn = 30), ee AS (SELECT min(base) AS e FROM nom), tt AS (SELECT 2 * max(abs(gap - base)) AS t FROM own JOIN nom ON own.draw = nom.draw),
 bg AS (SELECT g.draw, g.knn, med + 3 * 1.4826 * median(abs(gap - med)) AS b FROM (SELECT * FROM gp WHERE idx BETWEEN 3 AND 12) g JOIN (SELECT draw, knn, median(gap) AS med FROM gp WHERE idx BETWEEN 3 AND 12 GROUP BY 1, 2) m ON g.draw = m.draw AND g.knn = m.knn GROUP BY g.draw, g.knn, med),
-o AS (SELECT e, t, e - t AS r, CASE WHEN e > 1e-12 THEN 1 - t / e ELSE 0 END AS s, t_bg FROM ee, tt, (SELECT max(b) AS t_bg FROM bg)),
-w AS (SELECT *, CASE WHEN e <= 1e-12 THEN 'no_nominal_gap' WHEN s < 0.5 THEN 'unstable_gap' WHEN r <= 0 THEN 'no_residual_gap' WHEN r <= t_bg THEN 'residual_gap_not_above_background' ELSE 'pass' END AS reason FROM o)
-SELECT round(e, 6) AS e, round(t, 6) AS t, round(s, 6) AS s, round(r, 6) AS r, round(t_bg, 6) AS t_bg, reason, CASE WHEN reason = 'pass' THEN 'spectral' ELSE 'global' END AS choice FROM w""",
+o AS (SELECT e, t, CASE WHEN e > 1e-8 THEN e - t END AS r, CASE WHEN e > 1e-8 THEN 1 - t / e END AS s, t_bg FROM ee, tt, (SELECT max(b) AS t_bg FROM bg)),
+w AS (SELECT *, CASE WHEN NOT e > 1e-8 THEN 'candidate_gap_not_above_epsilon' WHEN s >= 0.5 AND r > t_bg THEN 'spectrally_nondegenerate' WHEN s < 0.5 AND r <= t_bg THEN 'safety_and_background_checks_failed' WHEN s < 0.5 THEN 'retained_safety_below_threshold' ELSE 'residual_gap_not_above_background' END AS reason FROM o)
+SELECT round(e, 6) AS e, round(t, 6) AS t, round(s, 6) AS s, round(r, 6) AS r, round(t_bg, 6) AS t_bg, reason, CASE WHEN reason = 'spectrally_nondegenerate' THEN 'spectral' ELSE 'global' END AS choice FROM w""",
 )
 def _(spark, d):
     return graph.gate_decision(_spectra(spark, d)).select(*[r6(c).alias(c) for c in ("e", "t", "s", "r", "t_bg")], "reason", "choice")
