@@ -99,15 +99,20 @@ def _knn_of(queries: DataFrame, df: DataFrame, k: int, col: str, id_col: str) ->
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def affinity_graphs(nearest: DataFrame) -> DataFrame:
+    """G3 for many graphs: (g, i, j, w) from neighbours (g, id, nbr, sim), each graph with scales of its own."""
+    e = nearest.select("g", F.col("id").alias("i"), F.col("nbr").alias("j"), F.greatest(F.lit(0.0), 2 - 2 * F.col("sim")).alias("d2"))
+    sigma = e.groupBy("g", "i").agg(F.sqrt(F.max("d2")).alias("s"))
+    floor = sigma.groupBy("g").agg(F.greatest(0.1 * F.percentile(F.when(F.col("s") > 0, F.col("s")), 0.01), F.lit(1e-4)).alias("f"))
+    sigma = sigma.join(floor, "g").select("g", "i", F.greatest("s", F.coalesce("f", F.lit(1e-4))).alias("s"))
+    w = e.join(sigma, ["g", "i"]).join(sigma.select("g", F.col("i").alias("j"), F.col("s").alias("t")), ["g", "j"])
+    w = w.select("g", "i", "j", F.exp(-F.least(F.col("d2") / (F.col("s") * F.col("t")), F.lit(50.0))).alias("w"))
+    return w.unionByName(w.select("g", F.col("j").alias("i"), F.col("i").alias("j"), "w")).where("i <> j").groupBy("g", "i", "j").agg(F.max("w").alias("w"))
+
+
 def affinity_graph(nearest: DataFrame, k: int) -> DataFrame:
     """(i, j, w), symmetric by maximum, from the first k neighbours; each row's scale is its k-th distance."""
-    e = nearest.where(F.col("rank") <= k).select(F.col("id").alias("i"), F.col("nbr").alias("j"), F.greatest(F.lit(0.0), 2 - 2 * F.col("sim")).alias("d2"))
-    sigma = e.groupBy("i").agg(F.sqrt(F.max("d2")).alias("s"))
-    floor = sigma.agg(F.greatest(0.1 * F.percentile(F.when(F.col("s") > 0, F.col("s")), 0.01), F.lit(1e-4)).alias("f"))
-    sigma = sigma.crossJoin(F.broadcast(floor)).select("i", F.greatest("s", F.coalesce("f", F.lit(1e-4))).alias("s"))
-    w = e.join(sigma, "i").join(sigma.select(F.col("i").alias("j"), F.col("s").alias("t")), "j")
-    w = w.select("i", "j", F.exp(-F.least(F.col("d2") / (F.col("s") * F.col("t")), F.lit(50.0))).alias("w"))
-    return w.unionByName(w.select(F.col("j").alias("i"), F.col("i").alias("j"), "w")).where("i <> j").groupBy("i", "j").agg(F.max("w").alias("w"))
+    return affinity_graphs(nearest.where(F.col("rank") <= k).withColumn("g", F.lit(0))).drop("g")
 
 
 def components(edges: DataFrame, vertices: DataFrame | None = None, max_rounds: int = 60) -> DataFrame:
@@ -311,15 +316,14 @@ def evaluate_gate(df: DataFrame, k: int = 3, seeds: tuple = (0, 1, 2), knns: tup
     """
     if len(set(seeds)) != len(seeds) or len(seeds) < 3 or len(set(knns)) != len(knns) or len(knns) < 2:
         raise ValueError("at least three draws and two neighbour counts, each once, are needed")
-    graphs, edges = [(draw, n) for draw in range(len(seeds)) for n in sorted(knns)], None
+    graphs, near = [(draw, n) for draw in range(len(seeds)) for n in sorted(knns)], None
     for draw, seed in enumerate(seeds):
-        sample = materialize(landmark_sample(df, landmarks, seed, group).drop("turn"))
-        near = materialize(knn(sample, max(knns), col))
-        for n in sorted(knns):
-            own = affinity_graph(near, n).select(F.lit(graphs.index((draw, n))).alias("g"), "i", "j", "w")
-            edges = own if edges is None else edges.unionByName(own)
-    edges = materialize(edges)
+        own = knn(materialize(landmark_sample(df, landmarks, seed, group).drop("turn")), max(knns), col).withColumn("draw", F.lit(draw))
+        near = own if near is None else near.unionByName(own)
+    near = materialize(near)
+    in_graphs = F.filter(F.array(*[F.struct(F.lit(g).alias("g"), F.lit(draw).alias("draw"), F.lit(n).alias("n")) for g, (draw, n) in enumerate(graphs)]), lambda x: (x["draw"] == F.col("draw")) & (x["n"] >= F.col("rank")))
+    edges = materialize(affinity_graphs(near.select("id", "nbr", "sim", F.explode(F.transform(in_graphs, lambda x: x["g"])).alias("g"))))
     named = df.sparkSession.createDataFrame([(g, draw, n) for g, (draw, n) in enumerate(graphs)], "g long, draw int, knn int")
-    found = spectra(edges, k + background + 1, seeds[0]).join(F.broadcast(named), "g").select("draw", "knn", "idx", "eigenvalue")
-    discard(edges)
+    found = materialize(spectra(edges, k + background + 1, seeds[0])).join(F.broadcast(named), "g").select("draw", "knn", "idx", "eigenvalue")
+    discard(near, edges)
     return found, gate_decision(found, k, sorted(knns)[len(knns) // 2], background=background, draws=tuple(range(len(seeds))), knns=tuple(knns))

@@ -10,9 +10,12 @@ After each polynomial the block is turned to orthonormal Ritz vectors by its own
 Gram matrices, the only thing that meets the driver (width x width numbers a
 graph, summed on the way).
 
-All graphs share the products and stop when the residual ||A v - l v|| of every
-wanted pair is below the tolerance; that it isn't after many polynomials is an
-error, never a result.
+All spread graphs share the products and stop when the residual ||A v - l v|| of
+every wanted pair is below the tolerance; that it isn't after many polynomials is
+an error, never a result.
+
+Graphs small enough for one part, as those of landmark samples are, don't need
+shuffles: each is solved by the same steps in a task of its own, all in one job.
 """
 
 from __future__ import annotations
@@ -31,16 +34,19 @@ from waymark.functions.common import discard, materialize
 MOST_GROWTH, MOST_DEGREE = 1e6, 20
 #: Bytes of a part's rows of the block, at most, and edges that make another task worth while.
 PART_BYTES, PART_EDGES = 16 << 20, 50_000
+#: Edges of a graph that one task solves, at most, and edges of one step of a product.
+WHOLE_EDGES, STEP_EDGES = 4_000_000, 65_536
+#: A graph of so few vertices is solved as a dense matrix.
+DENSE = 256
 #: A part's rows of two blocks, or (with ``part`` as the receiver) what it sends.
 STATE, SENT = "part int, x binary, kept binary", "part int, own boolean, at binary, x binary, kept binary"
 
 
-def _parts(edges: DataFrame, width: int) -> tuple[DataFrame, int, dict[int, int]]:
-    """(one row per part: graphs and ids of its vertices in order, and the edges that leave them, by receiving part and vertex; number of parts; vertices of each graph)."""
+def _parts(edges: DataFrame, width: int) -> tuple[DataFrame, int]:
+    """(one row per part: graphs and ids of its vertices in order, and the edges that leave them, by receiving part and vertex; number of parts)."""
     tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     d = materialize(edges.groupBy("g", "i").agg(F.sum("w").alias("d")))
-    sizes = {r["g"]: r["count"] for r in d.groupBy("g").count().collect()}  # a row per graph
-    parts = max(-(-sum(sizes.values()) * width * 8 // PART_BYTES), min(tasks, 1 + edges.count() // PART_EDGES))
+    parts = max(-(-d.count() * width * 8 // PART_BYTES), min(tasks, 1 + edges.count() // PART_EDGES))
     place = F.row_number().over(Window.partitionBy("part").orderBy("g", "i")) - 1
     vertices = materialize(d.withColumn("part", F.pmod(F.xxhash64("g", "i"), F.lit(parts)).cast("int")).withColumn("at", place))
     to = vertices.select("g", "i", F.col("d").alias("d_to"), F.col("part").alias("to"), F.col("at").alias("at_to"))
@@ -56,7 +62,7 @@ def _parts(edges: DataFrame, width: int) -> tuple[DataFrame, int, dict[int, int]
     named = vertices.groupBy("part").applyInPandas(lambda key, pdf: pd.DataFrame({"part": [key[0]], **{c: [pdf.sort_values("at")[c].to_numpy().astype("<i8").tobytes()] for c in ("g", "i")}}), "part int, g binary, i binary")
     table = materialize(named.join(packed, "part"))
     discard(d, vertices)
-    return table.repartition(parts, "part").persist(), parts, sizes
+    return table.repartition(parts, "part").persist(), parts
 
 
 def _rows(data: bytes, width: int) -> np.ndarray:
@@ -75,7 +81,7 @@ def _send(width: int, factor: float, interval: dict[int, tuple[float, float]] |
                 else:
                     centre, half = np.array([interval[k] for k in np.frombuffer(r["g"], dtype="<i8").tolist()]).T[:, :, None]
                     scaled = factor / half * x
-                    base = np.where(np.isinf(half), x, -centre * scaled - (_rows(r["kept"], width) if factor > 1 else 0))
+                    base = -centre * scaled - (_rows(r["kept"], width) if factor > 1 else 0)
                 out = [(r["part"], True, b"", base.tobytes(), r["x"])]
                 to, at_to, at = (np.frombuffer(r[c], dtype="<i4") for c in ("to", "at_to", "at"))
                 moved = scaled[at] * np.frombuffer(r["w"], dtype="<f8")[:, None]
@@ -203,22 +209,79 @@ def _vectors(width: int, count: int, turns: dict[int, np.ndarray]):
     return run
 
 
-def low_eigenpairs(edges: DataFrame, count: int, seed: int = 0, tol: float = 1e-6, extra: int = 10, most_products: int = 2000) -> tuple[DataFrame, dict[int, np.ndarray]]:
-    """((g, id, x), graph -> values): the ``count`` largest eigenpairs of D^-1/2 W D^-1/2 of every graph g.
+def _next_interval(values: np.ndarray, residual: np.ndarray, count: int, tol: float) -> tuple[tuple[float, float], int]:
+    """((centre, half) of what the next polynomial shrinks, its degree).
 
-    ``edges`` are (g, i, j, w) in both directions, with longs for g, i and j.
-    Values fall from 1; ``x`` has a vertex's place in each vector, zeros for
-    pairs that a graph of fewer vertices doesn't have.  The error of a value is
-    about the square of its residual.  RuntimeError if a residual stays above
-    ``tol``.
+    A polynomial may grow a pair that has settled as it likes: the others hold
+    next to nothing of it.
     """
-    width = count + extra
-    edges = edges.select(*[F.col(c).cast("long").alias(c) for c in ("g", "i", "j")], F.col("w").cast("double").alias("w"))
-    parts, n, sizes = _parts(edges, width)
+    # the block's last values are still on their way up, so the cut stays below those of a short block
+    half = (float(np.clip(values[-1] - (0.0 if len(values) > count else 0.1), -0.9, 0.9999)) + 1) / 2
+    top = max((v for v, r in zip(values, residual, strict=True) if r > 1e-3), default=values[min(count, len(values)) - 1])
+    at = (top - half + 1) / half
+    degree = int(np.log(2 * MOST_GROWTH) / np.arccosh(at)) if at > 1 + 1e-9 else MOST_DEGREE
+    return (half - 1, half), min(MOST_DEGREE, max(2, degree))
+
+
+def _solve_whole(n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray, count: int, width: int, seed: int, tol: float, most: int, dense: int) -> tuple[np.ndarray, np.ndarray]:
+    """(values, vectors) of one graph in memory; edges are sorted by i."""
+    d = np.bincount(i, weights=w, minlength=n)
+    w = w / np.sqrt(d[i] * d[j])
+    if n <= max(dense, width):
+        a = np.zeros((n, n))
+        np.add.at(a, (i, j), w)
+        values, vectors = np.linalg.eigh((a + a.T) / 2)
+        return values[::-1][:count], vectors[:, ::-1][:, :count]
+
+    def apply(x: np.ndarray) -> np.ndarray:
+        out = np.zeros_like(x)
+        for at in range(0, len(i), STEP_EDGES):
+            k = slice(at, at + STEP_EDGES)
+            first = np.flatnonzero(np.concatenate(([True], i[k][1:] != i[k][:-1])))
+            out[i[k][first]] += np.add.reduceat(x[j[k]] * w[k][:, None], first)
+        return out
+
+    y = np.random.default_rng(seed).uniform(-1, 1, (n, width))
+    (centre, half), degree, products = (-0.4, 0.6), 6, 0
+    while True:
+        before, y = y, (apply(y) - centre * y) / half
+        for _ in range(degree - 1):
+            before, y = y, 2 * (apply(y) - centre * y) / half - before
+        z, products = apply(y), products + degree + 1
+        values, turn, residual = _ritz(np.stack([y.T @ y, y.T @ z, z.T @ z]))
+        y = y @ turn
+        worst = residual[:count].max()
+        if worst <= tol:
+            return values[:count], y[:, :count]
+        if products > most:
+            raise RuntimeError(f"a residual is still {worst:.1e} after {products} products")
+        (centre, half), degree = _next_interval(values, residual, count, tol)
+        if y.shape[1] < width:  # directions that were lost come back as random ones
+            y = np.concatenate((y, np.random.default_rng([seed, products]).uniform(-1, 1, (n, width - y.shape[1])) / np.sqrt(n)), axis=1)
+
+
+def _whole(edges: DataFrame, count: int, width: int, seed: int, tol: float, most: int) -> DataFrame:
+    """(g, id, x), and the values of a graph as the row without an id."""
+    dense = DENSE
+
+    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = np.unique(np.concatenate((pdf["i"].to_numpy(), pdf["j"].to_numpy())))
+        i, j, w = np.searchsorted(ids, pdf["i"].to_numpy()), np.searchsorted(ids, pdf["j"].to_numpy()), pdf["w"].to_numpy()
+        order = np.lexsort((j, i))
+        values, vectors = _solve_whole(len(ids), i[order], j[order], w[order], count, width, seed, tol, most, dense)
+        rows = np.zeros((len(ids), count))
+        rows[:, : len(values)] = vectors
+        return pd.DataFrame({"g": key[0], "id": pd.array([*ids, None], dtype="Int64"), "x": [*rows, values]})
+
+    return edges.groupBy("g").applyInPandas(solve, "g long, id long, x array<double>")
+
+
+def _spread(edges: DataFrame, count: int, width: int, seed: int, tol: float, most: int) -> DataFrame:
+    """As :func:`_whole`, by distributed products that all graphs share."""
+    parts, n = _parts(edges, width)
     block = parts.mapInArrow(_start(width, seed), STATE)
-    # a graph that the block spans anyway has no unwanted part: an endless interval leaves the block as it is
-    interval = {g: (-0.4, 0.6) if size > width else (0.0, np.inf) for g, size in sizes.items()}
-    degree, products, old = 6 if max(sizes.values(), default=0) > width else 0, 0, None
+    graphs = [r["g"] for r in edges.select("g").distinct().collect()]  # large ones
+    interval, degree, products, old = dict.fromkeys(graphs, (-0.4, 0.6)), 6, 0, None
     try:
         while True:
             for step in range(degree):
@@ -228,23 +291,19 @@ def low_eigenpairs(edges: DataFrame, count: int, seed: int = 0, tol: float = 1e-
                 discard(old)
             old, products = new, products + degree + 1
             found = {g: _ritz(x) for g, x in _grams(parts, new, width).items()}
-            worst = max((r[:count].max(initial=0.0) for _, _, r in found.values()), default=0.0)
-            if worst <= tol:
+            open_ = {g: f for g, f in found.items() if f[2][:count].max() > tol}
+            if not open_:
                 turns = {g: t[:, :count] for g, (_, t, _) in found.items()}
                 met = parts.join(new.hint("merge"), "part").select("g", "i", "kept")
-                vectors = materialize(met.mapInArrow(_vectors(width, count, turns), "g long, id long, x array<double>"))
-                return vectors, {g: v[:count] for g, (v, _, _) in found.items()}
-            if products > most_products:
-                raise RuntimeError(f"a residual is still {worst:.1e} after {products} products")
+                vectors = met.mapInArrow(_vectors(width, count, turns), "g long, id long, x array<double>")
+                values = edges.sparkSession.createDataFrame([(g, None, v[:count].tolist()) for g, (v, _, _) in found.items()], vectors.schema)
+                return materialize(vectors.unionByName(values))
+            if products > most:
+                raise RuntimeError(f"a residual is still {max(f[2][:count].max() for f in open_.values()):.1e} after {products} products")
             degree = MOST_DEGREE
-            for g, (values, _, residual) in found.items():
-                if sizes[g] <= width:
-                    continue
-                # the block's last values are still on their way up, so the cut stays below those of a short block
-                half = (float(np.clip(values[-1] - (0.0 if len(values) > count else 0.1), -0.9, 0.9999)) + 1) / 2
-                interval[g] = (half - 1, half)
-                if residual[:count].max(initial=0.0) > tol:
-                    degree = min(degree, max(2, int(np.log(2 * MOST_GROWTH) / np.arccosh((2 - half) / half))))
+            for g, (values, _, residual) in open_.items():
+                interval[g], wanted = _next_interval(values, residual, count, tol)
+                degree = min(degree, wanted)
             block = parts.join(new.hint("merge"), "part").select("part", "g", "kept").mapInArrow(_turn(width, {g: t for g, (_, t, _) in found.items()}), STATE)
     finally:
         if old is not None:
@@ -252,7 +311,28 @@ def low_eigenpairs(edges: DataFrame, count: int, seed: int = 0, tol: float = 1e-
         parts.unpersist()
 
 
+def low_eigenpairs(edges: DataFrame, count: int, seed: int = 0, tol: float = 1e-5, extra: int = 30, most_products: int = 2000) -> tuple[DataFrame, DataFrame]:
+    """((g, id, x), (g, values)): the ``count`` largest eigenpairs of D^-1/2 W D^-1/2 of every graph g.
+
+    ``edges`` are (g, i, j, w) in both directions, with longs for g, i and j.
+    Values fall from 1; ``x`` has a vertex's place in each vector, zeros for
+    pairs that a graph of fewer vertices doesn't have.  The error of a value is
+    about the square of its residual.  A residual that stays above ``tol`` is
+    an error.
+    """
+    width = count + extra
+    edges = materialize(edges.select(*[F.col(c).cast("long").alias(c) for c in ("g", "i", "j")], F.col("w").cast("double").alias("w")))
+    sizes = edges.groupBy("g", "i").count().groupBy("g").agg(F.count("*").alias("n"), F.sum("count").alias("m"))
+    sizes = materialize(sizes.select("g", ((F.col("n") * width * 8 <= PART_BYTES) & (F.col("m") <= WHOLE_EDGES)).alias("whole")))
+    found = _whole(edges.join(sizes.where("whole"), "g", "left_semi"), count, width, seed, tol, most_products)
+    if sizes.where("NOT whole").limit(1).count():
+        found = found.unionByName(_spread(edges.join(sizes.where("NOT whole"), "g", "left_semi"), count, width, seed, tol, most_products))
+    found = materialize(found)
+    discard(edges, sizes)
+    return found.where(F.col("id").isNotNull()), found.where(F.col("id").isNull()).select("g", F.col("x").alias("values"))
+
+
 def spectra(edges: DataFrame, count: int, seed: int = 0) -> DataFrame:
     """(g, idx, eigenvalue): the ``count`` smallest eigenvalues of each graph's normalised Laplacian, ascending from idx 0."""
     values = low_eigenpairs(edges, count, seed)[1]
-    return edges.sparkSession.createDataFrame([(g, i, max(0.0, 1 - float(v))) for g, x in sorted(values.items()) for i, v in enumerate(x)], "g long, idx int, eigenvalue double")
+    return values.select("g", F.posexplode("values").alias("idx", "v")).select("g", "idx", F.greatest(F.lit(0.0), 1 - F.col("v")).alias("eigenvalue"))
