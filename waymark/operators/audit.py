@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.operators.agreement import pairwise_stability
@@ -73,10 +73,30 @@ def verify_run(metrics: DataFrame, horizons: list[int], min_seeds: int = 3) -> D
     )
 
 
-def table_hash(df: DataFrame) -> DataFrame:
-    """(n, hash): the sum of row hashes modulo 2^61, whatever the order or partitioning."""
-    row = F.pmod(F.xxhash64(*[F.col(c) for c in sorted(df.columns)]), F.lit((1 << 61) - 1)).cast("decimal(38,0)")
-    return df.agg(F.count("*").alias("n"), (F.coalesce(F.sum(row), F.lit(0)) % F.lit((1 << 61) - 1)).cast("long").alias("hash"))
+def _text(df: DataFrame, name: str, places: int) -> Column:
+    """A value as text that other engines write alike, with its length before it; null is told from every text."""
+    kind, c = df.schema[name].dataType.typeName(), F.col(f"`{name}`")
+    if kind in ("float", "double"):
+        # beyond 2^53 units of the last place a double is its own integer part; NaN and infinities keep their names
+        units = F.floor(c.cast("double") * F.lit(float(10**places)) + 0.5)
+        text = F.when(F.abs(c) < F.lit(2.0**53 / 10**places), units.cast("string")).otherwise(c.cast("string"))
+    elif kind in ("array", "map", "struct"):
+        text = F.to_json(c)
+    else:
+        text = c.cast("string")
+    return F.when(c.isNull(), F.lit("N")).otherwise(F.concat(F.lit("V"), F.char_length(text).cast("string"), F.lit(":"), text))
+
+
+def table_hash(df: DataFrame, places: int = 9) -> DataFrame:
+    """(n, high, low): the sums of both halves of the rows' md5, modulo 2^64, whatever the order or partitioning.
+
+    Columns count in order of their names.  Fractions count to ``places``
+    decimals.  Any engine with md5 can form the same sums.
+    """
+    md5 = F.md5(F.concat(*[_text(df, c, places) for c in sorted(df.columns)]).cast("binary"))
+    half = lambda at: F.conv(F.substring(md5, at, 16), 16, 10).cast("decimal(38,0)")
+    whole = lambda name: (F.coalesce(F.sum(name), F.lit("0").cast("decimal(38,0)")) % F.lit(str(1 << 64)).cast("decimal(38,0)")).cast("string").alias(name)
+    return df.select(half(1).alias("high"), half(17).alias("low")).agg(F.count("*").alias("n"), whole("high"), whole("low"))
 
 
 def ordered_hash(df: DataFrame, col: str, order: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waymark.functions.common import global_rank, materialize
@@ -62,35 +62,33 @@ def _draw(rep: F.Column, slot: F.Column, seed: int, n: F.Column) -> F.Column:
 def paired_bootstrap(blocks: DataFrame, reps: int, seed: int, a: str = "global_mse", b: str = "correct_mse", key: str = "i") -> DataFrame:
     """K5: (estimate, low, high) of the mean of a - b: all arms share a resample; 2.5 and 97.5 % of the resampled means.
 
-    Each block emits its draws, so they are made where the blocks are; a
-    resample meets the blocks by a join on their number.
+    A resample is drawn and summed in one task, so only its mean is shuffled.
     """
-    nth = materialize(global_rank(blocks.select(F.col(key).alias("_key"), (F.col(a) - F.col(b)).alias("d")), ["_key"], "_r").select((F.col("_r") - 1).cast("long").alias("slot"), "d"))
-    n = F.lit(nth.count())
-    means = _draws(nth.select("slot"), reps, seed, n).join(nth.withColumnRenamed("slot", "at"), "at").groupBy("rep").agg((F.sum(F.col("times") * F.col("d")) / F.sum("times")).alias("m"))
+    nth = materialize(global_rank(blocks.select(F.col(key).alias("_key"), (F.col(a) - F.col(b)).alias("d")), ["_key"], "_r").select((F.col("_r") - 1).cast("long").alias("at"), "d"))
+    means = _draws(nth.sparkSession, nth.count(), reps, seed).join(nth, "at").groupBy("rep").agg(F.avg("d").alias("m"))
     ci = means.agg(F.percentile("m", [0.025, 0.975]).alias("q"))
     return nth.agg(F.avg("d").alias("estimate")).crossJoin(ci).select("estimate", F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"))
 
 
-def _draws(slots: DataFrame, reps: int, seed: int, n: F.Column) -> DataFrame:
-    """(rep, at, times): how often each resample draws a number, summed where it is drawn first."""
-    rep = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(reps - 1).cast("long"))).alias("rep")
-    return slots.select("slot", rep).select("rep", _draw(F.col("rep"), F.col("slot"), seed, n).alias("at")).groupBy("rep", "at").agg(F.count("*").alias("times"))
+def _draws(spark: SparkSession, n: int, reps: int, seed: int) -> DataFrame:
+    """(rep, at): the n numbers below n that each resample draws; resamples are dealt to tasks, and sums by them are whole before they move."""
+    slot = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("slot")
+    tasks = max(1, min(reps, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return spark.range(0, reps if n else 0, 1, tasks).select(F.col("id").alias("rep"), slot).select("rep", _draw(F.col("rep"), F.col("slot"), seed, F.lit(max(n, 1))).alias("at"))
 
 
 def nested_bootstrap(samples: DataFrame, reps: int, seed: int, a: str = "global_mse", b: str = "correct_mse") -> DataFrame:
     """K6: seeds are redrawn, then one draw of episodes that all seeds share; the mean of per-seed means.
 
-    Rows are summed per (seed, episode) first; draws meet these sums as multiplicities.
+    Rows are summed per (seed, episode) first; draws of episodes meet these sums, and what is shuffled is a row per resample and seed.
     """
+    spark = samples.sparkSession
     cells = materialize(samples.groupBy("seed", "episode").agg(F.sum(F.col(a) - F.col(b)).alias("s"), F.count("*").alias("c")))
-
-    def times(name: str, salt: int, count: str) -> DataFrame:
-        table = materialize(global_rank(cells.select(name).distinct(), [name], "_r").select(name, (F.col("_r") - 1).cast("long").alias("at")))
-        return _draws(table.select(F.col("at").alias("slot")), reps, seed + salt, F.lit(table.count())).withColumnRenamed("times", count).join(table, "at").drop("at")
-
-    ts, te = times("seed", 0, "ks"), times("episode", 1, "ke")
-    per = te.join(cells, "episode").groupBy("rep", "seed").agg((F.sum(F.col("ke") * F.col("s")) / F.sum(F.col("ke") * F.col("c"))).alias("m"))
+    numbered = lambda name: materialize(global_rank(cells.select(name).distinct(), [name], "_r").select(name, (F.col("_r") - 1).cast("long").alias("at")))
+    seeds, episodes = numbered("seed"), numbered("episode")
+    ts = _draws(spark, seeds.count(), reps, seed).groupBy("rep", "at").agg(F.count("*").alias("ks")).join(seeds, "at").drop("at")
+    of = cells.join(episodes, "episode").select("at", "seed", "s", "c")
+    per = _draws(spark, episodes.count(), reps, seed + 1).join(of, "at").groupBy("rep", "seed").agg((F.sum("s") / F.sum("c")).alias("m"))
     means = per.join(ts, ["rep", "seed"]).groupBy("rep").agg((F.sum(F.col("ks") * F.col("m")) / F.sum("ks")).alias("m"))
     point = cells.groupBy("seed").agg((F.sum("s") / F.sum("c")).alias("m")).agg(F.avg("m").alias("estimate"))
     return point.crossJoin(means.agg(F.percentile("m", [0.025, 0.975]).alias("q"))).select("estimate", F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"))

@@ -51,24 +51,24 @@ _U = "('0x' || substr(md5({}), 1, 8))::BIGINT"
 @query(
     "k5_paired_bootstrap",
     f"""WITH {LOSSES}, ep AS (SELECT episode, avg(global_mse) - avg(correct_mse) AS d FROM samples GROUP BY 1), nth AS (SELECT row_number() OVER (ORDER BY episode) - 1 AS slot, d FROM ep), n AS (SELECT count(*) AS n FROM nth),
-dr AS (SELECT rep, {_U.format("'9:' || rep || ':' || slot")} % n AS at FROM (SELECT unnest(range(0, 200)) AS rep), nth, n), m AS (SELECT rep, avg(d) AS m FROM dr JOIN nth ON nth.slot = dr.at GROUP BY rep)
+dr AS (SELECT rep, {_U.format("'9:' || rep || ':' || slot")} % n AS at FROM (SELECT unnest(range(0, 50000)) AS rep), nth, n), m AS (SELECT rep, avg(d) AS m FROM dr JOIN nth ON nth.slot = dr.at GROUP BY rep)
 SELECT (SELECT round(avg(d), 6) FROM nth) AS estimate, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m""",
 )
 def _(spark, d):
     ep = risk.expert_losses(losses(spark, d), 3).groupBy("episode").agg(F.avg("global_mse").alias("global_mse"), F.avg("correct_mse").alias("correct_mse"))
-    return rounded(risk.paired_bootstrap(ep, 200, 9, key="episode"), "estimate", "low", "high")
+    return rounded(risk.paired_bootstrap(ep, 50_000, 9, key="episode"), "estimate", "low", "high")
 
 
 @query(
     "k6_nested_bootstrap",
     f"""WITH {LOSSES}, c AS (SELECT seed, episode, sum(global_mse - correct_mse) AS s, count(*) AS c FROM samples GROUP BY 1, 2), sd AS (SELECT seed, row_number() OVER (ORDER BY seed) - 1 AS pos FROM (SELECT DISTINCT seed FROM c)), ed AS (SELECT episode, row_number() OVER (ORDER BY episode) - 1 AS pos FROM (SELECT DISTINCT episode FROM c)),
-rp AS (SELECT unnest(range(0, 200)) AS rep), ts AS (SELECT rep, sd.seed, ks FROM (SELECT rep, {_U.format("'9:' || rep || ':' || pos")} % (SELECT count(*) FROM sd) AS a, count(*) AS ks FROM rp, sd GROUP BY 1, 2) JOIN sd ON sd.pos = a),
+rp AS (SELECT unnest(range(0, 50000)) AS rep), ts AS (SELECT rep, sd.seed, ks FROM (SELECT rep, {_U.format("'9:' || rep || ':' || pos")} % (SELECT count(*) FROM sd) AS a, count(*) AS ks FROM rp, sd GROUP BY 1, 2) JOIN sd ON sd.pos = a),
 te AS (SELECT rep, ed.episode, ke FROM (SELECT rep, {_U.format("'10:' || rep || ':' || pos")} % (SELECT count(*) FROM ed) AS a, count(*) AS ke FROM rp, ed GROUP BY 1, 2) JOIN ed ON ed.pos = a),
 pr AS (SELECT rep, seed, sum(ke * s) / sum(ke * c) AS m FROM te JOIN c ON c.episode = te.episode GROUP BY 1, 2), ms AS (SELECT pr.rep, sum(ks * m) / sum(ks) AS m FROM pr JOIN ts ON ts.rep = pr.rep AND ts.seed = pr.seed GROUP BY 1)
 SELECT (SELECT round(avg(m), 6) FROM (SELECT sum(s) / sum(c) AS m FROM c GROUP BY seed)) AS estimate, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM ms""",
 )
 def _(spark, d):
-    return rounded(risk.nested_bootstrap(risk.expert_losses(losses(spark, d), 3), 200, 9), "estimate", "low", "high")
+    return rounded(risk.nested_bootstrap(risk.expert_losses(losses(spark, d), 3), 50_000, 9), "estimate", "low", "high")
 
 
 @query("k7_success_blocks", f"WITH {RUNS}, p AS (SELECT method, train_seed, eval_seed, avg(success_rate) AS r FROM runs GROUP BY 1, 2, 3) SELECT a.train_seed, a.eval_seed, round(a.r, 6) AS a, round(b.r, 6) AS b FROM p a JOIN p b ON a.train_seed = b.train_seed AND a.eval_seed = b.eval_seed WHERE a.method = 'A' AND b.method = 'R'")
@@ -80,11 +80,11 @@ def _(spark, d):
     "k7_success_bootstrap",
     f"""WITH {RUNS}, p AS (SELECT method, train_seed, eval_seed, avg(success_rate) AS r FROM runs GROUP BY 1, 2, 3), b AS (SELECT a.train_seed, a.eval_seed, a.r - b.r AS d FROM p a JOIN p b ON a.train_seed = b.train_seed AND a.eval_seed = b.eval_seed WHERE a.method = 'A' AND b.method = 'R'),
 nth AS (SELECT row_number() OVER (ORDER BY train_seed, eval_seed) - 1 AS slot, d FROM b), n AS (SELECT count(*) AS n FROM nth),
-dr AS (SELECT rep, {_U.format("'3:' || rep || ':' || slot")} % n AS at FROM (SELECT unnest(range(0, 200)) AS rep), nth, n), m AS (SELECT rep, avg(d) AS m FROM dr JOIN nth ON nth.slot = dr.at GROUP BY rep)
+dr AS (SELECT rep, {_U.format("'3:' || rep || ':' || slot")} % n AS at FROM (SELECT unnest(range(0, 50000)) AS rep), nth, n), m AS (SELECT rep, avg(d) AS m FROM dr JOIN nth ON nth.slot = dr.at GROUP BY rep)
 SELECT (SELECT round(avg(d), 6) FROM nth) AS estimate, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m""",
 )
 def _(spark, d):
-    return rounded(risk.success_bootstrap(runs(spark, d), "A", "R", 200, 3), "estimate", "low", "high")
+    return rounded(risk.success_bootstrap(runs(spark, d), "A", "R", 50_000, 3), "estimate", "low", "high")
 
 
 _STEP = "st AS (SELECT l_orderkey AS start, l_linenumber AS step, l_returnflag AS variant, avg(l_tax + l_discount) AS loss, max(l_suppkey % 3) AS region FROM lineitem GROUP BY 1, 2, 3)"
