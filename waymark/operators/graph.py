@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions.common import discard, materialize
+from waymark.operators.neighbour_graph import descend
 from waymark.operators.sampling import landmark_sample
 from waymark.operators.spectrum import low_eigenpairs, spectra
 from waymark.operators.vectors import l2_normalize
@@ -63,26 +64,17 @@ def knn(df: DataFrame, k: int, col: str = "latent", id_col: str = "id") -> DataF
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def knn_approx(df: DataFrame, k: int, col: str = "latent", id_col: str = "id", tables: int = 8, width: float = 0.8) -> DataFrame:
-    """As :func:`knn`, but only among pairs that a bucketed random projection brings together.
+def knn_approx(df: DataFrame, k: int, col: str = "latent", id_col: str = "id", size: int | None = None) -> DataFrame:
+    """As :func:`knn`, by neighbour descent (:mod:`waymark.operators.neighbour_graph`): a bounded number of comparisons a row.
 
-    No pair is dropped for its distance (unit vectors lie within 2).  Rows with
-    fewer than k neighbours found that way are searched exactly, so every row
-    gets k where the table has them.  A test holds recall against :func:`knn`.
+    A few neighbours may be missed; tests hold recall against :func:`knn`.  Rows
+    whose list stays shorter than k are searched exactly, so every row gets k
+    where the table has them.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    rows = df.select(F.col(id_col).alias("id"), array_to_vector(l2_normalize(F.col(col))).alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=width, numHashTables=tables, seed=7).fit(rows)
-    pairs = model.approxSimilarityJoin(rows, rows, 2.001, "dist").where("datasetA.id <> datasetB.id")
-    pairs = pairs.select(F.col("datasetA.id").alias("id"), F.col("datasetB.id").alias("nbr"), (1 - F.col("dist") * F.col("dist") / 2).alias("sim"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "nbr"))
-    found = materialize(pairs.withColumn("rank", rank).where(F.col("rank") <= k))
-    full = found.groupBy("id").count().where(F.col("count") >= k).select(F.col("id").alias("_full"))
+    found, _ = descend(df, k, col, id_col, size)
+    full = found.where(F.col("rank") == k).select(F.col("id").alias("_full"))
     short = materialize(df.join(full, df[id_col] == F.col("_full"), "left_anti"))
-    few = short.count()
-    if not few or few == df.count() <= k:
+    if not short.limit(1).count() or df.limit(k + 1).count() <= k:
         return found
     return found.join(short.select(F.col(id_col).alias("id")), "id", "left_anti").unionByName(_knn_of(short, df, k, col, id_col).select(found.columns))
 
