@@ -675,3 +675,22 @@ def test_op10_languages(spark, docs, empty):
     for n in (2, 4, 9):
         c = codewords(n)
         assert len({tuple(x) for x in c}) == n
+
+
+def test_op10_many_languages_and_rows_without_id(spark):
+    rng = np.random.default_rng(21)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    words = {f"l{k:03d}": ["".join(rng.choice(letters, rng.integers(3, 8))) for _ in range(12)] for k in range(300)}
+    rows = [(i if i % 5 else None, " ".join(rng.choice(words[f"l{i % 300:03d}"], 25)), f"l{i % 300:03d}") for i in range(3000)]
+    got = identify_language(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_rows=4).collect()
+    want = {t: k for _, t, k in rows}
+    assert len(got) == 3000
+    texts = {r[0]: r[1] for r in rows if r[0] is not None}
+    held = [r for r in got if r.held_out and r.doc_id is not None]
+    assert sum(r.lang_pred == want[texts[r.doc_id]] for r in held) > 0.9 * len(held) > 0
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.79, 1.01])
+def test_op1_refuses_thresholds_that_signatures_cannot_serve(spark, threshold):
+    with pytest.raises(ValueError, match="threshold"):
+        ngram_jaccard_join(spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string"), threshold)

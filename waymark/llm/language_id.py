@@ -23,7 +23,7 @@ from .hashing import text_chunks
 BUCKETS = 1 << 15
 #: Labelled rows of each language that are learned from, about; fewer if there are fewer.
 SAMPLE_ROWS = 4000
-#: Partitions that count the sample; each sends one vector per language to the driver.
+#: Partitions that count the sample; their counts are summed by language before they go to the driver.
 COUNTERS = 8
 MOST_LANGUAGES = 500
 UNKNOWN = "und"
@@ -76,27 +76,58 @@ def _margins(column: pa.Array, weights: np.ndarray) -> np.ndarray:
     return out
 
 
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their numbers."""
+    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(at, weights=np.concatenate([n for _, n in parts]), minlength=len(keys)).astype(np.int64)
+
+
 def _count(langs: list[str]):
+    """(lang, buckets, counts): the trigrams that a task's rows of a language have, without empty buckets."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(langs), BUCKETS), dtype=np.int64)
+        number, parts, size = {x: i for i, x in enumerate(langs)}, [], 0
         for batch in batches:
-            lang = np.array([langs.index(x) for x in batch.column(1).to_pylist()], dtype=np.int64)
+            lang = np.array([number[x] for x in batch.column(1).to_pylist()], dtype=np.int64)
             for first, data, offsets in text_chunks(batch.column(0)):
                 if not len(data):
                     continue
                 at, _ = trigrams(data, offsets)
                 own = np.repeat(lang[first : first + len(offsets) - 1], np.diff(offsets))
-                total += np.bincount(own * BUCKETS + at, minlength=total.size).reshape(total.shape)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["counts"])
+                parts.append(np.unique(own * BUCKETS + at, return_counts=True))
+                size += len(parts[-1][0])
+                if size > 1 << 21:
+                    parts = [_summed(parts)]
+                    size = len(parts[0][0])
+        if parts:
+            yield from _rows_of(*_summed(parts))
 
     return run
 
 
+def _rows_of(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    edges = np.searchsorted(keys, np.arange(0, keys[-1] // BUCKETS + 2) * BUCKETS)
+    for k in np.flatnonzero(np.diff(edges)).tolist():
+        at = slice(edges[k], edges[k + 1])
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([(keys[at] % BUCKETS).astype("<i4").tobytes()], pa.binary()), pa.array([counts[at].astype("<i8").tobytes()], pa.binary())], names=["lang", "buckets", "counts"])
+
+
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per language, from its rows of all tasks."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, buckets, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            total.setdefault(k, np.zeros(BUCKETS, dtype=np.int64))[np.frombuffer(buckets, dtype="<i4")] += np.frombuffer(counts, dtype="<i8")
+    for k, x in total.items():
+        some = np.flatnonzero(x)
+        yield from _rows_of(some + k * BUCKETS, x[some])
+
+
 def _bit_hits(langs: list[str], weights, code: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hits, rows = np.zeros(code.shape), np.zeros(len(langs))
+        number, hits, rows = {x: i for i, x in enumerate(langs)}, np.zeros(code.shape), np.zeros(len(langs))
         for batch in batches:
-            lang = np.array([langs.index(x) for x in batch.column(1).to_pylist()], dtype=np.int64)
+            lang = np.array([number[x] for x in batch.column(1).to_pylist()], dtype=np.int64)
             right = _margins(batch.column(0), weights.value) * code[lang] > 0
             np.add.at(hits, lang, right)
             np.add.at(rows, lang, 1)
@@ -170,11 +201,13 @@ def identify_language(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, ambiguous
     code = codewords(len(langs)) if langs else np.zeros((0, 0))
     trust, weights = np.ones(code.shape), None
     if len(langs) > 1:
-        share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
+        share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
         part = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1.0, sample_rows / sizes[x]))) for x in langs])
         sample = known.where(share < part).select("text", "lang").repartition(COUNTERS, F.xxhash64("doc_id", "text"))
-        counts = sum(np.frombuffer(r["counts"], dtype=np.int64) for r in sample.mapInArrow(_count(langs), "counts binary").collect())
-        weights = spark.sparkContext.broadcast(bit_weights(counts.reshape(len(langs), BUCKETS).astype(np.float64), code))
+        schema, counts = "lang long, buckets binary, counts binary", np.zeros((len(langs), BUCKETS))
+        for r in sample.mapInArrow(_count(langs), schema).repartition(COUNTERS, "lang").mapInArrow(_add_up, schema).toLocalIterator():  # a row per language
+            counts[r["lang"], np.frombuffer(r["buckets"], dtype="<i4")] = np.frombuffer(r["counts"], dtype="<i8")
+        weights = spark.sparkContext.broadcast(bit_weights(counts, code))
         got = sample.mapInArrow(_bit_hits(langs, weights, code), "hits binary, rows binary").collect()
         hits = sum(np.frombuffer(r["hits"]) for r in got).reshape(code.shape)
         seen = sum(np.frombuffer(r["rows"]) for r in got)

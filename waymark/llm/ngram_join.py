@@ -71,6 +71,10 @@ def _bands(n: int, t: Fraction) -> list[tuple[int, int]]:
     return out
 
 
+#: Signatures of one partition each need more non-empty partitions than allowed differences, which hashing gives (beyond 10 sigma) from here on.
+LEAST_THRESHOLD = 0.8
+
+
 def _partitions(band: int) -> int:
     return int(SINGLE_UP_TO * BAND_RATIO**band / DENSITY)
 
@@ -490,6 +494,8 @@ def block_pairs(df: DataFrame) -> DataFrame:
 def _linked_rows(docs: DataFrame, threshold: float, size: int, id_col: str, text_col: str, count_links: bool) -> DataFrame:
     """(doc_id, h, n_shingles, component_id, n_links), written; h is a hash of the text."""
     spark = docs.sparkSession
+    if not LEAST_THRESHOLD <= threshold <= 1:
+        raise ValueError(f"threshold is from {LEAST_THRESHOLD} to 1: below it a set may have fewer signatures than a partner may differ in")
     t = Fraction(threshold).limit_denominator(10_000)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     first = materialize(texts.mapInArrow(_profile(size), "kind string, doc_id long, h long, n long, sid long, hist binary"), "kind")
@@ -556,7 +562,8 @@ def ngram_jaccard_join(docs: DataFrame, threshold: float = 0.8, size: int = 5, i
     even with each other.  Repeated rows each give a row; rows with a null id
     take part through their text and never name a component (it is null for a
     row that reaches no id).  Ties don't arise: all links count.  An empty
-    table gives no rows; other columns are ignored.
+    table gives no rows; other columns are ignored.  ``threshold`` is from
+    LEAST_THRESHOLD to 1, else a ValueError.
     """
     return _linked_rows(docs, threshold, size, id_col, text_col, count_links).drop("h")
 
