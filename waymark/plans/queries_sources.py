@@ -10,7 +10,7 @@ from waymark.functions.common import shared_dir
 from waymark.operators import agreement, audit, regions, risk
 from waymark.plans.data import LABELINGS, LATENTS, LOSSES, RUNS, labelings, latents, losses, runs, table
 from waymark.plans.registry import query
-from waymark.sources import io
+from waymark.sources import io, versions
 
 
 def _path(spark) -> str:
@@ -116,3 +116,14 @@ def _(spark, d):
     got = agreement.projection_sample(latents(spark, d), "label", 12, dim=8)
     at = next(c for c in got.columns if c not in ("id", "latent", "grp", "label") and got.schema[c].dataType.simpleString().startswith("array"))
     return got.groupBy("label").agg(F.count("*").alias("n"), F.max(F.size(at)).alias("dim"))
+
+
+@query("s15_published_versions", "SELECT l_suppkey AS region, CASE WHEN l_suppkey % 5 = 0 THEN count(*) ELSE count(*) FILTER (WHERE l_linenumber <= 3) END AS n FROM lineitem GROUP BY l_suppkey HAVING l_suppkey % 5 = 0 OR count(*) FILTER (WHERE l_linenumber <= 3) > 0")
+def _(spark, d):
+    """A version of all suppliers' short orders, then one that replaces every fifth supplier's."""
+    path = _path(spark)
+    lines = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("region"), "l_linenumber")
+    versions.publish(lines.where("l_linenumber <= 3").groupBy("region").agg(F.count("*").alias("n")), path, "c1")
+    fifth = lines.where("region % 5 = 0").groupBy("region").agg(F.count("*").alias("n"))
+    versions.publish(fifth, path, "c1", replace=fifth.select("region"))
+    return versions.read_version(spark, path).select("region", "n")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from waymark.functions.common import materialize
+from waymark.functions.common import materialize, shared_dir
 from waymark.operators import audit, graph, partition, regions, routing, spectrum, vectors, windows
 from waymark.plans.data import FRAMES, LATENTS, LONG, POSITIONS, PROTOTYPES, ZSCORED, frames, latents, positions, table
 from waymark.plans.registry import query
@@ -383,12 +386,34 @@ def _(spark, d):
     src = materialize(e)
     protos = spark.createDataFrame([(0, [1.0, 0.2], 0), (1, [-1.0, 0.2], 1)], "idx long, vec array<double>, owner long")
     live = stream.windowed_histogram(stream.route_stream(spark.readStream.schema(src.schema).parquet(src.inputFiles()[0].rsplit("/", 1)[0]), protos), "ts")
-    name = "v8_" + str(abs(hash(d)) % 10**8)
+    name = "v8_" + hashlib.md5(d.encode()).hexdigest()[:8]
     q = live.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name).select(F.col("window_start").cast("date").alias("day"), "region", "n")
 
 
+@query(
+    "v8_ordered_switches",
+    """WITH r AS (SELECT user_id AS ep, ts, event_id, [(hour(ts) - 11.5::DOUBLE) / 12, value / 100] AS v FROM events),
+g AS (SELECT ep, ts, event_id, CASE WHEN round(list_inner_product(v, [1.0::DOUBLE, 0.2]), 12) >= round(list_inner_product(v, [-1.0::DOUBLE, 0.2]), 12) THEN 0 ELSE 1 END AS region FROM r),
+l AS (SELECT ep, region, lag(region) OVER (PARTITION BY ep ORDER BY ts, event_id) AS before FROM g)
+SELECT ep, count(*) AS n_steps, count(*) FILTER (WHERE region <> before) AS n_switches FROM l GROUP BY ep""",
+)
+def _(spark, d):
+    """Events that arrive in files of mixed times are counted in order once a closing row lets the watermark pass."""
+    from waymark.streaming import route as stream
+
+    at = f"{shared_dir(spark)}/waymark-{uuid.uuid4().hex}"
+    e = table(spark, d, "events").select(F.col("user_id").cast("long").alias("ep"), "event_id", F.col("ts").cast("timestamp").alias("ts"), F.array((F.hour("ts") - 11.5) / 12, F.col("value") / 100).alias("latent"))
+    e.repartition(4, F.xxhash64("event_id")).write.parquet(f"{at}/in")
+    e.agg(F.max("ep").alias("ep"), F.max("event_id").alias("event_id"), (F.max("ts") + F.expr("INTERVAL 9000 DAYS")).alias("ts"), F.first("latent").alias("latent")).write.mode("append").parquet(f"{at}/in")
+    protos = spark.createDataFrame([(0, [1.0, 0.2], 0), (1, [-1.0, 0.2], 1)], "idx long, vec array<double>, owner long")
+    told = stream.ordered_switches(stream.route_stream(stream.read_latent_stream(spark, f"{at}/in", e.schema, 2), protos), order="event_id", late="4000 days")
+    q = told.writeStream.outputMode("update").option("checkpointLocation", f"{at}/log").foreachBatch(lambda rows, _: rows.write.mode("append").parquet(f"{at}/out")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(told.schema).parquet(f"{at}/out").groupBy("ep").agg(F.max("n_steps").alias("n_steps"), F.max("n_switches").alias("n_switches"))
+
+
 _INTS = ("l_linenumber", "l_orderkey", "l_partkey", "l_suppkey")
 _FRACTIONS = ("l_discount", "l_extendedprice", "l_quantity", "l_tax")
 _AS_TEXT = {c: f"floor({c} * 1e9::DOUBLE + 0.5)::BIGINT::VARCHAR" if c in _FRACTIONS else f"{c}::VARCHAR" for c in sorted((*_INTS, *_FRACTIONS, "l_linestatus", "l_returnflag", "l_shipdate"))}

@@ -10,11 +10,26 @@ from pyspark.sql import functions as F
 from waymark.functions.common import is_finite
 
 
+#: Row ids that a scan is given one by one; more are given as their range.
+LISTED_IDS = 1000
+
+
 def read_frames(spark: SparkSession, path: str, cols: list[str], ids: DataFrame | None = None, id_col: str = "frame_id") -> DataFrame:
-    """Only the named columns that exist, at given row ids if there are any; both reach the scan."""
+    """Only the named columns that exist, at given row ids if there are any.
+
+    The ids reach the scan as a list or as their range, which skips files and
+    row groups by their bounds; what is left is joined.
+    """
     df = spark.read.parquet(path)
     df = df.select(*[c for c in cols if c in df.columns])
-    return df if ids is None else df.join(ids.select(id_col).distinct(), id_col, "left_semi")
+    if ids is None:
+        return df
+    ids = ids.select(id_col).where(F.col(id_col).isNotNull()).distinct()
+    some = [r[0] for r in ids.limit(LISTED_IDS + 1).collect()]
+    if len(some) <= LISTED_IDS:
+        return df.where(F.col(id_col).isin(some))
+    low, high = ids.agg(F.min(id_col), F.max(id_col)).first()
+    return df.where(F.col(id_col).between(low, high)).join(ids, id_col, "left_semi")
 
 
 def resolve_state_key(df: DataFrame, candidates: list[str], requested: str | None = None) -> str:
