@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from waymark.operators import agreement, audit, models, results, risk
-from waymark.plans.data import LABELINGS, LOSSES, RUNS, labelings, losses, runs, table
+from waymark.plans.data import LABELINGS, LATENTS, LOSSES, RUNS, labelings, latents, losses, runs, table
 from waymark.plans.registry import query
 
 
@@ -313,3 +313,36 @@ def _(spark, d):
 
     n = table(spark, d, "events").agg(F.count("*").alias("n_rows"), F.countDistinct("user_id").alias("n_episodes")).first().asDict()
     return emit_report(spark, n)
+
+
+#: Alignment of columns 1 and 2 to columns 3 and 4 of each split, in closed form for two columns; ``ref`` is the reference.
+_DRIFT = """m AS (SELECT split, count(*) AS n, var_pop(x1) AS a11, covar_pop(x1, x2) AS a12, var_pop(x2) AS a22, covar_pop(x1, y1) AS c11, covar_pop(x1, y2) AS c12, covar_pop(x2, y1) AS c21, covar_pop(x2, y2) AS c22, var_pop(y1) AS s1, var_pop(y2) AS s2 FROM w GROUP BY split),
+e AS (SELECT m.*, k1, k2, c11 / k1 AS m11, c12 / k2 AS m12, c21 / k1 AS m21, c22 / k2 AS m22 FROM m, (SELECT sqrt(greatest(s1, 1e-12)) AS k1, sqrt(greatest(s2, 1e-12)) AS k2 FROM m WHERE split = 'ref')),
+s AS (SELECT *, sign(m11 * m22 - m12 * m21) AS g, sqrt(m11 ** 2 + m12 ** 2 + m21 ** 2 + m22 ** 2 + 2 * abs(m11 * m22 - m12 * m21)) AS s FROM e),
+p AS (SELECT *, (m11 + g * m22) / s AS p11, (m12 - g * m21) / s AS p12, (m21 - g * m12) / s AS p21, (m22 + g * m11) / s AS p22, a11 + a22 + s1 / k1 ** 2 + s2 / k2 ** 2 - 2 * s AS residual,
+  ((a22 * c11 ** 2 - 2 * a12 * c11 * c21 + a11 * c21 ** 2) + (a22 * c12 ** 2 - 2 * a12 * c12 * c22 + a11 * c22 ** 2)) / (a11 * a22 - a12 ** 2) / (s1 + s2) AS r2 FROM s)
+SELECT p.split, p.n, round(sqrt((p.p11 - r.p11) ** 2 + (p.p12 - r.p12) ** 2 + (p.p21 - r.p21) ** 2 + (p.p22 - r.p22) ** 2), 5) AS drift, round(p.residual, 6) AS residual, round(p.residual / r.residual, 6) AS residual_ratio, round(p.r2, 6) AS r2 FROM p, (SELECT * FROM p WHERE split = 'ref') r"""
+_PAIRS = "lat2 AS (SELECT id, label, latent[1] AS x1, latent[2] AS x2, latent[3] AS y1, latent[4] AS y2 FROM lat)"
+
+
+def _pairs(spark, d):
+    return latents(spark, d).select("id", "label", F.slice("latent", 1, 2).alias("latent"), F.slice("latent", 3, 2).alias("state"), (F.col("label") < 5).alias("ref"))
+
+
+def _drift(out):
+    return out.select("split", "n", F.round("drift", 5).alias("drift"), *[F.round(c, 6).alias(c) for c in ("residual", "residual_ratio", "r2")])
+
+
+@query("q9_drift", f"WITH {LATENTS}, {_PAIRS}, w AS (SELECT 'ref' AS split, * FROM lat2 WHERE label < 5 UNION ALL SELECT 'even', * FROM lat2 WHERE label % 2 = 0 UNION ALL SELECT 'high', * FROM lat2 WHERE label >= 5), {_DRIFT}")
+def _(spark, d):
+    rows = _pairs(spark, d).withColumns({"even": F.col("label") % 2 == 0, "high": F.col("label") >= 5})
+    return _drift(agreement.drift_metrics(rows, ["even", "high"], "ref"))
+
+
+@query(
+    "q10_iid_drift",
+    f"""WITH {LATENTS}, {_PAIRS}, t AS (SELECT unnest(range(0, 5)) AS t), w AS (SELECT 'ref' AS split, * FROM lat2 WHERE label < 5
+UNION ALL SELECT 'iid_' || t, lat2.* FROM lat2, t WHERE label >= 5 AND ('0x' || substr(md5((100 + t) || ':' || id), 1, 8))::UBIGINT / 4294967296.0 < 0.5), dr AS (WITH {_DRIFT}) SELECT * FROM dr WHERE split <> 'ref'""",
+)
+def _(spark, d):
+    return _drift(agreement.iid_drift(_pairs(spark, d), "ref", 5, 0.5, 100))

@@ -75,6 +75,57 @@ def _(spark, d):
     return vectors.pca_transform(lat, vectors.pca_fit(lat, 8)).select("id", "z")
 
 
+#: Principal axes of two columns (a, b, c: their variances and covariance) in closed form; signs are free.
+_PLANE = """ax AS (SELECT *, (va + vb) / 2 + sqrt(((va - vb) / 2) ** 2 + cab ** 2) AS top FROM cv),
+un AS (SELECT *, cab / sqrt(cab ** 2 + (top - va) ** 2) AS u1, (top - va) / sqrt(cab ** 2 + (top - va) ** 2) AS u2 FROM ax)"""
+
+
+@query(
+    "n4_pca_plane",
+    f"""WITH {LATENTS}, cv AS (SELECT avg(latent[1]) AS ma, avg(latent[2]) AS mb, var_pop(latent[1]) AS va, var_pop(latent[2]) AS vb, covar_pop(latent[1], latent[2]) AS cab FROM lat), {_PLANE}
+SELECT id, round(abs((latent[1] - ma) * u1 + (latent[2] - mb) * u2), 6) AS first, round(abs((latent[2] - mb) * u1 - (latent[1] - ma) * u2), 6) AS second FROM lat, un""",
+)
+def _(spark, d):
+    """Both coordinates of two columns on their principal axes."""
+    lat = latents(spark, d).withColumn("latent", F.slice("latent", 1, 2))
+    z = vectors.pca_transform(lat, vectors.pca_fit(lat, 2))
+    return z.select("id", r6(F.abs(F.get("z", F.lit(0)))).alias("first"), r6(F.abs(F.get("z", F.lit(1)))).alias("second"))
+
+
+@query("n4_pca_keeps_lengths", f"WITH {LONG}, m AS (SELECT d, avg(x) AS m FROM e GROUP BY d) SELECT id, round(sum((x - m) ** 2), 6) AS length2 FROM e JOIN m ON e.d = m.d GROUP BY id")
+def _(spark, d):
+    """On all its components a centred vector keeps its length."""
+    lat = latents(spark, d)
+    z = vectors.pca_transform(lat, vectors.pca_fit(lat, 1 << 20))
+    return z.select("id", r6(F.aggregate("z", F.lit(0.0), lambda a, x: a + x * x)).alias("length2"))
+
+
+@query(
+    "n10_projection_plane",
+    f"""WITH {LATENTS}, st AS (SELECT avg(latent[1]) AS m1, avg(latent[2]) AS m2, stddev_pop(latent[1]) + 1e-8 AS s1, stddev_pop(latent[2]) + 1e-8 AS s2 FROM lat WHERE label < 5),
+z AS (SELECT id, label, (latent[1] - m1) / s1 AS a, (latent[2] - m2) / s2 AS b FROM lat, st), cv AS (SELECT avg(a) AS ma, avg(b) AS mb, var_pop(a) AS va, var_pop(b) AS vb, covar_pop(a, b) AS cab FROM z WHERE label < 5), {_PLANE}
+SELECT id, round(abs((a - ma) * u1 + (b - mb) * u2), 5) AS first, round(abs((b - mb) * u1 - (a - ma) * u2), 5) AS second FROM z, un""",
+)
+def _(spark, d):
+    """All rows on the principal axes of the standardised reference rows."""
+    lat = latents(spark, d).withColumn("latent", F.slice("latent", 1, 2))
+    z = vectors.prepare_projection(lat, F.col("label") < 5)
+    return z.select("id", F.round(F.abs(F.get("z", F.lit(0))), 5).alias("first"), F.round(F.abs(F.get("z", F.lit(1))), 5).alias("second"))
+
+
+@query(
+    "n6_procrustes",
+    f"""WITH {LATENTS}, m AS (SELECT count(*) AS n, sum(latent[1] * latent[3]) AS a, sum(latent[1] * latent[4]) AS b, sum(latent[2] * latent[3]) AS c, sum(latent[2] * latent[4]) AS d, sum(latent[1] ** 2 + latent[2] ** 2 + latent[3] ** 2 + latent[4] ** 2) AS t FROM lat),
+s AS (SELECT *, a * d - b * c AS det, sqrt(a * a + b * b + c * c + d * d + 2 * abs(a * d - b * c)) AS s FROM m)
+SELECT round((a + sign(det) * d) / s, 6) AS q11, round((b - sign(det) * c) / s, 6) AS q12, round((t - 2 * s) / n, 6) AS error FROM s""",
+)
+def _(spark, d):
+    """Columns 1 and 2 turned onto columns 3 and 4; for two columns the turn has a closed form."""
+    rows = latents(spark, d).select(F.slice("latent", 1, 2).alias("s"), F.slice("latent", 3, 2).alias("t"))
+    q, error = vectors.procrustes(rows, "s", "t")
+    return spark.createDataFrame([(float(q[0, 0]), float(q[0, 1]), error)], "q11 double, q12 double, error double").select(*[r6(c).alias(c) for c in ("q11", "q12", "error")])
+
+
 @query("n3_whitened")
 def _(spark, d):
     return vectors.preprocess(latents(spark, d), "white128").select("id", "z")
