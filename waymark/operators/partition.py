@@ -7,10 +7,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.functions.common import checked, dot, materialize, seeded, uniform
+from waymark.functions.common import checked, discard, dot, materialize, seeded, uniform
 from waymark.operators.agreement import classification_metrics
 from waymark.operators.graph import affinity_graph, components, evaluate_gate, knn, spectral_labels
 from waymark.operators.routing import nearest_owner, route
@@ -169,35 +169,66 @@ def best_restart(runs: DataFrame, budget: int) -> DataFrame:
     return runs.where(F.col("restart") < budget).groupBy("outer_seed").agg(F.max_by("restart", F.struct("objective", -F.col("restart"))).alias("restart"), F.max("objective").alias("objective"))
 
 
-#: Landmarks that one task may hold when it fits a region's prototypes.
-MOST_LANDMARKS = 200_000
+def _region_sums(rows: DataFrame, centres: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """Region -> [start, prototype, dim + 2]: sums of the rows nearest to each prototype of their region, their number and cosines.
 
+    A partial row per task, region, start, prototype and dimension that has one; tasks don't know of regions.
+    """
+    starts, k, dim = next(iter(centres.values())).shape
 
-def fit_prototypes(z: DataFrame, labels: DataFrame, per_region: int, seed: int = 0, n_init: int = 4, col: str = "z") -> DataFrame:
-    """(idx, vec, owner): centroids inside each region of a landmark set.
-
-    A region is one task, so more than MOST_LANDMARKS rows in one are an error, as are fewer than ``per_region``.
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            region = pdf["region"].to_numpy()
+            for g in np.unique(region).tolist():
+                x = np.stack(pdf["x"][region == g].to_numpy())
+                s = np.round(np.einsum("nd,rkd->nrk", x, centres[g]), 12)
+                at = s.argmax(axis=2)
+                one = total.setdefault(g, np.zeros((starts, k, dim + 2)))
+                for r in range(starts):
+                    np.add.at(one[r], at[:, r], np.concatenate((x, np.ones((len(x), 1)), s[np.arange(len(x)), r, at[:, r]][:, None]), axis=1))
+        for g, one in total.items():
+            c = np.flatnonzero(one.any(axis=2).ravel())
+            yield pd.DataFrame({"region": g, "c": np.repeat(c, dim + 2), "d": np.tile(np.arange(dim + 2), len(c)), "x": one.reshape(-1, dim + 2)[c].ravel()})
+
+    got = rows.mapInPandas(part, "region long, c int, d int, x double").groupBy("region", "c", "d").agg(F.sum("x").alias("x")).toPandas()  # regions * starts * prototypes * dim rows
+    out = {g: np.zeros((starts * k, dim + 2)) for g in centres}
+    for g, one in got.groupby("region"):
+        out[int(g)][one["c"].to_numpy(), one["d"].to_numpy()] = one["x"].to_numpy()
+    return {g: x.reshape(starts, k, dim + 2) for g, x in out.items()}
+
+
+def fit_prototypes(z: DataFrame, labels: DataFrame, per_region: int, seed: int = 0, n_init: int = 4, col: str = "z", rounds: int = 20) -> DataFrame:
+    """(idx, vec, owner): centroids inside each region, by spherical k-means of all regions and starts in the same passes.
+
+    A start's first centroids are the rows of a region that come first by md5;
+    a region keeps its start with the largest mean cosine.  Passes end early
+    when no centroid moves.  A region of fewer rows than ``per_region`` is an error.
     """
-    if labels.groupBy("region").count().where(F.col("count") > MOST_LANDMARKS).limit(1).count():
-        raise ValueError(f"a region has more than {MOST_LANDMARKS} rows: fit on a landmark sample")
-    if labels.groupBy("region").count().where(F.col("count") < per_region).limit(1).count():
+    rows = materialize(z.join(labels, "id").select("id", F.col(col).cast("array<double>").alias("x"), F.col("region").cast("long").alias("region")))
+    if rows.groupBy("region").count().where(F.col("count") < per_region).limit(1).count():
         raise ValueError("a region has fewer rows than prototypes")
-
-    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf.sort_values("id")[col].to_numpy()).astype(float)
-        best, told = None, -np.inf
-        for r in range(n_init):
-            c = x[np.random.default_rng([seed, r, int(key[0])]).choice(len(x), per_region, replace=False)]
-            for _ in range(20):
-                at = (x @ c.T).argmax(axis=1)
-                c = np.stack([x[at == i].mean(axis=0) if (at == i).any() else c[i] for i in range(per_region)])
-                c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-            if (score := (x @ c.T).max(axis=1).mean()) > told:
-                best, told = c, score
-        return pd.DataFrame({"owner": key[0], "nth": range(per_region), "vec": list(best)})
-
-    rows = z.join(labels, "id").select("id", col, "region").groupBy("region").applyInPandas(fit, "owner long, nth int, vec array<double>")
-    return rows.select((F.col("owner") * per_region + F.col("nth")).alias("idx"), "vec", "owner")
+    first = None
+    for r in range(n_init):
+        nth = F.row_number().over(Window.partitionBy("region").orderBy(seeded(seed * 100 + r, "id"), "id"))
+        own = rows.withColumn("nth", nth).where(F.col("nth") <= per_region).select("region", F.lit(r).alias("r"), "nth", "x")
+        first = own if first is None else first.unionByName(own)
+    got = first.orderBy("region", "r", "nth").toPandas()  # regions * starts * prototypes
+    centres = {int(g): np.stack(one["x"].to_numpy()).reshape(n_init, per_region, -1) for g, one in got.groupby("region")}
+    if not centres:
+        return z.sparkSession.createDataFrame([], "idx long, vec array<double>, owner long")
+    for _ in range(rounds):
+        sums, moved = _region_sums(rows, centres), 0.0
+        for g, one in sums.items():
+            new = np.where(one[:, :, -2:-1] > 0, one[:, :, :-2], centres[g])
+            new = new / np.maximum(np.linalg.norm(new, axis=2, keepdims=True), 1e-12)
+            moved, centres[g] = max(moved, float(np.abs(new - centres[g]).max())), new
+        if moved < 1e-12:
+            break
+    told = {g: one[:, :, -1].sum(axis=1) for g, one in _region_sums(rows, centres).items()}
+    discard(rows)
+    out = [(g * per_region + i, [float(v) for v in c], g) for g in sorted(centres) for i, c in enumerate(centres[g][int(np.argmax(np.round(told[g], 9)))])]
+    return z.sparkSession.createDataFrame(out, "idx long, vec array<double>, owner long")
 
 
 def graph_with_fallback(near: DataFrame, k: int, k2: int, regions: int) -> DataFrame:

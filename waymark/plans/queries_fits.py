@@ -46,9 +46,9 @@ def _labels(spark, z, centres):
     return routing.nearest_owner(z, partition.centroid_table(spark, centres)).select("id", "region")
 
 
-@query("c3_kmeans", f"WITH {ZSCORED}, {plusplus_sql('z', 3, 100_000)}, {rounds_sql('z', 8)} SELECT id, region FROM fitted")
+@query("c3_kmeans", f"WITH {ZSCORED}, {plusplus_sql('z', 3, 100_000)}, {rounds_sql('z', 25)} SELECT id, region FROM fitted")
 def _(spark, d):
-    return partition.fit_kmeans(latents(spark, d), 3, 1, niter=8).labels
+    return partition.fit_kmeans(latents(spark, d), 3, 1).labels
 
 
 @query("c3_kmeans_rounds", f"WITH {ZSCORED}, {plusplus_sql('z', 3, 1)}, {rounds_sql('z', 3)} SELECT id, region FROM fitted")
@@ -85,6 +85,25 @@ def _(spark, d):
     return p.select("owner", F.posexplode("vec").alias("d", "x")).select("owner", (F.col("d") + 1).alias("d"), r6("x").alias("x"))
 
 
+def region_rounds_sql(k: int, n: int, seed: int) -> str:
+    """n rounds of k prototypes inside each region of ``y`` (id, z, owner), first the rows that come first by md5."""
+    out = [f"c0 AS (SELECT owner, nth, z AS vec FROM (SELECT owner, z, row_number() OVER (PARTITION BY owner ORDER BY md5('{seed}:' || id), id) - 1 AS nth FROM y) WHERE nth < {k})"]
+    for i in range(n):
+        out.append(f"a{i} AS (SELECT y.id, y.owner, any_value(y.z) AS z, arg_max(nth, {{'s': round(list_inner_product(y.z, vec), 12), 'i': -nth}}) AS nth FROM y JOIN c{i} c ON c.owner = y.owner GROUP BY 1, 2)")
+        out.append(f"m{i} AS (SELECT owner, nth, d, sum(x) AS x FROM (SELECT owner, nth, unnest(range(1, len(z) + 1)) AS d, unnest(z) AS x FROM a{i}) GROUP BY 1, 2, 3)")
+        out.append(f"v{i} AS (SELECT m.owner, m.nth, list(x / n ORDER BY d) AS vec FROM m{i} m JOIN (SELECT owner, nth, sqrt(sum(x * x)) AS n FROM m{i} GROUP BY 1, 2) q ON q.owner = m.owner AND q.nth = m.nth GROUP BY 1, 2)")
+        out.append(f"c{i + 1} AS (SELECT c.owner, c.nth, coalesce(v.vec, c.vec) AS vec FROM c{i} c LEFT JOIN v{i} v ON v.owner = c.owner AND v.nth = c.nth)")
+    return ", ".join(out)
+
+
+@query("c9_prototypes", f"WITH {ZSCORED}, y AS (SELECT z.id, z.z, lat.label % 4 AS owner FROM z JOIN lat ON lat.id = z.id), {region_rounds_sql(16, 20, 700)} SELECT owner * 16 + nth AS idx, owner, round(vec[1], 5) AS first, round(vec[64], 5) AS last FROM c20")
+def _(spark, d):
+    """Sixteen prototypes in each of four regions, one start of twenty rounds."""
+    z = materialize(z_table(spark, d))
+    p = partition.fit_prototypes(z, z.select("id", (F.col("label") % 4).alias("region")), 16, seed=7, n_init=1)
+    return p.select("idx", "owner", F.round(F.get("vec", F.lit(0)), 5).alias("first"), F.round(F.get("vec", F.lit(63)), 5).alias("last"))
+
+
 @query("c12_graph_fallback", f"{_W} SELECT i, j, round(w, 6) AS w FROM g")
 def _(spark, d):
     """One neighbour gives more components than three regions, ten don't."""
