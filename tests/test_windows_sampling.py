@@ -1,3 +1,4 @@
+import itertools
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,13 +36,16 @@ def test_unique_frames_round_trip(spark):
     assert got[2] == [[2.0, 4.0], [3.0, 9.0]]
 
 
-def test_anchor_boundary_and_nesting(spark):
-    s = spark.createDataFrame([(i, 0) for i in range(5)] + [(5, 1)], "start long, ep long")
-    # history 3, horizon 2: frames 0..2 and 4 must be starts of the episode
-    assert [r.start for r in windows.rollout_anchors(s, 2, 1, 3).collect()] == [0]
-    one = spark.range(10).select(F.col("id").alias("start"), F.lit(0).alias("ep"))
-    h5 = {r.start for r in windows.rollout_anchors(one, 5).collect()}
-    assert h5 < {r.start for r in windows.rollout_anchors(one, 1).collect()}
+def test_anchors_against_brute_force(spark):
+    own = {s: 0 for s in range(12)} | {s: 1 for s in range(20, 34) if s != 27} | {40: 2, 41: 2}
+    starts = spark.createDataFrame(list(own.items()), "start long, ep long")
+    found = {}
+    for horizon, skip, history in itertools.product((1, 2, 4), (1, 3), (1, 2)):
+        need = [k * skip for k in range(history)] + [(history - 1 + horizon) * skip] if horizon > 1 else [0]
+        want = {s for s, ep in own.items() if all(own.get(s + k) == ep for k in need)}
+        found[horizon, skip, history] = got = {r.start for r in windows.rollout_anchors(starts, horizon, skip, history).collect()}
+        assert got == want, (horizon, skip, history)
+    assert found[4, 1, 1] < found[1, 1, 1] and 26 not in found[2, 1, 2]
 
 
 def test_episode_of_is_a_range_join(spark):

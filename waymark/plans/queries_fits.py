@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions.common import materialize
 from waymark.operators import graph, models, partition, regions, routing
-from waymark.plans.data import ZSCORED, latents
+from waymark.plans.data import PROTOTYPES, ZSCORED, latents
 from waymark.plans.queries_models import _FIT, _fitted, _inputs, _values
 from waymark.plans.queries_vectors import _W, z_table
 from waymark.plans.registry import query
@@ -57,12 +57,23 @@ def _(spark, d):
     return _labels(spark, z, partition.spherical_kmeans(z, 3, 3, 1)[0])
 
 
-@query("c4_kmeans_until_calm", f"WITH {ZSCORED}, {first_sql('z', 3, 7)}, {rounds_sql('z', 3)} SELECT id, region, 3 AS rounds FROM fitted")
+def calm_sql(rows: str, n: int, tol: float) -> str:
+    """As :func:`rounds_sql`, but ``fitted`` is what the first two calm rounds in a row leave, and ``stop`` their number."""
+    best = "SELECT {i} AS i, avg(m) AS o FROM (SELECT max(list_inner_product(y.z, vec)) AS m FROM " + rows + " y, c{i} GROUP BY y.id)"
+    steps = rounds_sql(rows, n).rsplit(", fitted AS", 1)[0]
+    told = " UNION ALL ".join(best.format(i=i) for i in range(n))
+    kept = " UNION ALL ".join(f"SELECT {i + 1} AS n, * FROM c{i + 1}" for i in range(n))
+    return f"""{steps}, o AS ({told}), calm AS (SELECT i, abs(o - lag(o) OVER (ORDER BY i)) <= {tol} * greatest(abs(lag(o) OVER (ORDER BY i)), 1e-12) AS calm FROM o),
+stop AS (SELECT coalesce(min(i) + 1, {n}) AS n FROM (SELECT i, calm AND lag(calm) OVER (ORDER BY i) AS twice FROM calm) WHERE twice), cs AS ({kept}),
+fitted AS (SELECT y.id, arg_max(idx, {{'s': round(list_inner_product(y.z, vec), 12), 'i': -idx}}) AS region FROM z y, cs JOIN stop ON stop.n = cs.n GROUP BY y.id)"""
+
+
+@query("c4_kmeans_until_calm", f"WITH {ZSCORED}, {first_sql('z', 3, 7)}, {calm_sql('z', 25, 0.001)} SELECT id, region, stop.n AS rounds FROM fitted, stop")
 def _(spark, d):
-    """Calm for two rounds at a tolerance that every round meets, so it stops after the third of 25."""
+    """At most 25 rounds; two in a row that change the objective by at most a thousandth end the fit."""
     z = materialize(z_table(spark, d))
-    centres, told = partition.spherical_kmeans(z, 3, 25, 7, init="random", rel_tol=100.0)
-    return _labels(spark, z, centres).withColumn("rounds", F.lit(len(told)))
+    centres, told = partition.spherical_kmeans(z, 3, 25, 7, init="random", rel_tol=0.001)
+    return _labels(spark, z, centres).withColumn("rounds", F.lit(len(told)).cast("long"))
 
 
 @query("c5_init", f"WITH {ZSCORED}, {plusplus_sql('z', 4, 2)}, r0 AS (SELECT row_number() OVER (ORDER BY md5('2:' || id), id) - 1 AS idx, z AS vec FROM z ORDER BY md5('2:' || id), id LIMIT 4) SELECT 'kmeanspp' AS init, idx, round(vec[1], 6) AS a, round(vec[2], 6) AS b FROM c0 UNION ALL SELECT 'random', idx, round(vec[1], 6), round(vec[2], 6) FROM r0")
@@ -72,9 +83,9 @@ def _(spark, d):
     return spark.createDataFrame(rows, "init string, idx long, a double, b double").withColumns({"a": r6("a"), "b": r6("b")})
 
 
-@query("c7_capped_fit", f"WITH {ZSCORED}, zs AS (SELECT id, z FROM z ORDER BY md5('1:' || id), id LIMIT 120), {plusplus_sql('zs', 3, 100_000)}, {rounds_sql('zs', 3)} SELECT id, region FROM fitted")
+@query("c7_capped_fit", f"WITH {ZSCORED}, zs AS (SELECT id, z FROM z ORDER BY md5('1:' || id), id LIMIT 768), {plusplus_sql('zs', 3, 100_000)}, {rounds_sql('zs', 25)} SELECT id, region FROM fitted")
 def _(spark, d):
-    return partition.fit_kmeans(latents(spark, d), 3, 1, cap=40, niter=3).labels
+    return partition.fit_kmeans(latents(spark, d), 3, 1, cap=256).labels
 
 
 @query("c9_prototype_means", f"WITH {ZSCORED}, x AS (SELECT label % 4 AS owner, d, sum(x) AS x FROM (SELECT lat.label, unnest(range(1, len(z) + 1)) AS d, unnest(z) AS x FROM z JOIN lat ON lat.id = z.id) GROUP BY 1, 2), n AS (SELECT owner, sqrt(sum(x * x)) AS n FROM x GROUP BY 1) SELECT x.owner, x.d::INT AS d, round(x / n, 6) AS x FROM x JOIN n ON x.owner = n.owner")
@@ -111,11 +122,11 @@ def _(spark, d):
     return partition.graph_with_fallback(near, 1, 10, 3).withColumn("w", r6("w"))
 
 
-@query("c19_fit_partition", f"WITH {ZSCORED}, {plusplus_sql('z', 3, 200_000)}, {rounds_sql('z', 3)} SELECT 'kmeanspp' AS method, region, count(*) AS n FROM fitted GROUP BY 2 UNION ALL SELECT 'global', 0, count(*) FROM z")
+@query("c19_fit_partition", f"WITH {ZSCORED}, {plusplus_sql('z', 3, 200_000)}, {rounds_sql('z', 25)}, {PROTOTYPES.replace("'7:'", "'2:'")} SELECT 'kmeanspp' AS method, region, count(*) AS n FROM fitted GROUP BY 2 UNION ALL SELECT 'random_voronoi', region, count(*) FROM routed GROUP BY 2 UNION ALL SELECT 'global', 0, count(*) FROM z")
 def _(spark, d):
     lat, out = latents(spark, d), None
-    for method, more in (("kmeanspp", {"niter": 3}), ("global", {})):
-        one = regions.class_counts(partition.fit_partition(lat, method, 3, 2, **more).labels, "region").select(F.lit(method).alias("method"), "region", "n")
+    for method in ("kmeanspp", "random_voronoi", "global"):
+        one = regions.class_counts(partition.fit_partition(lat, method, 3, 2).labels, "region").select(F.lit(method).alias("method"), "region", "n")
         out = one if out is None else out.unionByName(one)
     return out
 
