@@ -239,5 +239,5 @@ def test_approximate_neighbours_recall(spark):
     want = {(r.id, r.nbr) for r in graph.knn(df, 10).collect()}
     got = {(r.id, r.nbr) for r in graph.knn_approx(df, 10).collect()}
     assert len(got & want) >= 0.9 * len(want)
-    narrow = graph.knn_approx(df, 10, tables=1, width=0.02).collect()
+    narrow = graph.knn_approx(df, 10, size=10).collect()  # lists no longer than what is asked for
     assert len(narrow) == 10 * len(x) and {r["rank"] for r in narrow} == set(range(1, 11))
