@@ -73,6 +73,10 @@ def verify_run(metrics: DataFrame, horizons: list[int], min_seeds: int = 3) -> D
     )
 
 
+#: Rows of an ordered hash.
+ORDERED_MOST = 1_000_000
+
+
 def _text(df: DataFrame, name: str, places: int) -> Column:
     """A value as text that other engines write alike, with its length before it; null is told from every text."""
     kind, c = df.schema[name].dataType.typeName(), F.col(f"`{name}`")
@@ -100,7 +104,9 @@ def table_hash(df: DataFrame, places: int = 9) -> DataFrame:
 
 
 def ordered_hash(df: DataFrame, col: str, order: str) -> DataFrame:
-    """sha256 of a small column in order, joined by commas."""
+    """sha256 of a small column in order, joined by commas; more than ORDERED_MOST rows are an error, as one task holds them."""
+    if df.limit(ORDERED_MOST + 1).count() > ORDERED_MOST:
+        raise ValueError(f"more than {ORDERED_MOST} rows: use table_hash")
     return df.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, F.col(col).cast("string").alias("_v")))), lambda x: x["_v"]), ","), 256).alias("sha256"))
 
 

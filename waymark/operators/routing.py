@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions.common import dot, sq_dist
@@ -89,16 +89,18 @@ def model_for(routed: DataFrame, models: DataFrame) -> DataFrame:
     return met.where(F.when(F.col(key).isNull(), F.raise_error(F.lit("a region has no model")).cast("boolean")).otherwise(True))
 
 
-def margins(col: Column, centroids: DataFrame) -> Column:
-    """The best minus the second-best cosine."""
-    protos = F.array(*[F.array(*[F.lit(float(x)) for x in r["vec"]]) for r in centroids.orderBy("idx").collect()])
-    s = F.sort_array(F.transform(protos, lambda p: dot(col, p)), asc=False)
-    return F.get(s, F.lit(0)) - F.get(s, F.lit(1))
+def with_margins(df: DataFrame, centroids: DataFrame, col: str = "z", out: str = "m") -> DataFrame:
+    """V6: the best minus the second-best cosine; centroids are one row of a broadcast, of checked length, not part of the plan."""
+    if centroids.limit(MOST_PROTOTYPES + 1).count() > MOST_PROTOTYPES:
+        raise ValueError(f"at most {MOST_PROTOTYPES} centroids")
+    protos = centroids.agg(F.collect_list("vec").alias("_protos"))
+    s = F.sort_array(F.transform("_protos", lambda p: dot(F.col(col), p)), asc=False)
+    return df.crossJoin(F.broadcast(protos)).withColumn(out, F.get(s, F.lit(0)) - F.get(s, F.lit(1))).drop("_protos")
 
 
 def margin_stats(df: DataFrame, centroids: DataFrame, col: str = "z") -> DataFrame:
     """V6: mean, median, p10, p25 of the margins and the share below 0.01."""
-    m = df.select(margins(F.col(col), centroids).alias("m"))
+    m = with_margins(df.select(col), centroids, col)
     q = F.percentile("m", [0.1, 0.25, 0.5])
     return m.agg(F.avg("m").alias("mean"), q.alias("q"), F.avg((F.col("m") < 0.01).cast("double")).alias("share_below")).select("mean", F.get("q", F.lit(2)).alias("median"), F.get("q", F.lit(0)).alias("p10"), F.get("q", F.lit(1)).alias("p25"), "share_below")
 
