@@ -50,7 +50,7 @@ BAND_RATIO, DENSITY = 4, 2.0
 #: A shingle is called common from this many occurrences in one batch; the commonest COMMON_MOST are broadcast (8 bytes each).
 COMMON_IN_BATCH, COMMON_MOST = 8, 100_000
 #: Most members of a block, on average, and features of its sets; a pair of blocks is the unit of comparison.
-BLOCK, BLOCK_FEATURES = 1024, 1 << 19
+BLOCK, BLOCK_FEATURES = 2048, 1 << 20
 #: Features that at most so many sets of a pair of blocks hold are counted pair by pair, others by matrix products.
 LIGHT = 8
 #: Up to this many candidate rows (24 bytes each) go to every executor; more are joined by a shuffle.
