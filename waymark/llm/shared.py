@@ -85,27 +85,35 @@ def groups(batches: Iterable[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(v, c): for each vertex of the undirected ``edges`` (a, b), the least vertex it reaches.
 
-    Minimum labels spread along edges and through label pointers, so the number
-    of rounds follows the logarithm of the longest path.  Each round is joins
-    whose large side AQE can split and sums with map-side combining; nothing is
-    collected but one count.
+    Rounds of large and small stars (Kiveris et al., Connected Components in
+    MapReduce and Beyond).  Each step gives at most one edge for an edge, and
+    equal ones are merged, so what a round joins shrinks from the edges to the
+    vertices; rounds are of the order of the squared logarithm of the vertices
+    at worst.  Each step is a join whose large side AQE can split and sums with
+    map-side combining; nothing is collected but one count.
     """
-    both = edges.select("a", "b").where("a <> b")
-    both = both.union(both.selectExpr("b AS a", "a AS b")).distinct()
-    both = materialize(both)
-    if not both.limit(1).count():
-        return both.selectExpr("a AS v", "b AS c")
-    labels = materialize(both.groupBy("a").agg({"b": "min"}).selectExpr("a AS v", "least(a, `min(b)`) AS c"))
+    live = materialize(edges.where("a <> b").selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct())
+    if not live.limit(1).count():
+        return live.selectExpr("b AS v", "a AS c")
     for _ in range(max_rounds):
-        near = both.join(labels.selectExpr("v AS b", "c"), "b").groupBy("a").agg({"c": "min"}).selectExpr("a AS v", "`min(c)` AS near")
-        step = labels.join(near, "v").selectExpr("v", "c AS old", "least(c, near) AS c")
-        jump = labels.selectExpr("v AS c", "c AS far")
-        new = materialize(step.join(jump, "c", "left").selectExpr("v", "least(c, coalesce(far, c)) AS c", "old"))
-        changed = new.where("c <> old").limit(1).count()
-        discard(labels)
-        labels = new.select("v", "c")
-        labels._waymark_path = new._waymark_path
-        if not changed:
-            discard(both)
+        # every vertex ties its larger neighbours to the least of itself and all its neighbours
+        least = live.union(live.selectExpr("b AS a", "a AS b")).groupBy("a").agg({"b": "min"}).selectExpr("a", "least(a, `min(b)`) AS c")
+        large = _merged(live.join(least, "a").selectExpr("c AS a", "b", "c < a AS moved"))
+        discard(live)
+        # every vertex ties its smaller neighbours and itself to the least of them
+        least = large.groupBy("b").agg({"a": "min"}).selectExpr("b", "`min(a)` AS c")
+        small = _merged(large.select("a", "b").join(least, "b").selectExpr("c AS a", "if(a = c, b, a) AS b", "a <> c AS moved"))
+        changed = large.where("moved").limit(1).count() or small.where("moved").limit(1).count()
+        discard(large)
+        live = small.select("a", "b")
+        live._waymark_path = small._waymark_path
+        if not changed:  # each vertex has one smaller neighbour, which has none
+            labels = materialize(live.selectExpr("b AS v", "a AS c").union(live.selectExpr("a AS v", "a AS c").distinct()))
+            discard(live)
             return labels
-    raise RuntimeError(f"labels still changed after {max_rounds} rounds")
+    raise RuntimeError(f"edges still changed after {max_rounds} rounds")
+
+
+def _merged(edges: DataFrame) -> DataFrame:
+    """Edges (a, b), each once and written; moved if any of its rows is."""
+    return materialize(edges.groupBy("a", "b").agg({"moved": "max"}).selectExpr("a", "b", "`max(moved)` AS moved"))
