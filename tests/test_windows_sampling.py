@@ -104,3 +104,22 @@ def test_empty_tables(spark):
     assert windows.valid_starts(f, 2).count() == 0
     assert sampling.sample_n(f, 5, 1, "frame_id").count() == 0
     assert windows.episode_table(f).count() == 0
+
+
+def test_windows_are_not_broadcast(spark, capsys):
+    """The plan takes exploded windows to be as small as their starts."""
+    from waymark.functions.common import materialize
+
+    starts = materialize(spark.range(0, 3000, 3).withColumnRenamed("id", "start"))
+    w = windows.expand_windows(starts, 40)
+    keys, inverse = windows.unique_frame_index(w)
+    frames = materialize(spark.range(3040).select(F.col("id").alias("frame_id"), F.array(F.lit(1.0)).alias("state")))
+    for df in (inverse, windows.gather_sequences(w, frames, "state")):
+        capsys.readouterr()
+        df.explain()
+        plan = capsys.readouterr().out
+        for line in plan.splitlines():
+            if "BroadcastHashJoin" in line or "BroadcastExchange" in line:
+                assert "frame_id" not in line
+        assert "SortMergeJoin" in plan
+    assert inverse.count() == 40_000 and windows.gather_sequences(w, frames, "state").count() == 1000

@@ -2,6 +2,9 @@
 
 Frames are rows (frame_id, ep, step, state, action); frame ids are contiguous
 within an episode.  Windows are named by their first frame.
+
+Spark takes exploded windows to be as small as the table they come from, so
+their joins ask for a sort-merge join; a broadcast of them would fill the driver.
 """
 
 from __future__ import annotations
@@ -79,7 +82,7 @@ def expand_windows(starts: DataFrame, slots: int, frameskip: int = 1, limit: int
 
 def gather_sequences(windows: DataFrame, frames: DataFrame, col: str) -> DataFrame:
     """(start, seq): the column's values at a window's frames, in slot order."""
-    met = windows.join(frames.select("frame_id", F.col(col).alias("_v")), "frame_id")
+    met = windows.hint("merge").join(frames.select("frame_id", F.col(col).alias("_v")), "frame_id")
     return met.groupBy("start").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "_v"))), lambda x: x["_v"]).alias("seq"))
 
 
@@ -114,7 +117,7 @@ def unique_frame_index(windows: DataFrame, slots: int | None = None, batch: int
     shape = F.lit(0).cast("long") if batch is None else F.least(F.lit(batch), F.lit(total) - F.floor(F.col("ord") / batch) * batch).cast("long") * slots
     keyed = windows.withColumn("shape", shape)
     keys = global_rank(keyed.select("frame_id", "shape").distinct(), ["frame_id", "shape"], "key").withColumn("key", F.col("key") - 1)
-    return keys, keyed.join(keys, ["frame_id", "shape"]).select("start", "slot", "key")
+    return keys, keyed.hint("merge").join(keys, ["frame_id", "shape"]).select("start", "slot", "key")
 
 
 def reconstruct_windows(inverse: DataFrame, encoded: DataFrame) -> DataFrame:
