@@ -34,3 +34,25 @@ def test_every_row_has_k_neighbours(spark):
     few = vectors(spark, 4, 2)
     assert sorted((r.id, r.nbr) for r in graph.knn_approx(few, 10).collect()) == sorted((r.id, r.nbr) for r in graph.knn(few, 10).collect())
     assert graph.knn_approx(few.limit(0), 3).count() == 0
+
+
+def test_exact_search_in_groups(spark, monkeypatch):
+    """Any number of rows: many groups and blocks, equal rows (ties to the lower id), and fewer rows than k in a group."""
+    monkeypatch.setattr(graph, "KNN_MOST", 100, raising=False)  # a limit that the search had
+    monkeypatch.setattr(graph, "KNN_GROUP", 90, raising=False)
+    monkeypatch.setattr(graph, "KNN_BLOCK", 32)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(700, 5))
+    x[200:330] = x[7]
+    ids = rng.permutation(5000)[:700] - 900
+    df = spark.createDataFrame(pd.DataFrame({"id": ids, "latent": x.tolist()}), "id long, latent array<double>")
+    u = x[np.argsort(ids)] / np.linalg.norm(x[np.argsort(ids)], axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -np.inf)
+    s, ids = np.round(s, 12), np.sort(ids)
+    for k in (3, 12):
+        want = ids[np.argsort(-s, axis=1, kind="stable")[:, :k]]
+        got = graph.knn(df, k).orderBy("id", "rank").toPandas()
+        assert (got["nbr"].to_numpy().reshape(700, k) == want).all() and (got["rank"].to_numpy().reshape(700, k) == np.arange(1, k + 1)).all()
+        assert np.allclose(got["sim"].to_numpy().reshape(700, k), -np.sort(-s, axis=1)[:, :k], atol=1e-11)
+    assert graph.knn(df.limit(1), 3).count() == 0 and graph.knn(df.limit(0), 3).count() == 0 and graph.knn(df.limit(3), 5).count() == 6

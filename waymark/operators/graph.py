@@ -6,10 +6,12 @@ products (:mod:`waymark.operators.spectrum`).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +23,8 @@ from waymark.operators.vectors import l2_normalize
 
 #: Vectors of one side of a block product (8 * D bytes each).
 KNN_BLOCK = 2048
-#: Rows of an exact search: its work grows with their square, so larger tables go by landmarks or :func:`knn_approx`.
-KNN_MOST = 200_000
+#: Rows of one group of an exact search (8 * D bytes each); a task holds two.
+KNN_GROUP = 32_768
 
 
 def _block_product(k: int):
@@ -44,22 +46,96 @@ def _block_product(k: int):
     return product
 
 
+def _by_row(col: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(row, kind="stable")
+    return row[order], col[order]
+
+
+def _raise(sim: np.ndarray, nbr: np.ndarray, rough: np.ndarray, x: np.ndarray, y: np.ndarray, ids: np.ndarray) -> None:
+    """Merge products of x and y, known in single precision, into each row's best so far, sorted; ids rise and are above all seen before, so an equal one loses."""
+    at, step, k = 0, 64 if sim[:, -1].min() == -np.inf else len(ids), sim.shape[1]
+    slack = 1.2e-7 * (x.shape[1] + 16)  # twice what single precision can be off for unit vectors
+    while at < len(ids):
+        part = rough[:, at : at + step]
+        some = part > (sim[:, -1:] - slack).astype(np.float32)  # what may be among the best
+        row, col = np.nonzero(some) if some.flags.c_contiguous else _by_row(*np.nonzero(some.T))
+        if 8 * len(row) > part.size:
+            value = (x @ y[at : at + step].T)[row, col]
+        else:
+            value = np.einsum("ij,ij->i", x[row], y[at + col])
+        value = np.round(value, 12)
+        good = value > sim[row, -1]
+        row, col, value = row[good], col[good], value[good]
+        if len(row):
+            rows, first, many = np.unique(row, return_index=True, return_counts=True)
+            dense, names = np.full((len(rows), k + many.max()), -np.inf), np.zeros((len(rows), k + many.max()), dtype=np.int64)
+            dense[:, :k], names[:, :k] = sim[rows], nbr[rows]
+            place = np.repeat(np.arange(len(rows)), many), k + np.arange(len(row)) - np.repeat(first, many)
+            dense[place], names[place] = value, ids[at + col]
+            top = np.argsort(-dense, axis=1, kind="stable")[:, :k]
+            sim[rows], nbr[rows] = np.take_along_axis(dense, top, axis=1), np.take_along_axis(names, top, axis=1)
+        at, step = at + step, 4 * step
+
+
+def _vectors_at(column: pa.ChunkedArray, at: np.ndarray) -> np.ndarray:
+    """Rows of a column of vectors as a matrix, chunk by chunk: a second copy of the whole column would double a task's memory."""
+    out, first = None, 0
+    place = np.full(len(column), -1)
+    place[at] = np.arange(len(at))
+    for chunk in column.chunks:
+        to = place[first : first + len(chunk)]
+        first += len(chunk)
+        if len(chunk):
+            v = chunk.flatten().to_numpy().reshape(len(chunk), -1)
+            out = np.empty((len(at), v.shape[1])) if out is None else out
+            out[to[to >= 0]] = v[to >= 0]
+    return np.zeros((0, 1)) if out is None else out
+
+
+def _group_product(k: int):
+    """The k best of each row of either group among the other's; of one group with itself, without the row."""
+
+    def product(key: tuple, table: pa.Table) -> pa.Table:
+        best, own = [], table.column("own").to_numpy()
+        for side in (0,) if key[0].as_py() == key[1].as_py() else (0, 1):
+            at = np.flatnonzero(own == side)
+            at = at[np.argsort(table.column("id").to_numpy()[at], kind="stable")]
+            best.append((table.column("id").to_numpy()[at], _vectors_at(table.column("v"), at), np.full((len(at), k), -np.inf), np.zeros((len(at), k), dtype=np.int64)))
+        (ids, x, sim, nbr), (jds, y, mis, rbn) = best[0], best[-1]
+        fx, fy = x.astype(np.float32), y.astype(np.float32)
+        for a in range(0, len(ids), KNN_BLOCK) if len(jds) else ():
+            i = slice(a, a + KNN_BLOCK)
+            for b in range(a if len(best) == 1 else 0, len(jds), KNN_BLOCK):
+                j = slice(b, b + KNN_BLOCK)
+                s = fx[i] @ fy[j].T
+                if len(best) == 1 and ids[i][-1] >= jds[j][0]:
+                    s[ids[i][:, None] == jds[j][None, :]] = -np.inf
+                if len(best) == 2 or a != b:
+                    _raise(mis[j], rbn[j], s.T, y[j], x[i], ids[i])
+                _raise(sim[i], nbr[i], s, x[i], y[j], jds[j])
+        out = []
+        for names, _, found, to in best:
+            at, nth = np.nonzero(np.isfinite(found))
+            out.append(pa.table({"id": names[at], "nbr": to[at, nth], "sim": found[at, nth]}))
+        return pa.concat_tables(out)
+
+    return product
+
+
 def knn(df: DataFrame, k: int, col: str = "latent", id_col: str = "id") -> DataFrame:
     """G1: (id, nbr, sim, rank): the exact k nearest by cosine, self removed, ties to the lower id.
 
-    Rows are dealt to B blocks by a hash of their id; each pair of blocks is a
-    task of its own with a block product, and only its k best per row go on.
+    The work grows with the square of the rows; memory doesn't.  Rows are dealt
+    to groups of about KNN_GROUP by a hash of their id; each pair of groups is
+    met once, block by block, for the rows of both, and only the k best per row
+    and group go on.
     """
-    n = df.count()
-    if n > KNN_MOST:
-        raise ValueError(f"{n} rows are more than {KNN_MOST}: sample landmarks or use knn_approx")
-    blocks = max(1, -(-n // KNN_BLOCK))
-    rows = df.select(F.col(id_col).alias("id"), l2_normalize(F.col(col)).alias("v")).withColumn("b", F.pmod(F.xxhash64(id_col), F.lit(blocks)))
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = rows.withColumn("o", F.explode(every)).select("b", "o", "id", "v", F.lit(0).alias("side"))
-    right = rows.withColumn("o", F.explode(every)).select(F.col("o").alias("b"), F.col("b").alias("o"), "id", "v", F.lit(1).alias("side"))
-
-    found = left.unionByName(right).groupBy("b", "o").applyInPandas(_block_product(k), "id long, nbr long, sim double")
+    n, tasks = df.count(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(1, -(-n // KNN_GROUP), min(-(-n // KNN_BLOCK), math.ceil(math.sqrt(2 * tasks))))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), l2_normalize(F.col(col)).alias("v")).withColumn("g", F.pmod(F.xxhash64(id_col), F.lit(groups)))
+    met = rows.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    met = met.select(F.least("g", "o").alias("a"), F.greatest("g", "o").alias("b"), "id", "v", (F.col("g") > F.col("o")).cast("int").alias("own"))
+    found = met.groupBy("a", "b").applyInArrow(_group_product(k), "id long, nbr long, sim double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "nbr"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
