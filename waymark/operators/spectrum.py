@@ -4,15 +4,19 @@ The wanted eigenvectors are the largest of A = D^-1/2 W D^-1/2.  Vertices are
 dealt to parts; a part is one row that holds its vertices, the edges that leave
 them, and its rows of the block of vectors.  A product sends each part's partial
 sums to the parts they belong to: one shuffle, of what the edges touch, and
-nothing passes through the driver.  Several products in a row are one Spark job:
-a Chebyshev polynomial that shrinks the unwanted part [-1, a] of the spectrum.
+nothing passes through the driver.  Products in a row are a Chebyshev polynomial
+that shrinks the unwanted part [-1, a] of the spectrum; as many as send
+JOB_BYTES are one Spark job, and the shuffle files of a job go when it ends, so
+the disk holds a product or two whatever their number.
 After each polynomial the block is turned to orthonormal Ritz vectors by its own
 Gram matrices, the only thing that meets the driver (width x width numbers a
 graph, summed on the way).
 
 All spread graphs share the products and stop when the residual ||A v - l v|| of
 every wanted pair is below the tolerance; that it isn't after many polynomials is
-an error, never a result.
+an error, never a result.  A spread graph of at least as many components as wanted
+pairs needs no iteration: its largest value is 1, once for each component, with
+vectors that are known.
 
 Graphs small enough for one part, as those of landmark samples are, don't need
 shuffles: each is solved by the same steps in a task of its own, all in one job.
@@ -25,15 +29,18 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from waymark.functions.common import discard, materialize
+from waymark.functions.common import discard, materialize, shuffles_removed, uniform
+from waymark.operators.vectors import moments, project
 
 #: Growth of a polynomial at 1, which bounds its degree: beyond it rounding hides the small directions of a block.
 MOST_GROWTH, MOST_DEGREE = 1e6, 20
 #: Bytes of a part's rows of the block, at most, and edges that make another task worth while.
 PART_BYTES, PART_EDGES = 16 << 20, 50_000
+#: Bytes that the products of one job send, unless one product sends more.
+JOB_BYTES = 256 << 20
 #: Edges of a graph that one task solves, at most, and edges of one step of a product.
 WHOLE_EDGES, STEP_EDGES = 4_000_000, 65_536
 #: A graph of so few vertices is solved as a dense matrix.
@@ -42,13 +49,23 @@ DENSE = 256
 STATE, SENT = "part int, x binary, kept binary", "part int, own boolean, at binary, x binary, kept binary"
 
 
-def _parts(edges: DataFrame, width: int) -> tuple[DataFrame, int]:
-    """(one row per part: graphs and ids of its vertices in order, and the edges that leave them, by receiving part and vertex; number of parts)."""
+def _names(spark: SparkSession, n: int) -> list[int]:
+    """n numbers that repartition(n, column) deals to n different partitions; 0 to n - 1 would leave a third of them empty."""
+    at = spark.range(40 * n + 100).select(F.col("id").cast("int").alias("name")).groupBy(F.pmod(F.hash("name"), F.lit(n)).alias("to")).agg(F.min("name").alias("name"))
+    found = [r["name"] for r in at.collect()]  # n numbers
+    return found + [-1 - x for x in range(n - len(found))]
+
+
+def _parts(edges: DataFrame, width: int) -> tuple[DataFrame, int, int]:
+    """(one row per part: graphs and ids of its vertices in order, and the edges that leave them, by receiving part and vertex; number of parts; products of one job)."""
     tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     d = materialize(edges.groupBy("g", "i").agg(F.sum("w").alias("d")))
-    parts = max(-(-d.count() * width * 8 // PART_BYTES), min(tasks, 1 + edges.count() // PART_EDGES))
+    n, m = d.count(), edges.count()
+    parts = max(-(-n * width * 8 // PART_BYTES), min(tasks, 1 + m // PART_EDGES))
+    together = max(1, JOB_BYTES // ((min(m, n * parts) + 4 * n) * width * 8))  # partial sums, and both blocks on their way to a join and back
     place = F.row_number().over(Window.partitionBy("part").orderBy("g", "i")) - 1
-    vertices = materialize(d.withColumn("part", F.pmod(F.xxhash64("g", "i"), F.lit(parts)).cast("int")).withColumn("at", place))
+    names = F.array(*map(F.lit, _names(edges.sparkSession, parts)))
+    vertices = materialize(d.withColumn("part", F.element_at(names, 1 + F.pmod(F.xxhash64("g", "i"), F.lit(parts)).cast("int"))).withColumn("at", place))
     to = vertices.select("g", "i", F.col("d").alias("d_to"), F.col("part").alias("to"), F.col("at").alias("at_to"))
     out = edges.join(to, ["g", "i"]).join(vertices.select("g", F.col("i").alias("j"), "d", "part", "at"), ["g", "j"])
     out = out.select("part", "to", "at_to", "at", (F.col("w") / F.sqrt(F.col("d") * F.col("d_to"))).alias("w"))
@@ -62,7 +79,7 @@ def _parts(edges: DataFrame, width: int) -> tuple[DataFrame, int]:
     named = vertices.groupBy("part").applyInPandas(lambda key, pdf: pd.DataFrame({"part": [key[0]], **{c: [pdf.sort_values("at")[c].to_numpy().astype("<i8").tobytes()] for c in ("g", "i")}}), "part int, g binary, i binary")
     table = materialize(named.join(packed, "part"))
     discard(d, vertices)
-    return table.repartition(parts, "part").persist(), parts
+    return table.repartition(parts, "part").persist(), parts, together
 
 
 def _rows(data: bytes, width: int) -> np.ndarray:
@@ -276,20 +293,62 @@ def _whole(edges: DataFrame, count: int, width: int, seed: int, tol: float, most
     return edges.groupBy("g").applyInPandas(solve, "g long, id long, x array<double>")
 
 
+def _of_components(edges: DataFrame, g: int, count: int, seed: int) -> DataFrame | None:
+    """As :func:`_whole` for a graph of at least ``count`` components, else None: the roots of the degrees of each component span the space of value 1."""
+    from waymark.operators.graph import components
+
+    d = materialize(edges.groupBy(F.col("i").alias("v")).agg(F.sum("w").alias("d")))
+    try:
+        labels = components(edges.where("w > 0"), d.select("v"))
+    except RuntimeError:  # very long paths; the iteration does without
+        return None
+    total = materialize(d.join(labels, "v").groupBy("c").agg(F.sum("d").alias("total")))
+    if total.count() < count:
+        return None
+    # a drawn basis of the space, as an iteration would end in
+    drawn = materialize(total.withColumn("r", F.array(*[2 * uniform(seed * 1000 + t, "c") - 1 for t in range(count)])))
+    size, axes = np.linalg.eigh(moments(drawn, ["r"])[2])
+    per = project(drawn, np.zeros(count), axes / np.sqrt(size), "r", "x").select("c", "total", "x")
+    own = d.join(labels, "v").join(per, "c").withColumn("s", F.sqrt(F.col("d") / F.greatest("total", F.lit(1e-300))))
+    vectors = own.select(F.lit(g).cast("long").alias("g"), F.col("v").alias("id"), F.transform("x", lambda x: x * F.col("s")).alias("x"))
+    return materialize(vectors.unionByName(edges.sparkSession.createDataFrame([(g, None, [1.0] * count)], vectors.schema)))
+
+
 def _spread(edges: DataFrame, count: int, width: int, seed: int, tol: float, most: int) -> DataFrame:
     """As :func:`_whole`, by distributed products that all graphs share."""
-    parts, n = _parts(edges, width)
+    graphs, known = [r["g"] for r in edges.select("g").distinct().collect()], None  # large ones
+    for g in list(graphs):
+        one = _of_components(edges.where(F.col("g") == g).drop("g"), g, count, seed)
+        if one is not None:
+            known = one if known is None else known.unionByName(one)
+            graphs.remove(g)
+    if not graphs:
+        return known
+    found = _iterated(edges.where(F.col("g").isin(graphs)), graphs, count, width, seed, tol, most)
+    return found if known is None else found.unionByName(known)
+
+
+def _iterated(edges: DataFrame, graphs: list[int], count: int, width: int, seed: int, tol: float, most: int) -> DataFrame:
+    parts, n, together = _parts(edges, width)
     block = parts.mapInArrow(_start(width, seed), STATE)
-    graphs = [r["g"] for r in edges.select("g").distinct().collect()]  # large ones
     interval, degree, products, old = dict.fromkeys(graphs, (-0.4, 0.6)), 6, 0, None
+
+    def settled(block: DataFrame) -> DataFrame:
+        """The block written; the one it was made from isn't read again."""
+        nonlocal old
+        new = materialize(block)
+        if old is not None:
+            discard(old)
+        old = new
+        return new
+
     try:
         while True:
             for step in range(degree):
                 block = _product(parts, n, block, width, 2.0 if step else 1.0, interval)
-            new = materialize(_product(parts, n, block, width))
-            if old is not None:
-                discard(old)
-            old, products = new, products + degree + 1
+                if (step + 1) % together == 0:
+                    block = settled(block)
+            new, products = settled(_product(parts, n, block, width)), products + degree + 1
             found = {g: _ritz(x) for g, x in _grams(parts, new, width).items()}
             open_ = {g: f for g, f in found.items() if f[2][:count].max() > tol}
             if not open_:
@@ -320,7 +379,12 @@ def low_eigenpairs(edges: DataFrame, count: int, seed: int = 0, tol: float = 1e-
     about the square of its residual.  A residual that stays above ``tol`` is
     an error.
     """
-    width = count + extra
+    with shuffles_removed(edges.sparkSession):
+        found = _low_eigenpairs(edges, count, count + extra, seed, tol, most_products)
+    return found.where(F.col("id").isNotNull()), found.where(F.col("id").isNull()).select("g", F.col("x").alias("values"))
+
+
+def _low_eigenpairs(edges: DataFrame, count: int, width: int, seed: int, tol: float, most_products: int) -> DataFrame:
     edges = materialize(edges.select(*[F.col(c).cast("long").alias(c) for c in ("g", "i", "j")], F.col("w").cast("double").alias("w")))
     sizes = edges.groupBy("g", "i").count().groupBy("g").agg(F.count("*").alias("n"), F.sum("count").alias("m"))
     sizes = materialize(sizes.select("g", ((F.col("n") * width * 8 <= PART_BYTES) & (F.col("m") <= WHOLE_EDGES)).alias("whole")))
@@ -329,7 +393,7 @@ def low_eigenpairs(edges: DataFrame, count: int, seed: int = 0, tol: float = 1e-
         found = found.unionByName(_spread(edges.join(sizes.where("NOT whole"), "g", "left_semi"), count, width, seed, tol, most_products))
     found = materialize(found)
     discard(edges, sizes)
-    return found.where(F.col("id").isNotNull()), found.where(F.col("id").isNull()).select("g", F.col("x").alias("values"))
+    return found
 
 
 def spectra(edges: DataFrame, count: int, seed: int = 0) -> DataFrame:
