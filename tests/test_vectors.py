@@ -2,7 +2,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from waymark.operators import agreement, vectors
+from waymark.operators import agreement, models, vectors
+from waymark.plans import jobs
 
 
 def test_moments_with_tasks_that_have_no_rows(spark):
@@ -23,3 +24,13 @@ def test_drift_with_tasks_that_have_no_rows(spark):
     df = spark.createDataFrame(pd.DataFrame({"id": range(12), "latent": x.tolist(), "state": x[:, :2].tolist(), "ref": [i % 2 == 0 for i in range(12)]}), "id long, latent array<double>, state array<double>, ref boolean")
     one, many = (agreement.drift_metrics(d, ["ref"], "ref").first() for d in (df.coalesce(1), df.repartitionByRange(40, "id")))
     assert one.n == many.n == 6 and abs(one.residual - many.residual) < 1e-9
+
+
+def test_rule_drift_with_windows_cut_short(spark):
+    """The last windows of a table may lack slots; they have nothing to predict."""
+    x = np.random.default_rng(8).normal(size=(40, 2))
+    rows = [(i, x[i : i + 3].tolist(), x[i : i + 3, :1].tolist()) for i in range(40)]
+    cache = spark.createDataFrame(rows, "start long, emb array<array<double>>, act_emb array<array<double>>")
+    masks = cache.select("start", F.lit(True).alias("ref"), (F.col("start") % 2 == 0).alias("a"))
+    got = {r.split: r.n for r in jobs.run_rule_drift(cache, masks, ["a"], "ref").collect()}
+    assert got == {"ref": 39, "a": 20} and models.training_rows(cache, 2).count() == 38

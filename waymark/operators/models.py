@@ -24,9 +24,9 @@ TRAINER_MOST = 5_000_000
 
 
 def training_rows(cache: DataFrame, history: int = 1) -> DataFrame:
-    """(start, x, y): flattened history of [latent, action] and the slot after it, from a cache (start, emb, act_emb)."""
+    """(start, x, y): flattened history of [latent, action] and the slot after it, from a cache (start, emb, act_emb); windows that end before that slot have no target."""
     x = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(history - 1)), lambda k: F.concat(F.get("emb", k), F.get("act_emb", k))))
-    return cache.select("start", F.transform(x, lambda v: v.cast("double")).alias("x"), F.transform(F.get("emb", F.lit(history)), lambda v: v.cast("double")).alias("y"))
+    return cache.where(F.size("emb") > history).select("start", F.transform(x, lambda v: v.cast("double")).alias("x"), F.transform(F.get("emb", F.lit(history)), lambda v: v.cast("double")).alias("y"))
 
 
 def ridge(n: float, c: np.ndarray, d: int, penalty: float) -> np.ndarray:
